@@ -82,3 +82,73 @@ scores AS (
   SELECT q.doc_id AS query_id, d.doc_id, coalesce(units, 0) AS units
   FROM documents q CROSS JOIN documents d
   LEFT JOIN hits h ON h.query_id = q.doc_id AND h.doc_id = d.doc_id)"""
+
+
+# ---- pages: documents laid out in rows of eight words ------------------------------------
+
+
+def page_boxes(words: Column) -> Column:
+    def box(w: Column, i: Column) -> Column:
+        x0 = (i % 8) * 120
+        y0 = F.floor(i / 8).cast("int") * 40 + F.length(w) % 3
+        return F.array(x0, y0, x0 + F.length(w) * 10, y0 + 20)
+
+    return F.transform(words, box)
+
+
+def page_labels(words: Column) -> Column:
+    def label(w: Column, i: Column) -> Column:
+        at = i % 8
+        return (
+            F.when((F.length(w) % 5 == 0) | at.isin(2, 6, 7), "O").when(at == 0, "B-KEY").when(at == 1, "I-KEY")
+            .when(at == 3, "B-VAL").otherwise("I-VAL")
+        )
+
+    return F.transform(words, label)
+
+
+def pages(spark: SparkSession, sf: str) -> DataFrame:
+    """One row per document with words, pixel boxes, BIO labels and scores."""
+    w = F.col("words")
+    found = docs(spark, sf).filter(F.size("words") > 0)
+    return found.select(
+        "doc_id", "source", "words", page_boxes(w).alias("boxes"), page_labels(w).alias("labels"),
+        F.transform(w, lambda x: (50 + F.length(x) % 50) / 100).alias("scores"), F.size("words").alias("n_words"),
+    )
+
+
+def words_long(page_rows: DataFrame) -> DataFrame:
+    """Word rows (doc_id, word_idx, n_words, text, label, score, x0, y0, x1, y1)."""
+    zipped = F.arrays_zip("words", "boxes", "labels", "scores")
+    rows = page_rows.select("doc_id", "n_words", F.posexplode(zipped).alias("word_idx", "z"))
+    at = [F.get("z.boxes", F.lit(i)).alias(c) for i, c in enumerate(("x0", "y0", "x1", "y1"))]
+    return rows.select("doc_id", "word_idx", "n_words", F.col("z.words").alias("text"), F.col("z.labels").alias("label"), F.col("z.scores").alias("score"), *at)
+
+
+PAGE = f"""{DOCS},
+{WORDS},
+page AS (
+  SELECT doc_id, i::INT AS i, n, w, length(w) AS len, (i % 8) * 120 AS x0, (i // 8) * 40 + length(w) % 3 AS y0,
+    (i % 8) * 120 + length(w) * 10 AS x1, (i // 8) * 40 + length(w) % 3 + 20 AS y1, (50 + length(w) % 50) / 100 AS score,
+    CASE WHEN length(w) % 5 = 0 OR i % 8 IN (2, 6, 7) THEN 'O' WHEN i % 8 = 0 THEN 'B-KEY' WHEN i % 8 = 1 THEN 'I-KEY'
+      WHEN i % 8 = 3 THEN 'B-VAL' ELSE 'I-VAL' END AS label
+  FROM words)"""
+
+
+def spans_sql(source: str, out: str, label: str = "label") -> str:
+    """Runs of one type; `starts_b` tells whether a B- label opened the run."""
+    return f"""{out}_runs AS (
+  SELECT *, sum(st) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (
+    SELECT *, CASE WHEN typ <> 'O' AND ({label} LIKE 'B-%' OR coalesce(lag(typ) OVER (PARTITION BY doc_id ORDER BY i), 'O') <> typ) THEN 1 ELSE 0 END AS st
+    FROM (SELECT *, CASE WHEN {label} = 'O' THEN 'O' ELSE substr({label}, 3) END AS typ FROM {source}))),
+{out} AS (
+  SELECT doc_id, (run - 1)::INT AS span_id, any_value(typ) AS type, min(i) AS first, max(i) AS last, string_agg(w, ' ' ORDER BY i) AS text,
+    avg(score) AS score, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, arg_min({label}, i) LIKE 'B-%' AS starts_b
+  FROM {out}_runs WHERE typ <> 'O' GROUP BY doc_id, run)"""
+
+
+SPANS = f"{PAGE},\n{spans_sql('page', 'spans')}"
+STRICT = f"""{SPANS},
+strict AS (
+  SELECT * REPLACE ((row_number() OVER (PARTITION BY doc_id ORDER BY first) - 1)::INT AS span_id, round_even(score, 4) AS score)
+  FROM spans WHERE starts_b)"""
