@@ -30,6 +30,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark)}/{name}-{uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write `df` as a table in the shared checkpoint folder and continue from that table.
 
@@ -37,6 +42,6 @@ def cut(df: DataFrame) -> DataFrame:
     pins the rows a non-deterministic step produced.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/cut-{uuid4().hex}"
+    path = scratch(spark, "cut")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
