@@ -47,19 +47,25 @@ def hash_rank(df: DataFrame, key: Column, name: str, by: list[str] | None = None
     )
 
 
-def global_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """Position 1..n in a total order over the whole frame, without a single-task window.
+def group_rank(df: DataFrame, by: list[str], order: list[Column], name: str) -> DataFrame:
+    """Position 1..n in a total order within each group, also for one group with most rows.
 
-    The rows are range-partitioned and written once; each partition numbers its own
-    rows and adds the sizes of the partitions before it. End `order` with a unique
-    column, so that equal names cannot gather in one partition.
+    Rows are range-partitioned by group and order and written once, so a large group
+    lies in many partitions; each numbers its own rows and adds the group's rows in
+    the partitions before it. End `order` with a unique column, so that equal values
+    cannot gather in one partition.
     """
-    ranged = cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
-    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
-    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    ranged = cut(df.repartitionByRange(*(F.col(c) for c in by), *order).withColumn("_part", F.spark_partition_id()))
+    sizes = ranged.groupBy(*by, "_part").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*by, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
+    place = F.row_number().over(Window.partitionBy(*by, "_part").orderBy(*order))
     return (
-        ranged.withColumn("_p", place).join(F.broadcast(offsets), "_part")
+        ranged.withColumn("_p", place).join(offsets, [*by, "_part"])
         .withColumn(name, F.col("_p") + F.col("_o")).drop("_part", "_p", "_o")
     )
+
+
+def global_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Position 1..n in a total order over the whole frame, without a single-task window."""
+    return group_rank(df, [], order, name)
