@@ -327,7 +327,7 @@ def fill_plan(fields: DataFrame, words: Column, n_words: int, fills: int, key: s
 
     fields: key, field_id, width.
     """
-    rows = fields.withColumn("fill_index", F.explode(F.sequence(F.lit(0), F.lit(fills - 1))))
+    rows = fields.withColumn("_bank", words).withColumn("fill_index", F.explode(F.sequence(F.lit(0), F.lit(fills - 1))))
     seed_text = seeded(seed, key, "field_id", "fill_index")
 
     def text(at: Column, bank: Column) -> Column:
@@ -335,7 +335,8 @@ def fill_plan(fields: DataFrame, words: Column, n_words: int, fills: int, key: s
         picks = F.transform(F.sequence(F.lit(1), n.cast("int")), lambda i: hash_pick(bank, F.lit(n_words), F.concat(at, F.lit(":"), i.cast("string"))))
         return F.array_join(picks, " ")
 
-    return rows.withColumn("text", bind(words, lambda bank: bind(seed_text, lambda at: text(at, bank))))
+    filled = bind(F.col("_bank"), lambda bank: bind(seed_text, lambda at: text(at, bank)))
+    return rows.withColumn("text", filled).drop("_bank")
 
 
 def fill_line(width: Column, words: Column, n_words: int, key: Column) -> Column:

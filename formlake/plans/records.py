@@ -46,7 +46,7 @@ def templates(spark, sf) -> DataFrame:
 
     objects = F.transform("words", item)
     rows = inputs.docs(spark, sf).withColumn("o", objects)
-    nested = F.struct(*(F.transform("o", lambda x, c=c: x[c]).alias(c) for c in ("id", "area", "bbox"))).alias("objects")
+    nested = F.struct(*(F.col(f"o.{c}").alias(c) for c in ("id", "area", "bbox"))).alias("objects")
     return rows.select(F.col("doc_id").alias("id"), F.col("lang").alias("split"), nested)
 
 
@@ -294,7 +294,7 @@ def job_changes(spark, sf) -> DataFrame:
 
 
 JOBS = """changes AS (SELECT conv_id AS run_id, turn AS seq, CASE WHEN role = 'system' OR turn % 4 = 3 THEN 'create' WHEN role = 'user' THEN 'running'
-  WHEN length(text) % 3 = 0 THEN 'failed' ELSE 'kvp_ready' END AS action, 1704067200 + conv_id * 600 + turn * 60 AS at FROM conversations),
+  WHEN length(text) % 3 = 0 THEN 'failed' ELSE 'kvp_ready' END AS action, 1704067200 + conv_id * 600 + turn * 60 AS happened FROM conversations),
 per AS (SELECT run_id, arg_max(action, seq) FILTER (action <> 'create') AS o, max(seq) FILTER (action <> 'create') AS o_seq, max(seq) FILTER (action = 'create') AS c_seq FROM changes GROUP BY ALL),
 fresh AS (SELECT *, o IS NULL OR (o = 'failed' AND coalesce(c_seq > o_seq, false)) AS fresh FROM per),
 jobs AS (SELECT run_id, CASE WHEN fresh THEN 'accepted' ELSE o END AS status, CASE WHEN fresh THEN 'pending' WHEN o = 'kvp_ready' THEN 'ready' ELSE o END AS kvp_status,
@@ -310,7 +310,7 @@ def job_states(spark, sf):
     return job_rows(events.latest_jobs(job_changes(spark, sf)))
 
 
-@query(f"WITH {JOBS}\nSELECT * FROM jobs WHERE updated >= (SELECT max(at) FROM changes) - 14400")
+@query(f"WITH {JOBS}\nSELECT * FROM jobs WHERE updated >= (SELECT max(happened) FROM changes) - 14400")
 def live_jobs(spark, sf):
     changes = job_changes(spark, sf)
     return job_rows(events.live_jobs(events.latest_jobs(changes), changes.agg(F.max("at")).scalar()))
