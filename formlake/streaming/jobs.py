@@ -12,7 +12,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from formlake.operators import augment, events, gates, medallion
 from formlake.sources import readers
@@ -115,24 +116,29 @@ def next_state(state: dict | None, action: str, at) -> dict | None:
     return {**state, "status": status[0], "kvp_status": status[1], "finished_at": at, "updated_at": at}
 
 
-class JobProcessor(StatefulProcessor):
-    """Keeps one job per run, emits it on each change, and forgets it after four quiet hours."""
+def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Apply the changes of one run and emit its job; after four quiet hours emit it as expired and forget it."""
+    if state.hasTimedOut:
+        job = dict(zip(FIELDS, state.get))
+        state.remove()
+        yield _job_row(key[0], {**job, "status": "expired"})
+        return
+    job = dict(zip(FIELDS, state.get)) if state.exists else None
+    changes = pd.concat(list(batches)).sort_values("seq")
+    for action, at in zip(changes["action"], changes["at"]):
+        job = next_state(job, action, at)
+    state.update(tuple(None if pd.isna(job[f]) else job[f] for f in FIELDS))
+    state.setTimeoutDuration(JOB_TTL_MS)
+    yield _job_row(key[0], job)
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("job", STATE, JOB_TTL_MS)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        job = dict(zip(FIELDS, self.state.get())) if self.state.exists() else None
-        changes = pd.concat(list(rows)).sort_values("seq")
-        for action, at in zip(changes["action"], changes["at"]):
-            job = next_state(job, action, at.to_pydatetime())
-        self.state.update(tuple(job[f] for f in FIELDS))
-        yield pd.DataFrame([{"run_id": key[0], **job}])
-
-    def close(self) -> None:
-        pass
+def _job_row(run_id: str, job: dict) -> pd.DataFrame:
+    row = pd.DataFrame([{"run_id": run_id, **job}])
+    for column in FIELDS[2:]:
+        row[column] = pd.to_datetime(row[column])
+    return row
 
 
 def track_jobs(changes: DataFrame) -> DataFrame:
-    """Current job rows from a stream of changes; needs the RocksDB state store."""
-    return changes.groupBy("run_id").transformWithStateInPandas(JobProcessor(), JOB, "Update", "ProcessingTime")
+    """Current job rows from a stream of changes (run_id, seq, action, at)."""
+    return changes.groupBy("run_id").applyInPandasWithState(_advance, JOB, STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
