@@ -16,7 +16,6 @@ from collections.abc import Callable
 from math import ceil
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +23,8 @@ from pyspark.sql import functions as F
 IDS_PER_BLOCK = 1024
 ITEMS_PER_BLOCK = 2_000_000
 PAIRS_PER_CHUNK = 4_000_000
+DENSE_SHARE = 0.001
+DENSE_DIGITS = 9
 ARROW_TYPES = {
     "long": pa.int64(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(),
 }
@@ -51,7 +52,10 @@ def score_blocks(
     query_id: str = "query_id",
     gallery_id: str = "doc_id",
 ) -> DataFrame:
-    """Run `score(query block, gallery block)` on every pair of blocks."""
+    """Run `score(query block, gallery block)` on every pair of blocks, rows in id order.
+
+    Both frames have one row per id.
+    """
     n_query = spread(queries.sparkSession, n_query, n_gallery)
 
     def block(column: str, n: int):
@@ -70,7 +74,7 @@ def score_blocks(
     def task(left: pa.Table, right: pa.Table) -> pa.Table:
         if left.num_rows == 0 or right.num_rows == 0:
             return fields.empty_table()
-        return score(left, right).cast(fields)
+        return score(ordered(left, query_id), ordered(right, gallery_id)).cast(fields)
 
     return (
         q.repartition(tasks, "qb", "gb")
@@ -87,39 +91,46 @@ def column(table: pa.Table, name: str) -> np.ndarray:
     return table.column(name).to_numpy()
 
 
-def sparse_scores(q: pa.Table, g: pa.Table, query_id: str, gallery_id: str, q_weight: str, g_weight: str, token: str = "token"):
-    """Sum over shared tokens of query weight x gallery weight, for all ids of both blocks.
+def ordered(table: pa.Table, id_col: str) -> pa.Table:
+    """Rows of a block in id order; a block has one row per id."""
+    return table.take(np.argsort(column(table, id_col), kind="stable"))
+
 
-    Tokens present in many documents go through a matrix product, rare ones
-    through expanded index pairs, in chunks of bounded size.
+def sparse_scores(q: pa.Table, g: pa.Table) -> np.ndarray:
+    """Sum over shared tokens of query weight x gallery weight, for all rows of both blocks.
+
+    Each row holds the arrays `tokens` and `weights`. Tokens present in many rows go
+    through a matrix product, rare ones through expanded index pairs, in chunks of
+    bounded size.
     """
-    q_ids, q_row = np.unique(column(q, query_id), return_inverse=True)
-    g_ids, g_row = np.unique(column(g, gallery_id), return_inverse=True)
-    codes, _ = pd.factorize(np.concatenate([column(q, token), column(g, token)]))
-    n_q, n_g, n_tokens = len(q_ids), len(g_ids), int(codes.max()) + 1
-    q_code, g_code = codes[: len(q_row)], codes[len(q_row) :]
-    q_w, g_w = column(q, q_weight).astype(float), column(g, g_weight).astype(float)
+    (q_row, q_tok, q_w), (g_row, g_tok, g_w) = (_entries(t) for t in (q, g))
+    codes = pa.concat_arrays([q_tok, g_tok]).dictionary_encode()
+    n_q, n_g, n_tokens = q.num_rows, g.num_rows, max(1, len(codes.dictionary))
+    code = codes.indices.to_numpy().astype(np.int64)
+    q_code, g_code = code[: len(q_row)], code[len(q_row) :]
     pairs = np.bincount(q_code, minlength=n_tokens) * np.bincount(g_code, minlength=n_tokens)
     scores = np.zeros((n_q, n_g))
 
-    common = np.flatnonzero(pairs > 0.01 * n_q * n_g)
+    common = np.flatnonzero(pairs > DENSE_SHARE * n_q * n_g)
+    slot = np.full(n_tokens, -1)
     for start in range(0, len(common), 512):
         chosen = common[start : start + 512]
-        slot = np.full(n_tokens, -1)
+        slot[:] = -1
         slot[chosen] = np.arange(len(chosen))
         left, right = np.zeros((n_q, len(chosen))), np.zeros((n_g, len(chosen)))
-        for matrix, rows, code, weight in ((left, q_row, q_code, q_w), (right, g_row, g_code, g_w)):
-            hit = slot[code] >= 0
-            np.add.at(matrix, (rows[hit], slot[code[hit]]), weight[hit])
+        for cells, rows, tokens, weights in ((left, q_row, q_code, q_w), (right, g_row, g_code, g_w)):
+            at = slot[tokens]
+            hit = at >= 0
+            cells[rows[hit], at[hit]] = weights[hit]
         scores += left @ right.T
 
     rare = pairs > 0
     rare[common] = False
-    order = np.argsort(g_code, kind="stable")
-    first = np.searchsorted(g_code[order], np.arange(n_tokens + 1))
+    theirs = np.flatnonzero(rare[g_code])
+    theirs = theirs[np.argsort(g_code[theirs], kind="stable")]
+    first = np.searchsorted(g_code[theirs], np.arange(n_tokens + 1))
     mine = np.flatnonzero(rare[q_code])
-    mine = mine[np.argsort(q_row[mine], kind="stable")]
-    fan = (first[q_code[mine] + 1] - first[q_code[mine]]).astype(np.int64)
+    fan = first[q_code[mine] + 1] - first[q_code[mine]]
     ends = np.cumsum(fan)
     begin = 0
     while begin < len(mine):
@@ -128,13 +139,20 @@ def sparse_scores(q: pa.Table, g: pa.Table, query_id: str, gallery_id: str, q_we
         part, n = mine[begin:stop], fan[begin:stop]
         owner = np.repeat(np.arange(len(part)), n)
         inside = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-        target = order[first[q_code[part]][owner] + inside]
+        target = theirs[first[q_code[part]][owner] + inside]
         low, high = q_row[part[0]], q_row[part[-1]] + 1
         flat = (q_row[part][owner] - low) * n_g + g_row[target]
-        weights = q_w[part][owner] * g_w[target]
-        scores[low:high] += np.bincount(flat, weights, (high - low) * n_g).reshape(high - low, n_g)
+        scores[low:high] += np.bincount(flat, q_w[part][owner] * g_w[target], (high - low) * n_g).reshape(high - low, n_g)
         begin = stop
-    return q_ids, g_ids, scores
+    return scores
+
+
+def _entries(table: pa.Table) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Row number, token and weight of every array element of a block, in row order."""
+    tokens, weights = (table.column(c).combine_chunks() for c in ("tokens", "weights"))
+    counts = np.asarray(tokens.value_lengths().to_numpy(zero_copy_only=False))
+    flat = np.asarray(weights.flatten().to_numpy(zero_copy_only=False), dtype=float)
+    return np.repeat(np.arange(len(tokens)), counts), tokens.flatten(), flat
 
 
 def matrix(table: pa.Table, name: str) -> np.ndarray:
@@ -144,12 +162,9 @@ def matrix(table: pa.Table, name: str) -> np.ndarray:
     return flat.reshape(len(values), -1)
 
 
-def dense_scores(q: pa.Table, g: pa.Table, query_id: str, gallery_id: str, vector: str = "vector"):
-    """Inner products of two vector blocks; gallery columns in id order."""
-    q_order = np.argsort(column(q, query_id), kind="stable")
-    g_order = np.argsort(column(g, gallery_id), kind="stable")
-    scores = matrix(q, vector)[q_order] @ matrix(g, vector)[g_order].T
-    return column(q, query_id)[q_order], column(g, gallery_id)[g_order], scores
+def dense_scores(q: pa.Table, g: pa.Table, vector: str = "vector") -> np.ndarray:
+    """Inner products of two vector blocks, rounded so that equal vectors tie."""
+    return np.round(matrix(q, vector) @ matrix(g, vector).T, DENSE_DIGITS)
 
 
 def top_rows(q_ids: np.ndarray, g_ids: np.ndarray, scores: np.ndarray, k: int, query_id: str, gallery_id: str) -> pa.Table:
@@ -164,22 +179,19 @@ def top_rows(q_ids: np.ndarray, g_ids: np.ndarray, scores: np.ndarray, k: int, q
     )
 
 
-def rank_rows(q_ids: np.ndarray, g_ids: np.ndarray, scores: np.ndarray, truth: pd.DataFrame, query_id: str) -> pa.Table:
-    """Per query: documents above the truth score, ties before the truth, and the block's best.
-
-    `truth` has one row per query: `truth_id` and `truth_score`, null when absent.
-    """
-    t = truth.set_index(query_id).loc[q_ids]
-    bar = t["truth_score"].to_numpy(dtype=float)[:, None]
-    place = np.searchsorted(g_ids, t["truth_id"].to_numpy())[:, None]
+def rank_rows(q: pa.Table, g_ids: np.ndarray, scores: np.ndarray, truth_score: np.ndarray, query_id: str) -> pa.Table:
+    """Per query: documents above the truth score, ties before the truth, and the block's best."""
+    bar = truth_score[:, None]
+    place = np.searchsorted(g_ids, column(q, "truth_id"))[:, None]
     first = scores.argmax(axis=1)
     return pa.table(
         {
-            query_id: q_ids,
+            query_id: column(q, query_id),
+            "truth_id": column(q, "truth_id"),
             "above": (scores > bar).sum(axis=1),
             "ties_before": ((scores == bar) & (np.arange(len(g_ids))[None, :] < place)).sum(axis=1),
             "best_id": g_ids[first],
-            "best_score": scores[np.arange(len(q_ids)), first],
+            "best_score": scores[np.arange(len(scores)), first],
         }
     )
 

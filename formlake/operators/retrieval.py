@@ -22,7 +22,7 @@ TINY = 1e-12
 # Weights sit on a 1e-6 grid, as whole numbers. Their sums are exact in any order,
 # so equal documents tie exactly and a re-run task returns the same ranking.
 GRID = 1_000_000
-DENSE_DIGITS = 9
+DENSE_DIGITS = blocks.DENSE_DIGITS
 
 
 # ---- BM25 -----------------------------------------------------------------------------
@@ -72,15 +72,25 @@ def score_pairs(pairs: DataFrame, query_terms: DataFrame, postings: DataFrame, q
     return pairs.join(hits, [query_id, doc_id], "left").withColumn("units", F.coalesce("units", F.lit(0)))
 
 
+def pack(weights: DataFrame, id_col: str, weight: str = "weight") -> DataFrame:
+    """One row per id with aligned arrays `tokens` and `weights`.
+
+    The terms of a document fit a row because its words came in one.
+    """
+    return weights.groupBy(id_col).agg(F.collect_list("token").alias("tokens"), F.collect_list(weight).alias("weights"))
+
+
 def bm25_topk(query_terms: DataFrame, postings: DataFrame, k: int, n_query: int, n_gallery: int, query_id: str = "query_id", doc_id: str = "doc_id") -> DataFrame:
     """(query, document, units, position) of the k best; documents sharing no token fill up with 0."""
 
     def score(q: pa.Table, g: pa.Table) -> pa.Table:
-        return blocks.top_rows(*blocks.sparse_scores(q, g, query_id, doc_id, "tf", "weight"), k, query_id, doc_id)
+        ids = (blocks.column(q, query_id), blocks.column(g, doc_id))
+        return blocks.top_rows(*ids, blocks.sparse_scores(q, g), k, query_id, doc_id)
 
     kinds = (_type(query_terms, query_id), _type(postings, doc_id))
     partial = blocks.score_blocks(
-        query_terms, postings, n_query, n_gallery, score, f"{query_id} {kinds[0]}, {doc_id} {kinds[1]}, score double", query_id, doc_id
+        pack(query_terms, query_id, "tf"), pack(postings, doc_id), n_query, n_gallery, score,
+        f"{query_id} {kinds[0]}, {doc_id} {kinds[1]}, score double", query_id, doc_id,
     )
     return keep_top(partial, k, query_id, doc_id).withColumn("units", F.col("score").cast("long")).drop("score")
 
@@ -94,17 +104,14 @@ def bm25_ranks(query_terms: DataFrame, postings: DataFrame, truth: DataFrame, n_
     bars = score_pairs(truth, query_terms, postings, query_id, doc_id).select(
         query_id, F.col(doc_id).alias("truth_id"), F.col("units").cast("double").alias("truth_score")
     )
-    queries = query_terms.join(bars, query_id)
+    queries = pack(query_terms, query_id, "tf").join(bars, query_id)
 
     def score(q: pa.Table, g: pa.Table) -> pa.Table:
-        scored = blocks.sparse_scores(q, g, query_id, doc_id, "tf", "weight")
-        known = q.select([query_id, "truth_id", "truth_score"]).to_pandas().drop_duplicates(query_id)
-        return blocks.rank_rows(*scored, known, query_id)
+        return blocks.rank_rows(q, blocks.column(g, doc_id), blocks.sparse_scores(q, g), blocks.column(q, "truth_score"), query_id)
 
-    return merge_ranks(
-        blocks.score_blocks(queries, postings, n_query, n_gallery, score, rank_schema(queries, postings, query_id, doc_id), query_id, doc_id),
-        bars, query_id,
-    )
+    schema = rank_schema(queries, postings, query_id, doc_id)
+    partial = blocks.score_blocks(queries, pack(postings, doc_id), n_query, n_gallery, score, schema, query_id, doc_id)
+    return merge_ranks(partial, query_id)
 
 
 # ---- dense ----------------------------------------------------------------------------
@@ -137,8 +144,8 @@ def dense_topk(queries: DataFrame, gallery: DataFrame, k: int, n_query: int, n_g
     """Exact cosine top-k of unit vectors (column `vector` on both sides)."""
 
     def score(q: pa.Table, g: pa.Table) -> pa.Table:
-        q_ids, g_ids, scores = blocks.dense_scores(q, g, query_id, doc_id)
-        return blocks.top_rows(q_ids, g_ids, np.round(scores, DENSE_DIGITS), k, query_id, doc_id)
+        ids = (blocks.column(q, query_id), blocks.column(g, doc_id))
+        return blocks.top_rows(*ids, blocks.dense_scores(q, g), k, query_id, doc_id)
 
     schema = f"{query_id} {_type(queries, query_id)}, {doc_id} {_type(gallery, doc_id)}, score double"
     partial = blocks.score_blocks(queries, gallery, n_query, n_gallery, score, schema, query_id, doc_id)
@@ -148,26 +155,22 @@ def dense_topk(queries: DataFrame, gallery: DataFrame, k: int, n_query: int, n_g
 def dense_ranks(queries: DataFrame, gallery: DataFrame, n_query: int, n_gallery: int) -> DataFrame:
     """Rank of `truth_id` per query (query_id, truth_id, vector) in a gallery (doc_id, vector)."""
     target = gallery.select(F.col("doc_id").alias("truth_id"), F.col("vector").alias("gv"))
-    known = queries.join(target, "truth_id").withColumn(
-        "truth_score", F.round(arrays.dot(F.col("vector"), F.col("gv")), DENSE_DIGITS)
-    ).drop("gv")
+    bar = F.round(arrays.dot(F.col("vector"), F.col("gv")), DENSE_DIGITS)
+    known = queries.join(target, "truth_id").withColumn("truth_score", bar).drop("gv")
 
     def score(q: pa.Table, g: pa.Table) -> pa.Table:
-        q_ids, g_ids, scores = blocks.dense_scores(q, g, "query_id", "doc_id")
-        truth = q.select(["query_id", "truth_id", "truth_score"]).to_pandas()
-        return blocks.rank_rows(q_ids, g_ids, np.round(scores, DENSE_DIGITS), truth, "query_id")
+        return blocks.rank_rows(q, blocks.column(g, "doc_id"), blocks.dense_scores(q, g), blocks.column(q, "truth_score"), "query_id")
 
     schema = rank_schema(queries, gallery, "query_id", "doc_id")
-    return merge_ranks(blocks.score_blocks(known, gallery, n_query, n_gallery, score, schema), known, "query_id")
+    return merge_ranks(blocks.score_blocks(known, gallery, n_query, n_gallery, score, schema), "query_id")
 
 
 def dense_margins(queries: DataFrame, gallery: DataFrame, n_query: int, n_gallery: int) -> DataFrame:
     """Best score with the query's label and best score with another (column `label` on both sides)."""
 
     def score(q: pa.Table, g: pa.Table) -> pa.Table:
-        q_ids, _, scores = blocks.dense_scores(q, g, "query_id", "doc_id")
-        labels = [t.sort_by(c).column("label").to_numpy() for t, c in ((q, "query_id"), (g, "doc_id"))]
-        return blocks.margin_rows(q_ids, np.round(scores, DENSE_DIGITS), *labels, "query_id")
+        labels = (blocks.column(q, "label"), blocks.column(g, "label"))
+        return blocks.margin_rows(blocks.column(q, "query_id"), blocks.dense_scores(q, g), *labels, "query_id")
 
     schema = f"query_id {_type(queries, 'query_id')}, positive double, negative double"
 
@@ -206,22 +209,21 @@ def multi_vector_topk(queries: DataFrame, gallery: DataFrame, k: int, n_query: i
     `vectors` is an array of equally long arrays; documents may differ in count.
     """
 
-    def unpack(table: pa.Table, id_col: str):
-        table = table.take(np.argsort(table.column(id_col).to_numpy(), kind="stable"))
+    def unpack(table: pa.Table):
         lists = table.column("vectors").combine_chunks()
         counts = np.asarray(lists.value_lengths().to_numpy(zero_copy_only=False))
         inner = lists.flatten()
         flat = np.asarray(inner.flatten().to_numpy(zero_copy_only=False), dtype=float).reshape(len(inner), -1)
-        return table.column(id_col).to_numpy(), np.concatenate([[0], np.cumsum(counts)]), flat
+        return np.concatenate([[0], np.cumsum(counts)]), flat
 
     def score(q: pa.Table, g: pa.Table) -> pa.Table:
-        q_ids, q_at, q_flat = unpack(q, "query_id")
-        g_ids, g_at, g_flat = unpack(g, "doc_id")
-        scores = np.empty((len(q_ids), len(g_ids)))
-        for i in range(len(q_ids)):
+        (q_at, q_flat), (g_at, g_flat) = unpack(q), unpack(g)
+        scores = np.empty((q.num_rows, g.num_rows))
+        for i in range(len(scores)):
             best = np.maximum.reduceat(q_flat[q_at[i] : q_at[i + 1]] @ g_flat.T, g_at[:-1], axis=1)
             scores[i] = best.sum(axis=0)
-        return blocks.top_rows(q_ids, g_ids, np.round(scores, DENSE_DIGITS), k, "query_id", "doc_id")
+        ids = (blocks.column(q, "query_id"), blocks.column(g, "doc_id"))
+        return blocks.top_rows(*ids, np.round(scores, DENSE_DIGITS), k, "query_id", "doc_id")
 
     schema = f"query_id {_type(queries, 'query_id')}, doc_id {_type(gallery, 'doc_id')}, score double"
     return keep_top(blocks.score_blocks(queries, gallery, n_query, n_gallery, score, schema), k)
@@ -248,7 +250,7 @@ def fusion_ranks(query_terms: DataFrame, postings: DataFrame, query_vectors: Dat
     Two passes over the same blocks: the first finds each query's score range over
     the whole gallery, the second counts the documents that beat the truth.
     """
-    gallery = _with_vectors(postings, gallery_vectors, "doc_id")
+    gallery = pack(postings, "doc_id").join(gallery_vectors, "doc_id")
     truth_scores = (
         score_pairs(truth, query_terms, postings)
         .join(query_vectors.select("query_id", F.col("vector").alias("qv")), "query_id")
@@ -258,22 +260,13 @@ def fusion_ranks(query_terms: DataFrame, postings: DataFrame, query_vectors: Dat
             F.round(arrays.dot(F.col("qv"), F.col("gv")), DENSE_DIGITS).alias("truth_dense"),
         )
     )
-    queries = _with_vectors(query_terms.withColumnRenamed("tf", "weight"), query_vectors, "query_id")
-
-    def both(q: pa.Table, g: pa.Table):
-        terms, items = (t.filter(t.column("vector").is_null()) for t in (q, g))
-        q_vec, g_vec = (t.filter(t.column("vector").is_valid()) for t in (q, g))
-        q_ids, g_ids, dense = blocks.dense_scores(q_vec, g_vec, "query_id", "doc_id")
-        s_q, s_g, s = blocks.sparse_scores(terms, items, "query_id", "doc_id", "weight", "weight")
-        sparse = np.zeros_like(dense)
-        sparse[np.ix_(np.searchsorted(q_ids, s_q), np.searchsorted(g_ids, s_g))] = s
-        return q_ids, g_ids, sparse, np.round(dense, DENSE_DIGITS)
+    queries = pack(query_terms, "query_id", "tf").join(query_vectors, "query_id")
 
     def ranges(q: pa.Table, g: pa.Table) -> pa.Table:
-        q_ids, _, sparse, dense = both(q, g)
+        sparse, dense = blocks.sparse_scores(q, g), blocks.dense_scores(q, g)
         return pa.table(
             {
-                "query_id": q_ids, "s_min": sparse.min(axis=1), "s_max": sparse.max(axis=1),
+                "query_id": blocks.column(q, "query_id"), "s_min": sparse.min(axis=1), "s_max": sparse.max(axis=1),
                 "d_min": dense.min(axis=1), "d_max": dense.max(axis=1),
             }
         )
@@ -292,26 +285,18 @@ def fusion_ranks(query_terms: DataFrame, postings: DataFrame, query_vectors: Dat
         return np.round(alpha * s + (1 - alpha) * d, DENSE_DIGITS)
 
     def ranks(q: pa.Table, g: pa.Table) -> pa.Table:
-        q_ids, g_ids, sparse, dense = both(q, g)
-        names = ["query_id", "truth_id", "truth_sparse", "truth_dense", "s_min", "s_max", "d_min", "d_max"]
-        known = q.filter(q.column("vector").is_valid()).select(names).to_pandas().set_index("query_id").loc[q_ids].reset_index()
-        wide = {c: known[c].to_numpy()[:, None] for c in names[2:]}
+        sparse, dense = blocks.sparse_scores(q, g), blocks.dense_scores(q, g)
+        wide = {c: blocks.column(q, c)[:, None] for c in ("truth_sparse", "truth_dense", "s_min", "s_max", "d_min", "d_max")}
         parts = []
         for alpha in alphas:
-            known["truth_score"] = fused(wide["truth_sparse"], wide["truth_dense"], wide, alpha)[:, 0]
-            part = blocks.rank_rows(q_ids, g_ids, fused(sparse, dense, wide, alpha), known, "query_id")
-            parts.append(part.append_column("alpha", pa.array(np.full(len(q_ids), alpha))))
+            bar = fused(wide["truth_sparse"], wide["truth_dense"], wide, alpha)[:, 0]
+            part = blocks.rank_rows(q, blocks.column(g, "doc_id"), fused(sparse, dense, wide, alpha), bar, "query_id")
+            parts.append(part.append_column("alpha", pa.array(np.full(len(bar), alpha))))
         return pa.concat_tables(parts)
 
     schema = rank_schema(queries, postings, "query_id", "doc_id") + ", alpha double"
-    with_bars = queries.join(bars, "query_id")
-    partial = blocks.score_blocks(with_bars, gallery, n_query, n_gallery, ranks, schema)
-    return merge_ranks(partial, bars, "query_id", ["alpha"])
-
-
-def _with_vectors(weights: DataFrame, vectors: DataFrame, id_col: str) -> DataFrame:
-    """Postings and vectors of one side in one frame, so that a block holds both."""
-    return weights.select(id_col, "token", "weight").unionByName(vectors.select(id_col, "vector"), allowMissingColumns=True)
+    partial = blocks.score_blocks(queries.join(bars, "query_id"), gallery, n_query, n_gallery, ranks, schema)
+    return merge_ranks(partial, "query_id", ["alpha"])
 
 
 # ---- sparse label vectors ---------------------------------------------------------------
@@ -353,12 +338,12 @@ def label_topk(queries: DataFrame, gallery: DataFrame, k: int, n_query: int, n_g
     """Sparse cosine top-k of label vectors; documents sharing no label score 0."""
 
     def score(q: pa.Table, g: pa.Table) -> pa.Table:
-        q_ids, g_ids, scores = blocks.sparse_scores(q, g, "query_id", "doc_id", "weight", "weight")
-        return blocks.top_rows(q_ids, g_ids, np.round(scores, DENSE_DIGITS), k, "query_id", "doc_id")
+        ids = (blocks.column(q, "query_id"), blocks.column(g, "doc_id"))
+        return blocks.top_rows(*ids, np.round(blocks.sparse_scores(q, g), DENSE_DIGITS), k, "query_id", "doc_id")
 
     schema = f"query_id {_type(queries, 'query_id')}, doc_id {_type(gallery, 'doc_id')}, score double"
     partial = blocks.score_blocks(
-        unit_labels(queries, "query_id"), unit_labels(gallery, "doc_id"), n_query, n_gallery, score, schema
+        pack(unit_labels(queries, "query_id"), "query_id"), pack(unit_labels(gallery, "doc_id"), "doc_id"), n_query, n_gallery, score, schema
     )
     return keep_top(partial, k)
 
@@ -379,20 +364,17 @@ def keep_top(partial: DataFrame, k: int, query_id: str = "query_id", doc_id: str
 
 
 def rank_schema(queries: DataFrame, gallery: DataFrame, query_id: str, doc_id: str) -> str:
-    return (
-        f"{query_id} {_type(queries, query_id)}, above long, ties_before long, "
-        f"best_id {_type(gallery, doc_id)}, best_score double"
-    )
+    kind = _type(gallery, doc_id)
+    return f"{query_id} {_type(queries, query_id)}, truth_id {kind}, above long, ties_before long, best_id {kind}, best_score double"
 
 
-def merge_ranks(partial: DataFrame, bars: DataFrame, query_id: str, extra: list[str] | None = None) -> DataFrame:
+def merge_ranks(partial: DataFrame, query_id: str, extra: list[str] | None = None) -> DataFrame:
     """Sum the counts of all gallery blocks; best match is the highest score, then the first document."""
-    keys = [query_id, *(extra or [])]
+    keys = [query_id, "truth_id", *(extra or [])]
     best = F.min(F.struct((-F.col("best_score")).alias("s"), "best_id"))
     merged = partial.groupBy(*keys).agg(F.sum("above").alias("above"), F.sum("ties_before").alias("ties"), best.alias("best"))
-    return merged.join(bars.select(query_id, "truth_id"), query_id).select(
+    return merged.select(
         *keys,
-        "truth_id",
         (F.col("above") + F.col("ties") + 1).alias("rank"),
         (F.col("above") + 1).alias("optimistic_rank"),
         F.col("best.best_id").alias("best_id"),
