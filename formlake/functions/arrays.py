@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -17,6 +17,16 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def each(df: DataFrame, keep: list, array: Column, value: str, position: str = "_at") -> DataFrame:
+    """One row per element of `array`, with its position.
+
+    The outer form is used because the plain one makes the optimizer add a filter on
+    the array's size, which computes a costly array twice; empty arrays are dropped after.
+    """
+    rows = df.select(*keep, F.posexplode_outer(array).alias(position, value)).filter(F.col(position).isNotNull())
+    return rows.drop("_at")
+
+
 def indexes(n: Column) -> Column:
     """[0, 1, ..., n-1]; empty for n = 0."""
     return F.when(n > 0, F.sequence(F.lit(0), n.cast("int") - 1)).otherwise(

@@ -7,7 +7,7 @@ from math import ceil
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from formlake.functions.arrays import bind, hash_number, hash_pick
+from formlake.functions.arrays import bind, each, hash_number, hash_pick
 from formlake.functions.text import dictionary_words, half_even
 from formlake.operators.skew import global_rank, group_rank, hash_rank, join_on_counted_key
 
@@ -34,12 +34,12 @@ def region_boxes(metadata: DataFrame, source: DataFrame) -> DataFrame:
     source: source_parquet, id, objects. `row_found` is false when the source row is
     missing, `bbox` null when only the object is.
     """
-    wanted = metadata.select("source_parquet", "row_id", F.explode("qualifying_objects").alias("q")).select(
+    wanted = each(metadata, ["source_parquet", "row_id"], F.col("qualifying_objects"), "q").select(
         "source_parquet", "row_id", F.col("q.object_id").alias("object_id"), F.coalesce("q.area", F.lit(0.0)).alias("area")
     )
     rows = source.select("source_parquet", F.col("id").alias("row_id"), "objects")
     pairs = F.arrays_zip(F.col("objects.id").alias("id"), F.col("objects.bbox").alias("bbox"))
-    boxes = rows.select("source_parquet", "row_id", F.explode(pairs).alias("o")).select(
+    boxes = each(rows, ["source_parquet", "row_id"], pairs, "o").select(
         "source_parquet", "row_id", F.col("o.id").alias("object_id"), F.col("o.bbox").alias("bbox")
     ).filter(F.col("object_id").isNotNull() & F.col("bbox").isNotNull())
     present = rows.select("source_parquet", "row_id").distinct().withColumn("row_found", F.lit(True))
@@ -284,7 +284,7 @@ def augmented_copies(docs: DataFrame, record_id: str = "record_id", shift: int =
 
 def dictionary(texts: DataFrame, text: str = "text", size: int = 500) -> DataFrame:
     """Most frequent words (position, word, count), ties by word; an error when there are too few."""
-    counts = texts.select(F.explode(dictionary_words(F.col(text))).alias("word")).groupBy("word").agg(F.count("*").alias("count"))
+    counts = each(texts, [], dictionary_words(F.col(text)), "word").groupBy("word").agg(F.count("*").alias("count"))
     top = counts.orderBy(F.desc("count"), "word").limit(size)
     rows = top.agg(F.sort_array(F.collect_list(F.struct((-F.col("count")).alias("n"), "word"))).alias("rows"))  # `size` rows
     whole = F.when(F.size("rows") == size, F.col("rows")).otherwise(F.raise_error(F.lit("too few words for the dictionary")).cast(rows.schema["rows"].dataType))

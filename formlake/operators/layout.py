@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from formlake.functions import boxes
-from formlake.functions.arrays import bind, indexes, mean
+from formlake.functions.arrays import bind, each, indexes, mean
 from formlake.functions.text import half_even
 
 EMPTY = "[EMPTY]"
@@ -130,7 +130,7 @@ def word_labels(predictions: DataFrame, docs: DataFrame, n_words: str = "n_words
     """
     best = F.min(F.struct((-F.col("score")).alias("s"), "token_idx", "label"))
     found = predictions.filter(F.col("word_idx") >= 0).groupBy("doc_id", "word_idx").agg(best.alias("b"))
-    words = docs.select("doc_id", F.explode(indexes(F.col(n_words))).alias("word_idx"))
+    words = each(docs, ["doc_id"], indexes(F.col(n_words)), "word_idx")
     return words.join(found, ["doc_id", "word_idx"], "left").select(
         "doc_id", "word_idx",
         F.coalesce("b.label", F.lit("O")).alias("label"),
@@ -202,7 +202,7 @@ def spans(pages: DataFrame, strict: bool = False) -> DataFrame:
     found = span_array(F.col("labels"), F.col("words"), F.col("boxes"), F.col("scores"))
     if strict:
         found = F.filter(found, lambda s: s["starts_b"] & (F.length(s["text"]) > 0))
-    rows = pages.select("doc_id", F.posexplode(found).alias("span_id", "s"))
+    rows = each(pages, ["doc_id"], found, "s", "span_id")
     score = F.bround("s.score", 4) if strict else F.col("s.score")
     return rows.select("doc_id", "span_id", "s.type", "s.first", "s.last", "s.text", score.alias("score"), "s.box.*")
 
@@ -277,7 +277,7 @@ def line_box(line: Column) -> Column:
 
 def lines(pages: DataFrame) -> DataFrame:
     """Line rows (doc_id, line_no, n_words, text, x0, y0, x1, y1)."""
-    rows = pages.select("doc_id", F.posexplode(line_array(F.col("words"), F.col("boxes"))).alias("line_no", "line"))
+    rows = each(pages, ["doc_id"], line_array(F.col("words"), F.col("boxes")), "line", "line_no")
     return rows.select("doc_id", "line_no", F.size("line").alias("n_words"), line_text(F.col("line")).alias("text"), line_box(F.col("line")).alias("b")).select(
         "doc_id", "line_no", "n_words", "text", "b.*"
     )
@@ -321,7 +321,7 @@ def rule_pairs(pages: DataFrame, most: int = 15) -> DataFrame:
     pairs = bind(
         usable, lambda ls: F.when(F.size(ls) <= most, F.transform(ls, lambda line, j: pair(line, j, ls)))
     )
-    rows = pages.select("doc_id", F.posexplode(pairs).alias("pair_idx", "p"))
+    rows = each(pages, ["doc_id"], pairs, "p", "pair_idx")
     return rows.select("doc_id", "pair_idx", "p.key", "p.value", F.lit(0.0).alias("score"), F.lit("rule_based_fallback").alias("source"))
 
 
@@ -426,7 +426,7 @@ def annotation_blocks(forms: DataFrame) -> DataFrame:
     def place(bs: Column) -> Column:
         return bind(offsets(bs), lambda at: F.transform(bs, lambda b, i: F.struct(b.alias("b"), F.get(at, i).alias("first_word"))))
 
-    rows = forms.select("doc_id", F.explode(bind(F.transform(blocks, clean), place)).alias("p"))
+    rows = each(forms, ["doc_id"], bind(F.transform(blocks, clean), place), "p")
     return rows.select(
         "doc_id", F.col("p.b.id").alias("block_id"), F.col("p.b.class").alias("class"), F.col("p.b.box").alias("box"),
         F.col("p.first_word").alias("first_word"), F.col("p.b.words").alias("words"),
@@ -438,7 +438,7 @@ def annotation_labels(blocks: DataFrame, most_words: int | None = None) -> DataF
 
     Words from position `most_words` on, where the model's input ends, are dropped.
     """
-    rows = blocks.select("doc_id", "class", "first_word", F.posexplode("words").alias("j", "word"))
+    rows = each(blocks, ["doc_id", "class", "first_word"], F.col("words"), "word", "j")
     known = F.col("class").isin(*CLASSES) & (F.col("class") != "O")
     tag = F.when(known, F.concat(F.when(F.col("j") == 0, F.lit("B-")).otherwise(F.lit("I-")), F.col("class"))).otherwise(F.lit("O"))
     out = rows.select("doc_id", (F.col("first_word") + F.col("j")).alias("word_idx"), "word", tag.alias("label"))
@@ -447,7 +447,8 @@ def annotation_labels(blocks: DataFrame, most_words: int | None = None) -> DataF
 
 def annotation_relations(forms: DataFrame, blocks: DataFrame) -> DataFrame:
     """(doc_id, from_word, to_word) for links that start at their own block and join two classed blocks."""
-    links = forms.select("doc_id", F.explode("form").alias("b")).select("doc_id", F.col("b.id").alias("own"), F.explode("b.linking").alias("link"))
+    blocks_ = each(forms, ["doc_id"], F.col("form"), "b")
+    links = each(blocks_, ["doc_id", F.col("b.id").alias("own")], F.col("b.linking"), "link")
     own = links.filter(F.get("link", F.lit(0)) == F.col("own")).select("doc_id", "own", F.get("link", F.lit(1)).alias("other"))
     firsts = blocks.filter(F.col("class").isin(*CLASSES)).select("doc_id", "block_id", "first_word")
     start = firsts.select("doc_id", F.col("block_id").alias("own"), F.col("first_word").alias("from_word"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from formlake.functions.arrays import mean
+from formlake.functions.arrays import each, mean
 from formlake.functions.text import blank_to_null, clean_key_part, parse_number, path_stem
 
 BRONZE, SILVER = "bronze/raw-images/", "silver/kvp-json/"
@@ -100,11 +100,10 @@ def parse_silver(objects: DataFrame) -> DataFrame:
 
 
 def gold_fields(silver: DataFrame, transformed_at: Column | None = None) -> DataFrame:
-    """One row per key/value pair of the valid silver objects."""
+    """One row per key/value pair; invalid objects have no pairs."""
     stamp = F.lit(None).cast("string") if transformed_at is None else transformed_at
-    rows = silver.filter("valid").select(
-        "run_id", "template_id", "source_file_name", "silver_path", "created_at", stamp.alias("transformed_at"), F.posexplode("pairs").alias("field_index", "p")
-    )
+    keep = ["run_id", "template_id", "source_file_name", "silver_path", "created_at", stamp.alias("transformed_at")]
+    rows = each(silver, keep, F.col("pairs"), "p", "field_index")
     return rows.select(*(c for c in rows.columns if c != "p"), "p.*")
 
 

@@ -31,13 +31,8 @@ DENSE_DIGITS = blocks.DENSE_DIGITS
 def term_counts(docs: DataFrame, id_col: str = "doc_id", words: str = "words") -> DataFrame:
     """(id, doc_len, token, tf). All words of a document start in one task, so the
     map-side combine already yields the final counts and little is shuffled."""
-    return (
-        docs.select(id_col, tokenize(F.col(words)).alias("tokens"))
-        .select(id_col, "tokens", F.size("tokens").alias("doc_len"))
-        .select(id_col, "doc_len", F.explode("tokens").alias("token"))
-        .groupBy(id_col, "doc_len", "token")
-        .agg(F.count("*").alias("tf"))
-    )
+    tokens = docs.select(id_col, tokenize(F.col(words)).alias("tokens")).select(id_col, "tokens", F.size("tokens").alias("doc_len"))
+    return arrays.each(tokens, [id_col, "doc_len"], F.col("tokens"), "token").groupBy(id_col, "doc_len", "token").agg(F.count("*").alias("tf"))
 
 
 def gallery_sizes(docs: DataFrame, words: str = "words") -> DataFrame:
@@ -323,7 +318,7 @@ def label_vector(response: Column) -> Column:
 
 def label_vectors(responses: DataFrame, id_col: str = "doc_id", response: str = "response") -> DataFrame:
     """(id, label, conf) with the highest confidence per label."""
-    rows = responses.select(id_col, F.explode(label_vector(F.col(response))).alias("e"))
+    rows = arrays.each(responses, [id_col], label_vector(F.col(response)), "e")
     return rows.groupBy(id_col, F.col("e.label").alias("label")).agg(F.greatest(F.max("e.conf"), F.lit(0.0)).alias("conf"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from formlake.functions.arrays import each
 from formlake.functions.text import split_words
 from formlake.operators import augment
 from formlake.plans.registry import table
@@ -110,8 +111,8 @@ def page_labels(words: Column) -> Column:
 def pages(spark: SparkSession, sf: str) -> DataFrame:
     """One row per document with words, pixel boxes, BIO labels and scores."""
     w = F.col("words")
-    found = docs(spark, sf).filter(F.size("words") > 0)
-    return found.select(
+    filled = table(spark, sf, "documents").filter(F.col("text").rlike("[^ \\t\\r\\n]"))
+    return filled.select("doc_id", "source", split_words(F.col("text")).alias("words")).select(
         "doc_id", "source", "words", page_boxes(w).alias("boxes"), page_labels(w).alias("labels"),
         F.transform(w, lambda x: (50 + F.length(x) % 50) / 100).alias("scores"), F.size("words").alias("n_words"),
     )
@@ -120,7 +121,7 @@ def pages(spark: SparkSession, sf: str) -> DataFrame:
 def words_long(page_rows: DataFrame) -> DataFrame:
     """Word rows (doc_id, word_idx, n_words, text, label, score, x0, y0, x1, y1)."""
     zipped = F.arrays_zip("words", "boxes", "labels", "scores")
-    rows = page_rows.select("doc_id", "n_words", F.posexplode(zipped).alias("word_idx", "z"))
+    rows = each(page_rows, ["doc_id", "n_words"], zipped, "z", "word_idx")
     at = [F.get("z.boxes", F.lit(i)).alias(c) for i, c in enumerate(("x0", "y0", "x1", "y1"))]
     return rows.select("doc_id", "word_idx", "n_words", F.col("z.words").alias("text"), F.col("z.labels").alias("label"), F.col("z.scores").alias("score"), *at)
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from formlake.functions import boxes
-from formlake.functions.arrays import indexes
+from formlake.functions.arrays import each, indexes
 from formlake.operators import evaluation, layout, spatial
 from formlake.plans.inputs import PAGE, SPANS, STRICT, pages, spans_sql, words_long
 from formlake.plans.registry import query, table
@@ -110,7 +110,7 @@ def neighbours(spark, sf):
     """Each word's box with the next word's."""
     p = pages(spark, sf)
     zipped = F.transform(indexes(F.size("boxes") - 1), lambda i: F.struct(F.get("boxes", i).alias("a"), F.get("boxes", i + 1).alias("b")))
-    rows = p.select("doc_id", "n_words", F.explode(zipped).alias("p"))
+    rows = each(p, ["doc_id", "n_words"], zipped, "p")
     return rows.select("doc_id", "n_words", F.col("p.a").alias("a"), F.col("p.b").alias("b"))
 
 
@@ -188,7 +188,7 @@ FROM documents d LEFT JOIN per USING (doc_id)""")
 def ocr_response_words(spark, sf):
     parsed = ocr_responses(spark, sf).select("doc_id", F.from_json("json", layout.OCR_RESPONSE).alias("r"))
     items = layout.flatten_response(F.col("r"), F.lit(1000), F.lit(800))
-    rows = parsed.select("doc_id", F.explode(items).alias("t"))
+    rows = each(parsed, ["doc_id"], items, "t")
     return rows.groupBy("doc_id").agg(
         F.count("*").alias("words"), F.sum(F.length("t.text")).alias("chars"), F.round(F.sum("t.confidence"), 4).alias("confidence"),
         F.sum(F.get("t.box", F.lit(0))).alias("x"), F.sum(F.get("t.box", F.lit(1))).alias("y"),
@@ -203,7 +203,7 @@ FROM (SELECT DISTINCT doc_id FROM page) d LEFT JOIN kept USING (doc_id)""")
 def confident_words(spark, sf):
     """Confidence is seven per letter, and no number for words of 3, 7, 11 .. letters."""
     confidence = F.transform("words", lambda w: F.when(F.length(w) % 4 == 3, F.lit("n/a")).otherwise((F.length(w) * 7).cast("string")))
-    kept = pages(spark, sf).select("doc_id", F.explode(layout.keep_confident(F.col("words"), F.col("boxes"), confidence)).alias("t"))
+    kept = each(pages(spark, sf), ["doc_id"], layout.keep_confident(F.col("words"), F.col("boxes"), confidence), "t")
     return kept.groupBy("doc_id").agg(
         F.count("*").alias("words"), F.sum(F.length("t.text")).alias("chars"), F.sum(F.get("t.box", F.lit(0))).alias("x")
     )

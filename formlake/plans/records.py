@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from formlake.functions import text
+from formlake.functions.arrays import each
 from formlake.operators import events, gates
 from formlake.operators.curation import numbered_slugs
 from formlake.operators.skew import global_rank
@@ -127,7 +128,7 @@ def mismatched_payloads(spark, sf):
 
 def review_rows(spark, sf) -> DataFrame:
     """Each line of a document as a reviewed row; lines of odd length were typed in by hand."""
-    rows = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("row", "line"))
+    rows = each(table(spark, sf, "documents"), ["doc_id"], F.split("text", "\n"), "line", "row")
     n, null = F.length("line"), F.lit(None)
     key = F.when(n % 6 == 0, F.lit("  ")).otherwise(F.concat(F.lit(" "), F.substring_index("line", " ", 1)))
     value = F.when(n % 6 == 0, F.when(n % 12 == 0, null.cast("string")).otherwise("typed")).otherwise(F.concat("line", F.lit(" ")))
@@ -198,7 +199,7 @@ def unique_slugs(spark, sf):
 parsed AS (SELECT doc_id, CASE WHEN regexp_matches(w, {NUMBER}) THEN trim(w)::DOUBLE END AS v FROM words)
 SELECT doc_id, count(*) AS words, count(v) AS numbers, min(v) AS low, max(v) AS high FROM parsed GROUP BY ALL""")
 def number_parsing(spark, sf):
-    rows = inputs.docs(spark, sf).select("doc_id", F.explode("words").alias("w")).withColumn("v", text.parse_number(F.col("w")))
+    rows = each(inputs.docs(spark, sf), ["doc_id"], F.col("words"), "w").withColumn("v", text.parse_number(F.col("w")))
     return rows.groupBy("doc_id").agg(F.count("*").alias("words"), F.count("v").alias("numbers"), F.min("v").alias("low"), F.max("v").alias("high"))
 
 
