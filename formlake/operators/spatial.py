@@ -124,13 +124,13 @@ def nearest_keys(values: DataFrame, keys: DataFrame) -> DataFrame:
         bands = F.explode(F.sequence(F.floor(cy_v / reach) - 1, F.floor(cy_v / reach) + 1))
         met = pending.withColumn("band", bands).join(keys.withColumn("band", F.floor(cy_k / reach)), ["doc_id", "band"])
         best = met.groupBy("doc_id", "span_id").agg(F.min(F.struct(key_distance(v, k).alias("distance"), "key_id")).alias("b"))
-        found = pending.join(best, ["doc_id", "span_id"], "left")
+        found = cut(pending.join(best, ["doc_id", "span_id"], "left"))
         last = reach > extent
         bound = min(reach + 100, 2 * reach)
         done = found if last else found.filter(F.col("b.distance") <= bound)
         done = done.select(*values.columns, F.col("b.key_id").alias("key_id"), F.col("b.distance").alias("distance"))
         settled = done if settled is None else settled.unionByName(done)
-        if last:
+        pending = found.filter(F.coalesce(F.col("b.distance") > bound, F.lit(True))).select(*values.columns)
+        if last or pending.isEmpty():
             return settled
-        pending = cut(found.filter(F.coalesce(F.col("b.distance") > bound, F.lit(True))).select(*values.columns))
         reach *= REACH_STEP

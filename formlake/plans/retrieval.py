@@ -18,12 +18,11 @@ SHORTLISTS = (25, 50, 100)
 ALPHAS = (0.9, 0.7, 0.5, 0.3)
 
 
-def text_setup(spark: SparkSession, sf: str, clean: bool = False):
-    """Query terms, postings and block counts; postings are written once and reused."""
+def text_setup(spark: SparkSession, sf: str):
+    """Query terms, postings and block count; terms and postings are written once and reused."""
     gallery = inputs.docs(spark, sf)
-    queries = gallery.withColumnRenamed("doc_id", "query_id") if clean else inputs.corrupted(spark, sf)
     n = blocks.block_count(retrieval.gallery_sizes(gallery))
-    return cut(retrieval.term_counts(queries, "query_id")), cut(retrieval.bm25_postings(gallery)), n
+    return cut(retrieval.term_counts(inputs.corrupted(spark, sf), "query_id")), cut(retrieval.bm25_postings(gallery)), n
 
 
 def self_truth(terms: DataFrame) -> DataFrame:
@@ -77,14 +76,10 @@ RANKS = """ranks AS (
   FROM scores s JOIN scores t ON t.query_id = s.query_id AND t.doc_id = s.query_id GROUP BY ALL)"""
 
 
-def text_ranks(spark, sf, clean=False):
-    terms, postings, n = text_setup(spark, sf, clean)
-    return retrieval.bm25_ranks(terms, postings, self_truth(terms), n, n)
-
-
 @query(f"{RETRIEVAL},\n{SCORES},\n{RANKS}\nSELECT * FROM ranks")
 def bm25_ranks(spark, sf):
-    return text_ranks(spark, sf)
+    terms, postings, n = text_setup(spark, sf)
+    return retrieval.bm25_ranks(terms, postings, self_truth(terms), n, n)
 
 
 CLEAN = RETRIEVAL + """,
@@ -109,8 +104,14 @@ summaries AS (
 
 
 def both_summaries(spark, sf):
-    modes = [text_ranks(spark, sf, clean).withColumn("mode", F.lit(m)) for m, clean in (("clean", True), ("corrupt", False))]
-    return ranking.summary(modes[0].unionByName(modes[1]), ["mode"], rank="optimistic_rank")
+    """Clean and corrupted queries in one pass over the blocks, told apart by the sign of their id."""
+    corrupt, postings, n = text_setup(spark, sf)
+    clean = retrieval.term_counts(inputs.docs(spark, sf)).withColumn("query_id", -1 - F.col("doc_id")).drop("doc_id")
+    terms = cut(corrupt.unionByName(clean))
+    is_clean = F.col("query_id") < 0
+    truth = terms.select("query_id", F.when(is_clean, -1 - F.col("query_id")).otherwise(F.col("query_id")).alias("doc_id")).distinct()
+    ranks = retrieval.bm25_ranks(terms, postings, truth, 2 * n, n)
+    return ranking.summary(ranks.withColumn("mode", F.when(is_clean, "clean").otherwise("corrupt")), ["mode"], rank="optimistic_rank")
 
 
 @query(f"{CLEAN}\nSELECT * FROM summaries")
