@@ -42,6 +42,11 @@ def spread(spark: SparkSession, n_query: int, n_gallery: int) -> int:
     return max(n_query, ceil(slots / n_gallery))
 
 
+def fresh(df: DataFrame) -> DataFrame:
+    """The frame with its columns renamed onto themselves, for sides that may come from one frame."""
+    return df.select(*(F.col(c).alias(c) for c in df.columns))
+
+
 def score_blocks(
     queries: DataFrame,
     gallery: DataFrame,
@@ -66,9 +71,7 @@ def score_blocks(
 
     tasks = n_query * n_gallery
     q = queries.withColumn("qb", block(query_id, n_query)).withColumn("gb", copies(n_gallery))
-    # renamed onto themselves: both sides may come from one frame
-    g = gallery.select(*(F.col(c).alias(c) for c in gallery.columns))
-    g = g.withColumn("gb", block(gallery_id, n_gallery)).withColumn("qb", copies(n_query))
+    g = fresh(gallery).withColumn("gb", block(gallery_id, n_gallery)).withColumn("qb", copies(n_query))
     fields = pa.schema([(n, ARROW_TYPES[t]) for n, t in (c.split() for c in schema.split(", "))])
 
     def task(left: pa.Table, right: pa.Table) -> pa.Table:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -180,22 +180,57 @@ def dense_margins(queries: DataFrame, gallery: DataFrame, n_query: int, n_galler
     )
 
 
-def lsh_topk(queries: DataFrame, gallery: DataFrame, k: int, max_distance: float, bucket_length: float = 0.5, tables: int = 8, seed: int = 7) -> DataFrame:
-    """Approximate top-k: random-projection buckets find candidates, cosine ranks them.
+def lsh_topk(queries: DataFrame, gallery: DataFrame, k: int, tables: int = 8, bits: int = 6, seed: int = 7) -> DataFrame:
+    """Approximate cosine top-k: queries meet only gallery vectors of an equal signature.
 
-    On unit vectors the squared distance is 2 - 2 cos.
+    A signature is the sides of `bits` random planes a vector lies on, one per table.
+    The vectors of a signature are scored in blocks, more blocks the more there are,
+    so a crowded signature is spread over tasks and no pairs are emitted. Signature
+    counts are at most tables * 2**bits rows, which bounds what is broadcast.
     """
-    q = queries.select("query_id", array_to_vector(F.col("vector")).alias("features"))
-    g = gallery.select("doc_id", array_to_vector(F.col("vector")).alias("features"))
-    model = BucketedRandomProjectionLSH(
-        inputCol="features", outputCol="hashes", bucketLength=bucket_length, numHashTables=tables, seed=seed
-    ).fit(g)
-    near = model.approxSimilarityJoin(q, g, max_distance, distCol="distance").select(
-        F.col("datasetA.query_id").alias("query_id"),
-        F.col("datasetB.doc_id").alias("doc_id"),
-        F.round(1 - F.col("distance") * F.col("distance") / 2, DENSE_DIGITS).alias("score"),
+    planes = BucketedRandomProjectionLSH(
+        inputCol="features", outputCol="hashes", bucketLength=4.0, numHashTables=tables * bits, seed=seed
+    ).fit(gallery.select(array_to_vector(F.col("vector")).alias("features")))
+
+    def signed(df: DataFrame, id_col: str) -> DataFrame:
+        hashed = planes.transform(df.withColumn("features", array_to_vector(F.col("vector"))))
+        # on unit vectors and buckets of length 4 a hash is 0 or -1: the side of its plane
+        sides = F.transform("hashes", lambda h: vector_to_array(h)[0].cast("string"))
+        parts = F.transform(
+            arrays.indexes(F.lit(tables)), lambda t: F.concat(t.cast("string"), F.lit("|"), F.array_join(F.slice("sides", t * bits + 1, bits), ""))
+        )
+        return arrays.each(hashed.withColumn("sides", sides), [id_col, "vector"], parts, "bucket")
+
+    q, g = signed(queries, "query_id"), signed(blocks.fresh(gallery), "doc_id")
+
+    def counts(df: DataFrame, name: str) -> DataFrame:
+        n = F.ceil(F.count("*") / blocks.IDS_PER_BLOCK).cast("int")
+        return df.groupBy("bucket").agg(n.alias(name))
+
+    sizes = F.broadcast(counts(q, "n_q").join(counts(g, "n_g"), "bucket"))
+
+    def dealt(df: DataFrame, id_col: str, own: str, other: str, n_own: str, n_other: str) -> DataFrame:
+        placed = df.join(sizes, "bucket").withColumn(own, F.pmod(F.xxhash64(id_col), F.col(n_own)).cast("int"))
+        return placed.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(n_other) - 1))).drop("n_q", "n_g")
+
+    fields = pa.schema([
+        ("query_id", blocks.ARROW_TYPES[_type(queries, "query_id")]), ("doc_id", blocks.ARROW_TYPES[_type(gallery, "doc_id")]), ("score", pa.float64()),
+    ])
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        if left.num_rows == 0 or right.num_rows == 0:
+            return fields.empty_table()
+        left, right = blocks.ordered(left, "query_id"), blocks.ordered(right, "doc_id")
+        ids = (blocks.column(left, "query_id"), blocks.column(right, "doc_id"))
+        return blocks.top_rows(*ids, blocks.dense_scores(left, right), k, "query_id", "doc_id").cast(fields)
+
+    keys = ["bucket", "qb", "gb"]
+    near = (
+        dealt(q, "query_id", "qb", "gb", "n_q", "n_g").groupBy(*keys)
+        .cogroup(dealt(g, "doc_id", "gb", "qb", "n_g", "n_q").groupBy(*keys))
+        .applyInArrow(score, f"query_id {_type(queries, 'query_id')}, doc_id {_type(gallery, 'doc_id')}, score double")
     )
-    return keep_top(near, k)
+    return keep_top(near.groupBy("query_id", "doc_id").agg(F.max("score").alias("score")), k)
 
 
 def multi_vector_topk(queries: DataFrame, gallery: DataFrame, k: int, n_query: int, n_gallery: int) -> DataFrame:

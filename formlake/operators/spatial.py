@@ -63,11 +63,12 @@ def coverage_labels(words: DataFrame, regions: DataFrame, threshold: float = 0.3
     near = overlap_join(words, regions).filter(share >= threshold).select(
         "doc_id", "word_idx", F.col("r_pair_idx").alias("pair_idx"), F.col("r_role").alias("role")
     )
-    first = near.groupBy("doc_id", "pair_idx", "role").agg(F.min("word_idx").alias("first"), F.count("*").alias("n"))
+    near = near.withColumn("region", F.struct("doc_id", "pair_idx", "role"))
+    first = near.groupBy("region").agg(F.min("word_idx").alias("first"), F.count("*").alias("n"))
     tag = F.concat(F.when(F.col("word_idx") == F.col("first"), F.lit("B-")).otherwise(F.lit("I-")), F.col("role"))
     last = F.max(F.struct("pair_idx", (F.col("role") == "VAL").alias("v"), tag.alias("label")))
     return (
-        near.join(first, ["doc_id", "pair_idx", "role"])
+        join_on_counted_key(near, first, "region", "n", "word_idx")  # one region may cover most words
         .groupBy("doc_id", "word_idx").agg(last.alias("l")).select("doc_id", "word_idx", F.col("l.label").alias("label"))
     )
 

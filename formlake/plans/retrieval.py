@@ -244,7 +244,7 @@ def dense_topk_approximate(spark, sf):
     q, g = vectors(spark, sf, "query_id").drop("label"), vectors(spark, sf).drop("label")
     n = vector_blocks(g)
     exact = retrieval.dense_topk(q, g, 10, n, n).select("query_id", "doc_id", F.col("position").alias("exact_position"))
-    near = retrieval.lsh_topk(q, g, 10, max_distance=1.5).select("query_id", "doc_id", F.lit(1).alias("found"))
+    near = retrieval.lsh_topk(q, g, 10, tables=16, bits=3).select("query_id", "doc_id", F.lit(1).alias("found"))
     return exact.join(near, ["query_id", "doc_id"], "left").agg(F.round(F.count("found") / F.count("*"), 6).alias("recall"))
 
 

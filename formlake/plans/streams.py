@@ -107,12 +107,9 @@ def stream_dashboard(spark, sf):
 def stream_jobs(spark, sf):
     """Final job rows of the stateful stream; all changes of a run arrive in one file."""
     changes = records.job_changes(spark, sf).withColumn("run_id", F.col("run_id").cast("string"))
-    out = name()
-    source = jobs.stream(spark, arrive(changes, 1), jobs.CHANGE)
-    stream = jobs.track_jobs(source).writeStream.outputMode("update").format("memory").queryName(out)
-    # with timeouts there is always another batch, so only a single one ends by itself
-    stream.option("checkpointLocation", scratch(spark, "state")).trigger(once=True).start().awaitTermination()
-    last = spark.table(out).groupBy("run_id").agg(F.max(F.struct("updated_at", "status", "kvp_status")).alias("j"))
+    out, state = folders(spark)
+    jobs.store_jobs(jobs.stream(spark, arrive(changes, 1), jobs.CHANGE), out, state).awaitTermination()
+    last = spark.read.schema(jobs.JOB).parquet(out).groupBy("run_id").agg(F.max(F.struct("updated_at", "status", "kvp_status")).alias("j"))
     return last.select("run_id", "j.status", "j.kvp_status", F.unix_seconds("j.updated_at").alias("updated"))
 
 

@@ -139,6 +139,19 @@ def _job_row(run_id: str, job: dict) -> pd.DataFrame:
     return row
 
 
+def store_jobs(changes: DataFrame, out: str, checkpoint: str, once: bool = True) -> StreamingQuery:
+    """Job rows of `track_jobs`, one folder per batch; the latest row of a run is its state.
+
+    With timeouts there is always another batch, so `once` runs a single one.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    writer = track_jobs(changes).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(once=True) if once else writer).start()
+
+
 def track_jobs(changes: DataFrame) -> DataFrame:
     """Current job rows from a stream of changes (run_id, seq, action, at)."""
     return changes.groupBy("run_id").applyInPandasWithState(_advance, JOB, STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)

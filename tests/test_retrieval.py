@@ -85,7 +85,7 @@ def test_approximate_topk_finds_most(spark):
     g = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "doc_id long, vector array<double>")
     q = g.withColumnRenamed("doc_id", "query_id")
     exact = {(r["query_id"], r["doc_id"]) for r in retrieval.dense_topk(q, g, 5, 1, 1).collect()}
-    near = {(r["query_id"], r["doc_id"]) for r in retrieval.lsh_topk(q, g, 5, 1.0).collect()}
+    near = {(r["query_id"], r["doc_id"]) for r in retrieval.lsh_topk(q, g, 5, tables=8, bits=4).collect()}
     assert len(exact & near) / len(exact) > 0.9
 
 
