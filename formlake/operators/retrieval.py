@@ -28,11 +28,34 @@ DENSE_DIGITS = blocks.DENSE_DIGITS
 # ---- BM25 -----------------------------------------------------------------------------
 
 
+def term_arrays(docs: DataFrame, id_col: str = "doc_id", words: str = "words") -> DataFrame:
+    """(id, doc_len, tokens, weights): distinct tokens of each document with their counts.
+
+    Counted inside the row, as run lengths of the sorted tokens: no shuffle.
+    """
+
+    def counted(s: Column) -> Column:
+        starts = F.filter(arrays.indexes(F.size(s)), lambda i: F.coalesce(F.get(s, i) != F.get(s, i - 1), F.lit(True)))
+
+        def runs(at: Column) -> Column:
+            lengths = F.transform(at, lambda i, j: (F.coalesce(F.get(at, j + 1), F.size(s)) - i).cast("long"))
+            return F.struct(F.size(s).alias("doc_len"), F.transform(at, lambda i: F.get(s, i)).alias("tokens"), lengths.alias("weights"))
+
+        return arrays.bind(starts, runs)
+
+    found = arrays.bind(F.sort_array(tokenize(F.col(words))), counted)
+    return docs.select(id_col, found.alias("t")).select(id_col, "t.*")
+
+
+def term_rows(terms: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The arrays of `term_arrays` as rows (id, doc_len, token, tf)."""
+    rows = arrays.each(terms, [id_col, "doc_len"], F.arrays_zip("tokens", "weights"), "t")
+    return rows.select(id_col, "doc_len", F.col("t.tokens").alias("token"), F.col("t.weights").alias("tf"))
+
+
 def term_counts(docs: DataFrame, id_col: str = "doc_id", words: str = "words") -> DataFrame:
-    """(id, doc_len, token, tf). All words of a document start in one task, so the
-    map-side combine already yields the final counts and little is shuffled."""
-    tokens = docs.select(id_col, tokenize(F.col(words)).alias("tokens")).select(id_col, "tokens", F.size("tokens").alias("doc_len"))
-    return arrays.each(tokens, [id_col, "doc_len"], F.col("tokens"), "token").groupBy(id_col, "doc_len", "token").agg(F.count("*").alias("tf"))
+    """(id, doc_len, token, tf)."""
+    return term_rows(term_arrays(docs, id_col, words), id_col)
 
 
 def gallery_sizes(docs: DataFrame, words: str = "words") -> DataFrame:
@@ -56,10 +79,10 @@ def bm25_postings(docs: DataFrame, id_col: str = "doc_id", words: str = "words")
     return joined.select(id_col, "token", F.round(idf * tf_part * GRID).cast("long").alias("weight"))
 
 
-def score_pairs(pairs: DataFrame, query_terms: DataFrame, postings: DataFrame, query_id: str = "query_id", doc_id: str = "doc_id") -> DataFrame:
-    """BM25 score of given (query, document) pairs; 0 when nothing is shared."""
+def score_pairs(pairs: DataFrame, queries: DataFrame, postings: DataFrame, query_id: str = "query_id", doc_id: str = "doc_id") -> DataFrame:
+    """BM25 score of given (query, document) pairs; 0 when nothing is shared. `queries` are term arrays."""
     hits = (
-        pairs.join(query_terms.select(query_id, "token", "tf"), query_id)
+        pairs.join(term_rows(queries, query_id).select(query_id, "token", "tf"), query_id)
         .join(postings, [doc_id, "token"])
         .groupBy(query_id, doc_id)
         .agg(F.sum(F.col("tf") * F.col("weight")).alias("units"))
@@ -75,31 +98,31 @@ def pack(weights: DataFrame, id_col: str, weight: str = "weight") -> DataFrame:
     return weights.groupBy(id_col).agg(F.collect_list("token").alias("tokens"), F.collect_list(weight).alias("weights"))
 
 
-def bm25_topk(query_terms: DataFrame, postings: DataFrame, k: int, n_query: int, n_gallery: int, query_id: str = "query_id", doc_id: str = "doc_id") -> DataFrame:
+def bm25_topk(queries: DataFrame, postings: DataFrame, k: int, n_query: int, n_gallery: int, query_id: str = "query_id", doc_id: str = "doc_id") -> DataFrame:
     """(query, document, units, position) of the k best; documents sharing no token fill up with 0."""
 
     def score(q: pa.Table, g: pa.Table) -> pa.Table:
         ids = (blocks.column(q, query_id), blocks.column(g, doc_id))
         return blocks.top_rows(*ids, blocks.sparse_scores(q, g), k, query_id, doc_id)
 
-    kinds = (_type(query_terms, query_id), _type(postings, doc_id))
+    kinds = (_type(queries, query_id), _type(postings, doc_id))
     partial = blocks.score_blocks(
-        pack(query_terms, query_id, "tf"), pack(postings, doc_id), n_query, n_gallery, score,
+        queries.select(query_id, "tokens", "weights"), pack(postings, doc_id), n_query, n_gallery, score,
         f"{query_id} {kinds[0]}, {doc_id} {kinds[1]}, score double", query_id, doc_id,
     )
     return keep_top(partial, k, query_id, doc_id).withColumn("units", F.col("score").cast("long")).drop("score")
 
 
-def bm25_ranks(query_terms: DataFrame, postings: DataFrame, truth: DataFrame, n_query: int, n_gallery: int, query_id: str = "query_id", doc_id: str = "doc_id") -> DataFrame:
+def bm25_ranks(queries: DataFrame, postings: DataFrame, truth: DataFrame, n_query: int, n_gallery: int, query_id: str = "query_id", doc_id: str = "doc_id") -> DataFrame:
     """Rank of the true document per query, ordinal and optimistic, and the best match.
 
     `truth`: (query, document). The truth scores come from an equi-join first; the
     blocks then only count what beats them.
     """
-    bars = score_pairs(truth, query_terms, postings, query_id, doc_id).select(
+    bars = score_pairs(truth, queries, postings, query_id, doc_id).select(
         query_id, F.col(doc_id).alias("truth_id"), F.col("units").cast("double").alias("truth_score")
     )
-    queries = pack(query_terms, query_id, "tf").join(bars, query_id)
+    queries = queries.select(query_id, "tokens", "weights").join(bars, query_id)
 
     def score(q: pa.Table, g: pa.Table) -> pa.Table:
         return blocks.rank_rows(q, blocks.column(g, doc_id), blocks.sparse_scores(q, g), blocks.column(q, "truth_score"), query_id)
@@ -274,7 +297,7 @@ def rerank(shortlist: DataFrame, query_vectors: DataFrame, gallery_vectors: Data
     return scored.withColumn("rank", F.row_number().over(order))
 
 
-def fusion_ranks(query_terms: DataFrame, postings: DataFrame, query_vectors: DataFrame, gallery_vectors: DataFrame, truth: DataFrame, alphas: tuple[float, ...], n_query: int, n_gallery: int) -> DataFrame:
+def fusion_ranks(queries: DataFrame, postings: DataFrame, query_vectors: DataFrame, gallery_vectors: DataFrame, truth: DataFrame, alphas: tuple[float, ...], n_query: int, n_gallery: int) -> DataFrame:
     """Rank of the truth under alpha*minmax(bm25) + (1-alpha)*minmax(dense), one row per query and alpha.
 
     Two passes over the same blocks: the first finds each query's score range over
@@ -282,7 +305,7 @@ def fusion_ranks(query_terms: DataFrame, postings: DataFrame, query_vectors: Dat
     """
     gallery = pack(postings, "doc_id").join(gallery_vectors, "doc_id")
     truth_scores = (
-        score_pairs(truth, query_terms, postings)
+        score_pairs(truth, queries, postings)
         .join(query_vectors.select("query_id", F.col("vector").alias("qv")), "query_id")
         .join(gallery_vectors.select("doc_id", F.col("vector").alias("gv")), "doc_id")
         .select(
@@ -290,7 +313,7 @@ def fusion_ranks(query_terms: DataFrame, postings: DataFrame, query_vectors: Dat
             F.round(arrays.dot(F.col("qv"), F.col("gv")), DENSE_DIGITS).alias("truth_dense"),
         )
     )
-    queries = pack(query_terms, "query_id", "tf").join(query_vectors, "query_id")
+    queries = queries.select("query_id", "tokens", "weights").join(query_vectors, "query_id")
 
     def ranges(q: pa.Table, g: pa.Table) -> pa.Table:
         sparse, dense = blocks.sparse_scores(q, g), blocks.dense_scores(q, g)

@@ -22,11 +22,11 @@ def text_setup(spark: SparkSession, sf: str):
     """Query terms, postings and block count; terms and postings are written once and reused."""
     gallery = inputs.docs(spark, sf)
     n = blocks.block_count(retrieval.gallery_sizes(gallery))
-    return cut(retrieval.term_counts(inputs.corrupted(spark, sf), "query_id")), cut(retrieval.bm25_postings(gallery)), n
+    return cut(retrieval.term_arrays(inputs.corrupted(spark, sf), "query_id")), cut(retrieval.bm25_postings(gallery)), n
 
 
 def self_truth(terms: DataFrame) -> DataFrame:
-    return terms.select("query_id", F.col("query_id").alias("doc_id")).distinct()
+    return terms.select("query_id", F.col("query_id").alias("doc_id"))
 
 
 @query(f"""WITH {inputs.TOKENS}
@@ -106,10 +106,10 @@ summaries AS (
 def both_summaries(spark, sf):
     """Clean and corrupted queries in one pass over the blocks, told apart by the sign of their id."""
     corrupt, postings, n = text_setup(spark, sf)
-    clean = retrieval.term_counts(inputs.docs(spark, sf)).withColumn("query_id", -1 - F.col("doc_id")).drop("doc_id")
+    clean = retrieval.term_arrays(inputs.docs(spark, sf)).withColumn("query_id", -1 - F.col("doc_id")).drop("doc_id")
     terms = cut(corrupt.unionByName(clean))
     is_clean = F.col("query_id") < 0
-    truth = terms.select("query_id", F.when(is_clean, -1 - F.col("query_id")).otherwise(F.col("query_id")).alias("doc_id")).distinct()
+    truth = terms.select("query_id", F.when(is_clean, -1 - F.col("query_id")).otherwise(F.col("query_id")).alias("doc_id"))
     ranks = retrieval.bm25_ranks(terms, postings, truth, 2 * n, n)
     return ranking.summary(ranks.withColumn("mode", F.when(is_clean, "clean").otherwise("corrupt")), ["mode"], rank="optimistic_rank")
 
@@ -149,7 +149,7 @@ def missing_truth_policies(spark, sf):
     found = self_truth(terms).join(labelled, "doc_id", "left_semi")
     present = terms.join(found.select("query_id"), "query_id", "left_semi")
     ranks = retrieval.bm25_ranks(present, gallery, found, n, n).select("query_id", "optimistic_rank")
-    everything = terms.select("query_id").distinct().join(ranks, "query_id", "left").withColumn("n", labelled.agg(F.count("*")).scalar())
+    everything = terms.select("query_id").join(ranks, "query_id", "left").withColumn("n", labelled.agg(F.count("*")).scalar())
     parts = []
     for policy in ("after", "zero"):
         rank, reciprocal = ranking.missing_truth(F.col("optimistic_rank"), F.col("n"), policy)
@@ -376,7 +376,8 @@ def hashed_vectors(terms: DataFrame, id_col: str) -> DataFrame:
 def hybrid_setup(spark, sf):
     terms, postings, n = text_setup(spark, sf)
     gallery_terms = retrieval.term_counts(inputs.docs(spark, sf))
-    return terms, postings, cut(hashed_vectors(terms, "query_id")), cut(hashed_vectors(gallery_terms, "doc_id")), n
+    query_terms = retrieval.term_rows(terms, "query_id")
+    return terms, postings, cut(hashed_vectors(query_terms, "query_id")), cut(hashed_vectors(gallery_terms, "doc_id")), n
 
 
 def hashed_sql(source: str, id_col: str) -> str:
@@ -417,7 +418,7 @@ def hybrid_rerank(spark, sf):
     truth = scored.filter(F.col("query_id") == F.col("doc_id")).select("query_id", "shortlist_size", F.col("dense").alias("bar"))
     beats = (F.col("dense") > F.col("bar")) | ((F.col("dense") == F.col("bar")) & (F.col("doc_id") < F.col("query_id")))
     found = scored.join(truth, ["query_id", "shortlist_size"]).groupBy("query_id", "shortlist_size").agg((F.count_if(beats) + 1).alias("r"))
-    grid = terms.select("query_id").distinct().withColumn("shortlist_size", F.explode(F.array(*(F.lit(s).cast("long") for s in SHORTLISTS))))
+    grid = terms.select("query_id").withColumn("shortlist_size", F.explode(F.array(*(F.lit(s).cast("long") for s in SHORTLISTS))))
     size = inputs.docs(spark, sf).agg(F.count("*")).scalar()
     rank, reciprocal = ranking.missing_truth(F.col("r"), size, "zero")
     ranks = grid.join(found, ["query_id", "shortlist_size"], "left").select("shortlist_size", rank.alias("rank"), reciprocal.alias("rr"))
