@@ -105,8 +105,12 @@ def nan_to_null(value: Column) -> Column:
     return F.when(~F.isnan(value), value)
 
 
-def iso_utc(ts: Column) -> Column:
-    """ISO-8601 text with microseconds and a UTC offset."""
+def iso_utc(ts: Column, instant: bool = True) -> Column:
+    """ISO-8601 text with microseconds and a UTC offset, whatever the session's time zone.
+
+    `instant` is false for timestamps without a zone, which already hold UTC.
+    """
+    ts = F.to_utc_timestamp(ts, F.current_timezone()) if instant else ts
     return F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00"))
 
 

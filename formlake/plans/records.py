@@ -207,7 +207,7 @@ def number_parsing(spark, sf):
   greatest(0, least(100, floor(value / 100 * 100 + 0.5)))::INT AS percent, (props->>'$.k')::BIGINT AS k FROM events""")
 def event_functions(spark, sf):
     return table(spark, sf, "events").select(
-        "event_id", text.iso_utc(F.col("ts")).alias("iso"), text.stable_seed(F.concat("event_type", F.col("event_id").cast("string")), 42).alias("seed"),
+        "event_id", text.iso_utc(F.col("ts"), instant=False).alias("iso"), text.stable_seed(F.concat("event_type", F.col("event_id").cast("string")), 42).alias("seed"),
         text.score_percent(F.col("value") / 100).alias("percent"), F.get_json_object("props", "$.k").cast("long").alias("k"),
     )
 
