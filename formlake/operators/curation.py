@@ -44,7 +44,7 @@ def region_boxes(metadata: DataFrame, source: DataFrame) -> DataFrame:
     ).filter(F.col("object_id").isNotNull() & F.col("bbox").isNotNull())
     present = rows.select("source_parquet", "row_id").distinct().withColumn("row_found", F.lit(True))
     return (
-        wanted.join(boxes, ["source_parquet", "row_id", "object_id"], "left")
+        wanted.join(boxes.hint("merge"), ["source_parquet", "row_id", "object_id"], "left")
         .join(present, ["source_parquet", "row_id"], "left")
         .withColumn("row_found", F.coalesce("row_found", F.lit(False)))
         .withColumn("bbox_format", F.lit("xywh"))

@@ -20,8 +20,8 @@ def label_audit(assigned: DataFrame, expected: DataFrame, words: DataFrame, warn
     """Mislabelled words per document and, in the row with null doc_id, overall."""
     joined = (
         words.select("doc_id", "word_idx")
-        .join(assigned.select("doc_id", "word_idx", "role"), ["doc_id", "word_idx"], "left")
-        .join(expected, ["doc_id", "word_idx"], "left")
+        .join(assigned.select("doc_id", "word_idx", "role").hint("merge"), ["doc_id", "word_idx"], "left")
+        .join(expected.hint("merge"), ["doc_id", "word_idx"], "left")
     )
     wrong = (F.coalesce("role", F.lit("O")) != F.coalesce("expected", F.lit("O"))).cast("int")
     per = joined.rollup("doc_id").agg(F.count("*").alias("words"), F.sum(wrong).alias("mislabelled"))

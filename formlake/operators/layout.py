@@ -131,7 +131,7 @@ def word_labels(predictions: DataFrame, docs: DataFrame, n_words: str = "n_words
     best = F.min(F.struct((-F.col("score")).alias("s"), "token_idx", "label"))
     found = predictions.filter(F.col("word_idx") >= 0).groupBy("doc_id", "word_idx").agg(best.alias("b"))
     words = each(docs, ["doc_id"], indexes(F.col(n_words)), "word_idx")
-    return words.join(found, ["doc_id", "word_idx"], "left").select(
+    return words.join(found.hint("merge"), ["doc_id", "word_idx"], "left").select(
         "doc_id", "word_idx",
         F.coalesce("b.label", F.lit("O")).alias("label"),
         F.coalesce(-F.col("b.s"), F.lit(0.0)).alias("score"),
@@ -453,4 +453,4 @@ def annotation_relations(forms: DataFrame, blocks: DataFrame) -> DataFrame:
     firsts = blocks.filter(F.col("class").isin(*CLASSES)).select("doc_id", "block_id", "first_word")
     start = firsts.select("doc_id", F.col("block_id").alias("own"), F.col("first_word").alias("from_word"))
     end = firsts.select("doc_id", F.col("block_id").alias("other"), F.col("first_word").alias("to_word"))
-    return own.join(start, ["doc_id", "own"]).join(end, ["doc_id", "other"]).select("doc_id", "from_word", "to_word")
+    return own.join(start.hint("merge"), ["doc_id", "own"]).join(end.hint("merge"), ["doc_id", "other"]).select("doc_id", "from_word", "to_word")

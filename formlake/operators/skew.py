@@ -25,7 +25,7 @@ def join_on_counted_key(facts: DataFrame, keys: DataFrame, key: str, count: str,
     left = facts.join(heavy, key, "left").withColumn("salt", deal).drop("is_heavy")
     copies = F.sequence(F.lit(0), F.when(F.col("heavy"), F.lit(SALTS - 1)).otherwise(F.lit(0)))
     right = marked.withColumn("salt", F.explode(copies)).drop("heavy")
-    return left.join(right, [key, "salt"]).drop("salt")
+    return left.join(right.hint("merge"), [key, "salt"]).drop("salt")
 
 
 def hash_rank(df: DataFrame, key: Column, name: str, by: list[str] | None = None) -> DataFrame:

@@ -3,6 +3,9 @@
 Boxes are dealt onto a grid, so only boxes that share a cell meet, and one long
 page spreads over many join keys. Each overlapping pair is kept only in the cell
 that holds the top-left corner of the overlap, so no de-duplication is needed.
+
+Joins of exploded rows carry the merge hint: their size is estimated from the stored
+documents, far below what the explode yields, and must not lead to a broadcast.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ def overlap_join(words: DataFrame, regions: DataFrame, doc: str = "doc_id", cell
     left, right = _cells(words, w, cell), _cells(renamed, r, cell)
     inter = boxes.intersection(w, r)
     owner = (F.floor(inter.x0 / cell) == F.col("cx")) & (F.floor(inter.y0 / cell) == F.col("cy"))
-    return left.join(right, [doc, "cx", "cy"]).filter((inter.x0 < inter.x1) & (inter.y0 < inter.y1) & owner).drop("cx", "cy")
+    return left.join(right.hint("merge"), [doc, "cx", "cy"]).filter((inter.x0 < inter.x1) & (inter.y0 < inter.y1) & owner).drop("cx", "cy")
 
 
 def _cells(df: DataFrame, b: boxes.Box, cell: int) -> DataFrame:
@@ -78,7 +81,7 @@ def bio_of_regions(matches: DataFrame) -> DataFrame:
     previous = matches.select("doc_id", (F.col("word_idx") + 1).alias("word_idx"), F.col("region_idx").alias("before"))
     same = F.coalesce(F.col("before") == F.col("region_idx"), F.lit(False))
     tag = F.concat(F.when(same, F.lit("I-")).otherwise(F.lit("B-")), F.col("role"))
-    return matches.join(previous, ["doc_id", "word_idx"], "left").withColumn("label", tag).drop("before")
+    return matches.join(previous.hint("merge"), ["doc_id", "word_idx"], "left").withColumn("label", tag).drop("before")
 
 
 # ---- nearest key ------------------------------------------------------------------------
@@ -123,7 +126,7 @@ def nearest_keys(values: DataFrame, keys: DataFrame) -> DataFrame:
     settled, reach = None, FIRST_REACH
     while True:
         bands = F.explode(F.sequence(F.floor(cy_v / reach) - 1, F.floor(cy_v / reach) + 1))
-        met = pending.withColumn("band", bands).join(keys.withColumn("band", F.floor(cy_k / reach)), ["doc_id", "band"])
+        met = pending.withColumn("band", bands).join(keys.withColumn("band", F.floor(cy_k / reach)).hint("merge"), ["doc_id", "band"])
         best = met.groupBy("doc_id", "span_id").agg(F.min(F.struct(key_distance(v, k).alias("distance"), "key_id")).alias("b"))
         found = cut(pending.join(best, ["doc_id", "span_id"], "left"))
         last = reach > extent
