@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from formlake.llm import mixing, tokens
+from formlake.llm import decontaminate, mixing, simhash, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -66,6 +66,43 @@ def op1_source_mix(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.document_shares(table(spark, sf, "documents"))
 
 
+@query()
+def op2_simhash_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's fingerprint and component of near duplicates."""
+    return simhash.near_duplicates(table(spark, sf, "documents"))
+
+
+@query(r"""
+WITH words AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w
+  FROM documents
+), items AS (
+  SELECT coalesce(item_id::VARCHAR, '') AS item_id, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark
+), windows AS (
+  SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[i : i + least(10, len(w)) - 1], ' ') AS win
+  FROM (SELECT item_id, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM items WHERE len(w) > 0)
+), places AS (
+  SELECT r, i, n, array_to_string(w[i : i + n - 1], ' ') AS win
+  FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM words, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n)
+), hits AS (
+  SELECT r, i, p.n, item_id FROM places p JOIN windows USING (win) WHERE p.n = windows.n
+), covered AS (
+  SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT DISTINCT r, unnest(range(i, i + n)) AS k FROM hits) GROUP BY r
+), named AS (
+  SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT r, item_id FROM hits) GROUP BY r
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM words LEFT JOIN covered USING (r) LEFT JOIN named USING (r)
+""")
+def op4_benchmark_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Benchmark windows in every document."""
+    return decontaminate.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 @query()
 def op7_wavelet_shards(spark: SparkSession, sf: str) -> DataFrame:
     """Every document's place, length and checksum, read back from the shards."""
