@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from formlake.llm import decontaminate, mixing, simhash, tokens
+from formlake.llm import decontaminate, mixing, nearest, simhash, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -107,3 +108,21 @@ def op4_benchmark_windows(spark: SparkSession, sf: str) -> DataFrame:
 def op7_wavelet_shards(spark: SparkSession, sf: str) -> DataFrame:
     """Every document's place, length and checksum, read back from the shards."""
     return tokens.encoded_documents(table(spark, sf, "documents"))
+
+
+@query(r"""
+WITH whole AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), scored AS (
+  SELECT q.r, q.vec_id AS query_id, x.vec_id, list_inner_product(q.v, x.v)::BIGINT AS score
+  FROM whole q JOIN whole x ON q.vec_id <> x.vec_id WHERE q.vec_id % 20 = 0
+), ranked AS (
+  SELECT query_id, (row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+""")
+def op8_voronoi_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """The 20 highest inner products of every twentieth vector with all others."""
+    return nearest.top_k(table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
