@@ -33,7 +33,7 @@ def byte_table(characters: bytes) -> np.ndarray:
 BLANKS = byte_table(BLANK_BYTES)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def prefix_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd constant and of its inverse modulo 2^64, at least n of each."""
     if "power" not in _tables or len(_tables["power"]) < n:
         size = max(n, SEGMENT)
@@ -76,7 +76,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     out = np.empty(len(starts), np.uint64)
     for part in _segments(starts, ends):
         low, high = int(starts[part.start]), int(ends[part.stop - 1])
-        power, inverse = _powers(high - low + 1)
+        power, inverse = prefix_powers(high - low + 1)
         sums = np.zeros(high - low + 1, np.uint64)
         np.cumsum((data[low:high].astype(np.uint64) + np.uint64(1)) * power[: high - low], out=sums[1:])
         first = starts[part] - low
@@ -94,6 +94,34 @@ def unpacked(df: DataFrame, docs: DataFrame) -> DataFrame:
     return df.select(*(F.col(f"_doc.`{c}`").alias(c) for c in docs.columns))
 
 
+# ---- bitmaps ------------------------------------------------------------------------
+
+LEAST_BITS, MOST_BITS = 16, 27
+ROW_BITS = 15  # of a row of Spark's bitmap aggregate
+
+
+def bitmap_of(df: DataFrame, column: str) -> tuple[int, np.ndarray]:
+    """(bits, packed bitmap) of 64-bit hashes, addressed by their first `bits` bits.
+
+    The bitmap follows the number of hashes up to 2^27 bits (16 MB), so its size is
+    bounded; beyond that it only lets more through.
+    """
+    n = df.agg(F.approx_count_distinct(column)).first()[0]
+    bits = min(MOST_BITS, max(LEAST_BITS, (32 * n).bit_length()))
+    bit = F.shiftrightunsigned(column, 64 - bits)
+    rows = df.select(F.shiftright(bit, ROW_BITS).alias("row"), bit.bitwiseAND(F.lit((1 << ROW_BITS) - 1)).alias("bit"))
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for r in rows.groupBy("row").agg(F.bitmap_construct_agg("bit").alias("bitmap")).collect():  # at most 2^12 rows of 4 KB
+        at = r["row"] << (ROW_BITS - 3)
+        out[at : at + 4096] = np.frombuffer(r["bitmap"], np.uint8)
+    return bits, out
+
+
+def in_bitmap(bitmap: np.ndarray, bits: int, hashes: np.ndarray) -> np.ndarray:
+    bit = hashes >> np.uint64(64 - bits)
+    return (bitmap[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
 # ---- order --------------------------------------------------------------------------
 
 

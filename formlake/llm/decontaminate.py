@@ -26,13 +26,11 @@ from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from formlake.llm.common import byte_table, mixed, packed, span_hashes, spans_of, unpacked
+from formlake.llm.common import bitmap_of, byte_table, in_bitmap, mixed, packed, span_hashes, spans_of, unpacked
 from formlake.session import cut
 
 WINDOW = 10
 SHINGLE = 5
-LEAST_BITS, MOST_BITS = 16, 27
-BITMAP_BITS = 15  # of a row of Spark's bitmap aggregate
 _FACTOR = np.uint64(0x9FB21C651E98DF25)
 
 SEPARATES = byte_table(bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]))
@@ -89,23 +87,10 @@ class Filter:
     """Which shingles may be the benchmark's: a packed bitmap for all sizes, and the shortest window of each size."""
 
     def __init__(self, windows: DataFrame):
-        hashes = windows.select(F.explode("hashes").alias("hash"))
-        n = hashes.agg(F.approx_count_distinct("hash")).first()[0]
-        self.bits = min(MOST_BITS, max(LEAST_BITS, (32 * n).bit_length()))
-        bit = F.shiftrightunsigned("hash", 64 - self.bits)
-        rows = hashes.select(F.shiftright(bit, BITMAP_BITS).alias("row"), bit.bitwiseAND(F.lit((1 << BITMAP_BITS) - 1)).alias("bit"))
-        packed_rows = rows.groupBy("row").agg(F.bitmap_construct_agg("bit").alias("bitmap")).collect()  # at most 2^12 of 4 KB
-        self.bitmap = np.zeros(1 << max(0, self.bits - 3), np.uint8)
-        for r in packed_rows:
-            at = r["row"] << (BITMAP_BITS - 3)
-            self.bitmap[at : at + 4096] = np.frombuffer(r["bitmap"], np.uint8)[: len(self.bitmap) - at]
+        self.bits, self.bitmap = bitmap_of(windows.select(F.explode("hashes").alias("hash")), "hash")
         shortest = windows.groupBy(F.least("n", F.lit(SHINGLE)).alias("size")).agg(F.min("n").alias("n")).collect()  # five rows at most
         self.shortest = {r["size"]: r["n"] for r in shortest}
 
-    def may_hold(self, hashes: np.ndarray) -> np.ndarray:
-        bit = hashes >> np.uint64(64 - self.bits)
-        return (self.bitmap[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-
     def stretches(self, text: bytes) -> tuple[int, list[dict]]:
         """Number of words, and the stretches (start, words) that can hold a window."""
         low, starts, ends = word_spans(text)
@@ -117,7 +102,7 @@ class Filter:
         for size, shortest in self.shortest.items():
             if n < shortest:
                 continue
-            a, z = _runs(self.may_hold(shingle_hashes(words, size)))
+            a, z = _runs(in_bitmap(self.bitmap, self.bits, shingle_hashes(words, size)))
             long = z - a >= shortest - size + 1
             np.add.at(change, a[long], 1)
             np.add.at(change, z[long] + size - 1, -1)

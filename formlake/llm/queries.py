@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formlake.llm import decontaminate, mixing, nearest, simhash, tokens
+from formlake.llm import decontaminate, mixing, nearest, sentences, simhash, tokens, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -126,3 +126,15 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 def op8_voronoi_topk(spark: SparkSession, sf: str) -> DataFrame:
     """The 20 highest inner products of every twentieth vector with all others."""
     return nearest.top_k(table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
+
+
+@query()
+def op3_ftrl_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's probability of being toxic."""
+    return toxicity.scored_documents(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query()
+def op9_sentence_spans(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document without its repeated passages."""
+    return sentences.without_repeats(table(spark, sf, "documents"))
