@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formlake.llm import decontaminate, mixing, nearest, sentences, simhash, tokens, toxicity
+from formlake.llm import decontaminate, mixing, nearest, sentences, simhash, tokens, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -138,3 +138,85 @@ def op3_ftrl_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 def op9_sentence_spans(spark: SparkSession, sf: str) -> DataFrame:
     """Every document without its repeated passages."""
     return sentences.without_repeats(table(spark, sf, "documents"))
+
+
+def captures(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages as captures: the fetch day, within four years, follows from the page's number."""
+    pages = table(spark, sf, "pages").select("page_id", "url")
+    return pages.withColumn("fetched_at", F.timestamp_seconds(F.lit(1609459200) + F.pmod(F.col("page_id") * 37, F.lit(1461)) * 86400))
+
+
+def list_entries(pages: DataFrame) -> DataFrame:
+    """A dated list over the hosts that occur in the pages: half of them are blocked on some day, by host,
+    parent domain or first path segment; some of those are removed, allowed or blocked again later."""
+    hosts = pages.select(
+        urls.host_of(F.col("url")).alias("host"), F.split_part(urls.path_of(F.col("url")), F.lit("/"), F.lit(2)).alias("segment")
+    ).filter("host <> ''").distinct()
+    digit = lambda i: F.conv(F.substring(F.md5("host"), i, 2), 16, 10).cast("long")
+    day = lambda d: F.timestamp_seconds(F.lit(1609459200) + d * 86400)
+    by_host = hosts.select("host").distinct()
+    chosen = by_host.filter(digit(1) < 128).select("host", digit(3).alias("d"), digit(5).alias("e"))
+    entry = lambda kind, action, at: F.struct(
+        F.lit("hosts").alias("list"), F.lit(kind).alias("kind"), F.col("host").alias("pattern"), F.lit(action).alias("action"), day(at).alias("listed_at")
+    )
+    d, e = F.col("d"), F.col("e")
+    log = chosen.select(F.explode(F.array(
+        entry("host", "block", d * 3), F.when(e < 96, entry("host", "remove", d * 3 + e * 2)), F.when(e < 48, entry("host", "block", d * 3 + e * 4 + 30)),
+        F.when(e >= 200, entry("domain", "block", e * 2)),
+    )).alias("x")).filter("x IS NOT NULL").select("x.*")
+    opened = hosts.filter((digit(7) < 64) & (F.col("segment") != "")).select(
+        F.lit("paths").alias("list"), F.lit("prefix").alias("kind"), F.concat_ws("/", "host", "segment").alias("pattern"),
+        F.when(digit(9) < 128, "allow").otherwise("block").alias("action"), day(digit(11) * 4).alias("listed_at"),
+    )
+    return log.unionByName(opened)
+
+
+@query(r"""
+WITH pages2 AS (
+  SELECT row_number() OVER () AS r, page_id, url,
+    TIMESTAMP '2021-01-01' + to_days((((page_id * 37) % 1461 + 1461) % 1461)::INTEGER) AS fetched_at,
+    coalesce(regexp_replace(lower(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]*)', 1)), '\.+$', ''), '') AS host,
+    coalesce(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages
+), hosts AS (
+  SELECT DISTINCT host, split_part(path, '/', 2) AS segment,
+    ('0x' || substr(md5(host), 1, 2))::BIGINT AS a, ('0x' || substr(md5(host), 3, 2))::BIGINT AS d, ('0x' || substr(md5(host), 5, 2))::BIGINT AS e,
+    ('0x' || substr(md5(host), 7, 2))::BIGINT AS g, ('0x' || substr(md5(host), 9, 2))::BIGINT AS h, ('0x' || substr(md5(host), 11, 2))::BIGINT AS k
+  FROM pages2 WHERE host <> ''
+), log AS (
+  SELECT DISTINCT 'hosts' AS list, 'host' AS kind, host AS pattern, 'block' AS action, d * 3 AS day FROM hosts WHERE a < 128
+  UNION ALL SELECT DISTINCT 'hosts', 'host', host, 'remove', d * 3 + e * 2 FROM hosts WHERE a < 128 AND e < 96
+  UNION ALL SELECT DISTINCT 'hosts', 'host', host, 'block', d * 3 + e * 4 + 30 FROM hosts WHERE a < 128 AND e < 48
+  UNION ALL SELECT DISTINCT 'hosts', 'domain', host, 'block', e * 2 FROM hosts WHERE a < 128 AND e >= 200
+  UNION ALL SELECT DISTINCT 'paths', 'prefix', host || '/' || segment, CASE WHEN h < 128 THEN 'allow' ELSE 'block' END, k * 4
+    FROM hosts WHERE g < 64 AND segment <> ''
+), strongest AS (
+  SELECT list, kind, pattern, TIMESTAMP '2021-01-01' + to_days(day::INTEGER) AS listed_at,
+    max(CASE action WHEN 'block' THEN 2 WHEN 'allow' THEN 1 ELSE 0 END) AS strength
+  FROM log GROUP BY ALL
+), rules AS (
+  SELECT *, lead(listed_at) OVER (PARTITION BY list, kind, pattern ORDER BY listed_at) AS ends_at FROM strongest
+), keys AS (
+  SELECT r, 'host' AS kind, host AS pattern FROM pages2 WHERE host <> ''
+  UNION ALL SELECT r, 'domain', array_to_string(l[i:], '.') FROM (
+    SELECT r, string_split(host, '.') AS l, unnest(range(1, len(string_split(host, '.')) + 1)) AS i FROM pages2 WHERE host <> '')
+  UNION ALL SELECT r, 'prefix', CASE WHEN i = 0 THEN host ELSE host || '/' || array_to_string(s[1:i], '/') END FROM (
+    SELECT r, host, list_filter(string_split(path, '/'), lambda x: x <> '') AS s,
+      unnest(range(0, len(list_filter(string_split(path, '/'), lambda x: x <> '')) + 1)) AS i FROM pages2 WHERE host <> '')
+), met AS (
+  SELECT p.r, row_number() OVER (PARTITION BY p.r ORDER BY CASE kind WHEN 'prefix' THEN 2 WHEN 'host' THEN 1 ELSE 0 END DESC,
+      length(pattern) DESC, strength DESC, pattern DESC, list DESC, listed_at DESC) AS n,
+    kind, pattern, list, strength, listed_at
+  FROM pages2 p JOIN keys USING (r) JOIN rules USING (kind, pattern)
+  WHERE strength > 0 AND listed_at <= fetched_at AND (ends_at IS NULL OR fetched_at < ends_at)
+)
+SELECT page_id, url, strftime(fetched_at, '%Y-%m-%d') AS fetched_on, host, coalesce(strength <> 2, true) AS kept, list AS rule_list, kind AS rule_kind,
+  pattern AS rule_pattern, CASE strength WHEN 2 THEN 'block' WHEN 1 THEN 'allow' END AS rule_action, strftime(listed_at, '%Y-%m-%d') AS rule_listed_on
+FROM pages2 LEFT JOIN (SELECT * FROM met WHERE n = 1) USING (r)
+""")
+def op5_dated_url_lists(spark: SparkSession, sf: str) -> DataFrame:
+    """Every page as a capture, with the list entry in force when it was fetched."""
+    pages = captures(spark, sf)
+    found = urls.filtered(pages, list_entries(pages))
+    on = lambda c: F.date_format(c, "yyyy-MM-dd")
+    return found.withColumn("fetched_on", on("fetched_at")).withColumn("rule_listed_on", on("rule_listed_at")).drop("fetched_at", "rule_listed_at")
