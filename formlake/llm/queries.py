@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formlake.llm import decontaminate, mixing, nearest, sentences, simhash, tokens, toxicity, urls
+from formlake.llm import decontaminate, language, mixing, nearest, secrets, sentences, simhash, tokens, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -220,3 +220,15 @@ def op5_dated_url_lists(spark: SparkSession, sf: str) -> DataFrame:
     found = urls.filtered(pages, list_entries(pages))
     on = lambda c: F.date_format(c, "yyyy-MM-dd")
     return found.withColumn("fetched_on", on("fetched_at")).withColumn("rule_listed_on", on("rule_listed_at")).drop("fetched_at", "rule_listed_at")
+
+
+@query()
+def op10_secret_network(spark: SparkSession, sf: str) -> DataFrame:
+    """Secrets in every document: the rules' spans and those the network adds."""
+    return secrets.digests(secrets.scanned(table(spark, sf, "documents")))
+
+
+@query()
+def op6_gated_language_model(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's log-likelihood under the count model and the gated recurrent model."""
+    return language.scored_documents(table(spark, sf, "documents"))
