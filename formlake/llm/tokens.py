@@ -13,14 +13,15 @@ split over shards; an empty table gives no shards.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -34,78 +35,74 @@ END_ID = 2
 SHARD_IDS = 1 << 20
 SAMPLE = 1024
 MAGIC = b"WVM1"
-KEPT_PIECES = 300_000
+KEPT_PIECES = 400_000
 SHARD_SCHEMA = "part long, seq long, n_ids long, n_docs long, payload binary"
 ROW_SCHEMA = "part long, seq long, doc_id long, start long, n_tokens long, ids_crc32 long"
 
-#: Fixed: how the byte-level vocabulary cuts text before merging.
-PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-_PLAIN = regex.compile(r"[\x20-ɏ]*")
-_GAPS = regex.compile(r"\s\s")
+#: Fixed: how the byte-level vocabulary cuts text of the first 256 characters before merging.
+PIECES = re.compile(
+    "'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff]+| ?[0-9\xb2\xb3\xb9\xbc-\xbe]+"
+    "| ?[^\t-\r \x85\xa0A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+"
+    "|[\t-\r \x85\xa0]+(?![^\t-\r \x85\xa0])|[\t-\r \x85\xa0]+"
+)
+_GAPS = re.compile(r"\s\s")
 
 
 # ---- text to ids --------------------------------------------------------------------
 
 
-def _byte_letters() -> list[str]:
-    """Fixed: the printable letter that stands for each byte in the vocabulary."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    letters, extra = {b: chr(b) for b in shown}, 256
-    for b in range(256):
-        if b not in letters:
-            letters[b] = chr(extra)
-            extra += 1
-    return [letters[b] for b in range(256)]
+def _byte_letters() -> dict[int, str]:
+    """Fixed: the letter that stands for a byte in the vocabulary, where it isn't the byte's own character."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
 class Encoder:
-    """Ids of texts by the tokenizers library; each distinct piece of text is encoded once.
+    """Ids of texts by the tokenizers library; a piece of text that was just encoded is not encoded anew.
 
     No token spans a blank that stands alone between two other characters, so a text
     without adjacent white space is the sequence of its blank-led pieces. All other
-    texts, and pieces beyond Latin letters, go to the library whole.
+    texts, and pieces beyond the first 256 characters, go to the library whole.
     """
 
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.letters = _byte_letters()
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.recent: dict[str, bytes] = {}  # pieces without their blank
+        self.older: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _word(self, word: str) -> bytes:
-        found = self.words.get(word)
-        if found is None:
-            spelled = "".join([self.letters[b] for b in word.encode()])
-            found = np.array([t.id for t in self.library.model.tokenize(spelled)], np.uint32).tobytes()
-            self.words[word] = found
-        return found
+    def _plain(self, text: str) -> bytes:
+        """Ids of text within the first 256 characters."""
+        ids, merge, letters = array("I"), self.library.model.tokenize, self.letters
+        for word in PIECES.findall(text):
+            ids.extend([t.id for t in merge(word.encode().decode("latin-1").translate(letters))])
+        return ids.tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        if not _PLAIN.fullmatch(piece):
-            found = self._whole(piece)
-        else:
-            found = b"".join([self._word(w) for w in PIECES.findall(piece)])
-        self.pieces[piece] = found
+        """Ids of a blank and the piece after it."""
+        found = self.older.get(piece)
+        if found is None:
+            found = self._plain(" " + piece) if piece.isascii() or max(piece) < "\u0100" else self._whole(" " + piece)
+        if len(self.recent) >= KEPT_PIECES:
+            self.older, self.recent = self.recent, {}
+        self.recent[piece] = found
         return found
 
     def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        if len(self.pieces) > KEPT_PIECES:
-            self.pieces.clear()
-        if len(self.words) > KEPT_PIECES:
-            self.words.clear()
+        """Ids as unsigned 32-bit integers."""
         if not text:
             return b""
         if _GAPS.search(text) or any(s in text for s in self.special):
             return self._whole(text)
         first, *rest = text.split(" ")
-        known, piece = self.pieces, self._piece
-        out = [known.get(first) or piece(first)] if first else []
-        out += [known.get(p) or piece(p) for p in [" " + r for r in rest]]
+        piece = self._piece
+        out = [(self._plain(first) if max(first) < "\u0100" else self._whole(first)) if first else b""]
+        out += [self.recent.get(r) or piece(r) for r in rest]
         return b"".join(out)
 
 
