@@ -72,16 +72,25 @@ class Encoder:
         self.letters = _byte_letters()
         self.recent: dict[str, bytes] = {}  # pieces without their blank
         self.older: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _plain(self, text: str) -> bytes:
         """Ids of text within the first 256 characters."""
-        ids, merge, letters = array("I"), self.library.model.tokenize, self.letters
-        for word in PIECES.findall(text):
-            ids.extend([t.id for t in merge(word.encode().decode("latin-1").translate(letters))])
-        return ids.tobytes()
+        return b"".join([self.words.get(w) or self._word(w) for w in PIECES.findall(text)])
+
+    def _word(self, word: str) -> bytes:
+        if word.isascii() and word.isprintable():
+            spelled = word.replace(" ", self.letters[32])
+        else:
+            spelled = word.encode().decode("latin-1").translate(self.letters)
+        found = array("I", [t.id for t in self.library.model.tokenize(spelled)]).tobytes()
+        if len(self.words) >= KEPT_PIECES:
+            self.words.clear()
+        self.words[word] = found
+        return found
 
     def _piece(self, piece: str) -> bytes:
         """Ids of a blank and the piece after it."""
