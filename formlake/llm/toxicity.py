@@ -32,8 +32,8 @@ from formlake.session import cut
 
 SAMPLE_ROWS = 12000
 DIMENSION_BITS = 20
-EPOCHS = 4
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 3.0, 0.1
+EPOCHS = 10
+ALPHA, BETA, L1, L2 = 2.0, 1.0, 8.0, 0.1
 HELD_OUT = 5
 BEGINNINGS = (4, 5)
 _SALTS = [np.uint64(s) for s in (0x9AE16A3B2F90404F, 0xC949C7DEFE4BC3A1, 0xB492B66FBE98F273, 0xD6D018F5A2B1C3E7)]
