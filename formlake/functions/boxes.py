@@ -81,11 +81,6 @@ def from_xywh(x: Column, y: Column, w: Column, h: Column) -> Box:
     return Box(x, y, x + w, y + h)
 
 
-def corners(b: Box) -> Column:
-    """Four points: top left, top right, bottom right, bottom left."""
-    return F.array(F.array(b.x0, b.y0), F.array(b.x1, b.y0), F.array(b.x1, b.y1), F.array(b.x0, b.y1))
-
-
 def to_thousand(b: Box, width: Column, height_: Column, mode: str = "round") -> Box:
     """Pixels to 0-1000. `round` is half-even; `trunc` first swaps reversed corners."""
     if mode == "trunc":

@@ -15,6 +15,14 @@ WORD_PATTERN = "[^ \\t\\r\\n]+"
 NUMBER_PATTERN = r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
+WHITE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(chr(c) for c in range(0x2000, 0x200B))
+
+
+def stripped(value: Column) -> Column:
+    """Text without white space at its ends, all kinds of it."""
+    return F.btrim(value, F.lit(WHITE))
+
+
 def split_words(text: Column) -> Column:
     """Whitespace-separated words of a text."""
     return F.regexp_extract_all(text, F.lit(WORD_PATTERN), F.lit(0))
@@ -98,11 +106,7 @@ def split_of_file(name: Column) -> Column:
 
 def parse_number(text: Column) -> Column:
     """Double, or null for text that is no plain decimal number (NaN included)."""
-    return F.when(text.rlike(NUMBER_PATTERN), F.trim(text).try_cast("double"))
-
-
-def nan_to_null(value: Column) -> Column:
-    return F.when(~F.isnan(value), value)
+    return F.when(text.rlike(NUMBER_PATTERN), stripped(text).try_cast("double"))
 
 
 def iso_utc(ts: Column, instant: bool = True) -> Column:
@@ -133,7 +137,7 @@ def score_percent(score: Column) -> Column:
 
 
 def clean_email(value: Column) -> Column:
-    return F.lower(F.trim(value))
+    return F.lower(stripped(value))
 
 
 def is_email(value: Column) -> Column:
@@ -154,18 +158,6 @@ def dictionary_words(text: Column) -> Column:
     return F.filter(clean, lambda w: F.length(w).between(2, 12))
 
 
-def falsy_to_blank(value: Column) -> Column:
-    """Text of a JSON scalar, blank for null, false, 0 and ''.
-
-    `value` is the raw JSON text of the field, so a quoted "0" stays "0".
-    """
-    return (
-        F.when(value.isNull() | value.isin("null", "false", "0", "0.0", '""'), F.lit(""))
-        .when(value == "true", F.lit("True"))
-        .otherwise(value)
-    )
-
-
 def vector_literal(values: Column) -> Column:
     """`[0.12345678,...]`, the text form vector databases exchange."""
     return F.concat(

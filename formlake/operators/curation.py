@@ -19,9 +19,16 @@ def seeded(seed: int | str, *columns: str) -> Column:
     return F.concat_ws(":", F.lit(str(seed)), *(F.col(c).cast("string") for c in columns))
 
 
-def checked(value: Column, condition: Column, message: str) -> Column:
-    """`value`, or an error when the condition fails."""
-    return F.when(condition, value).otherwise(F.raise_error(F.lit(message)).cast("string"))
+def require(rows: DataFrame, counted: DataFrame, least: int, message: str) -> DataFrame:
+    """`rows`, or an error when `counted` has fewer than `least` rows.
+
+    The check is a filter on the one row of the count, which adds no row when it passes;
+    so it also fails when no row is left.
+    """
+    n = counted.agg(F.count("*").alias("_n"))
+    error = F.raise_error(F.lit(message)).cast("boolean")
+    guard = n.filter(F.when(F.col("_n") >= least, F.lit(False)).otherwise(error))
+    return rows.unionByName(guard.select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema)))
 
 
 # ---- joins of source files -----------------------------------------------------------------------
@@ -82,9 +89,8 @@ def select_beyond(names: DataFrame, excluded: list[DataFrame], key: str, order:
     for other in excluded[1:]:
         union = union.union(other.select(key))
     eligible = global_rank(names.join(union, key, "left_anti"), order, "place")
-    enough = eligible.agg(F.count("*")).scalar() >= skip + take
     window = eligible.filter((F.col("place") > skip) & (F.col("place") <= skip + take))
-    return window.withColumn(key, checked(F.col(key).cast("string"), enough, "too few eligible names").cast(names.schema[key].dataType))
+    return require(window, eligible, skip + take, "too few eligible names")
 
 
 def load_queries(templates: DataFrame, originals: DataFrame, original_ocr: DataFrame, degraded: DataFrame, queries: DataFrame, query_ocr: DataFrame, key: str, query_key: str) -> DataFrame:
@@ -162,8 +168,8 @@ def fixed_splits(names: DataFrame, key: str, sizes: dict[str, int], seed: int =
     label = F.lit(None).cast("string")
     for name, size in reversed(list(_ends(sizes).items())):
         label = F.when(F.col("place") <= size, name).otherwise(label)
-    enough = names.agg(F.count("*")).scalar() >= sum(sizes.values())
-    return ranked.withColumn("split", checked(label, enough, "too few names for the splits")).drop("place")
+    placed = ranked.withColumn("split", label).drop("place")
+    return require(placed, names, sum(sizes.values()), "too few names for the splits")
 
 
 def _ends(sizes: dict[str, int]) -> dict[str, int]:

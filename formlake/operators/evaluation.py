@@ -8,12 +8,16 @@ from pyspark.sql import functions as F
 TINY_GAP = 1e-3
 
 
-def class_weights(labels: DataFrame, label: str = "label") -> DataFrame:
-    """Count per class and its inverse-frequency weight total / (classes x count)."""
-    counts = labels.groupBy(label).agg(F.count("*").alias("n"))
-    totals = counts.agg(F.sum("n").alias("total"), F.count("*").alias("classes"))
-    share = totals.select(F.col("total") / F.col("classes")).scalar()
-    return counts.withColumn("weight", share / F.col("n"))
+def class_weights(labels: DataFrame, classes: list[str], label: str = "label") -> DataFrame:
+    """Count per class of the given list and its inverse-frequency weight total / (classes x count).
+
+    Labels outside the list don't count; a class that doesn't occur weighs as if it occurred once.
+    """
+    known = labels.filter(F.col(label).isin(*classes))
+    listed = labels.sparkSession.createDataFrame([(c,) for c in classes], f"{label} string")
+    counts = listed.join(known.groupBy(label).agg(F.count("*").alias("n")), label, "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
+    total = known.agg(F.count("*")).scalar()
+    return counts.withColumn("weight", total / (F.lit(len(classes)) * F.greatest(F.col("n"), F.lit(1))))
 
 
 def label_audit(assigned: DataFrame, expected: DataFrame, words: DataFrame, warn_above: float = 0.15) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from formlake.functions.text import clean_email, half_up, is_email
+from formlake.functions.text import clean_email, half_up, is_email, stripped
 
 # fixed values
 RECENT_EVENTS = 12
@@ -115,7 +115,7 @@ def upsert(current: DataFrame, changes: DataFrame, key: str, order: str) -> Data
 
 def access_requests(requests: DataFrame) -> DataFrame:
     """Valid requests with trimmed names and lower-case addresses."""
-    clean = requests.withColumn("email", clean_email(F.col("email"))).withColumn("name", F.trim("name"))
+    clean = requests.withColumn("email", clean_email(F.col("email"))).withColumn("name", stripped("name"))
     return clean.filter(is_email(F.col("email")) & (F.length("name") > 0))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from formlake.functions.arrays import bind
-from formlake.functions.text import upload_extension
+from formlake.functions.text import stripped, upload_extension
 
 # fixed values of the upload gate
 MAX_UPLOAD_BYTES = 50 * 1024 * 1024
@@ -92,7 +92,7 @@ def review_pairs(rows: DataFrame) -> DataFrame:
     def kept(c: str) -> Column:
         return F.when(~custom, F.col(c)).alias(c)
 
-    trimmed = rows.withColumn("key", F.trim(F.coalesce("key", F.lit("")))).withColumn("value", F.trim(F.coalesce("value", F.lit(""))))
+    trimmed = rows.withColumn("key", stripped(F.coalesce("key", F.lit("")))).withColumn("value", stripped(F.coalesce("value", F.lit(""))))
     others = [c for c in rows.columns if c not in ("key", "value", "value_mode", "score", "key_bbox", "value_bbox")]
     return trimmed.filter((F.length("key") > 0) | (F.length("value") > 0)).select(
         *others, "key", "value", kept("score"), kept("key_bbox"), kept("value_bbox"), F.when(custom, F.lit("custom")).alias("source")
@@ -101,7 +101,7 @@ def review_pairs(rows: DataFrame) -> DataFrame:
 
 def suggestions(pairs: DataFrame, by: str, column: str, order: str, limit: int | None = 8) -> DataFrame:
     """Case-insensitively distinct values per `by`, first occurrence kept, in order; the first `limit` shown."""
-    folded = F.lower(F.trim(F.col(column)))
+    folded = F.lower(stripped(F.col(column)))
     first = pairs.withColumn("folded", folded).filter(F.length("folded") > 0).groupBy(by, "folded").agg(
         F.min(F.struct(order, column)).alias("f")
     )

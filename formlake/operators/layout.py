@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from formlake.functions import boxes
 from formlake.functions.arrays import bind, each, indexes, mean
-from formlake.functions.text import half_even
+from formlake.functions.text import half_even, stripped
 
 EMPTY = "[EMPTY]"
 # fixed values: windows of the label model
@@ -105,7 +105,7 @@ def keep_confident(words: Column, box_list: Column, confidences: Column, least:
 
     def item(w: Column, i: Column, bs: Column, cs: Column) -> Column:
         conf = F.coalesce(F.get(cs, i).try_cast("double"), F.lit(-1.0))
-        return F.struct(F.trim(w).alias("text"), F.get(bs, i).alias("box"), conf.alias("confidence"))
+        return F.struct(stripped(w).alias("text"), F.get(bs, i).alias("box"), conf.alias("confidence"))
 
     rows = bind(box_list, lambda bs: bind(confidences, lambda cs: F.transform(words, lambda w, i: item(w, i, bs, cs))))
     kept = F.filter(rows, lambda t: (F.length(t["text"]) > 0) & (t["confidence"] >= least))
@@ -142,7 +142,7 @@ def word_labels(predictions: DataFrame, docs: DataFrame, n_words: str = "n_words
 
 
 def label_type(label: Column) -> Column:
-    return F.when(label == "O", F.lit("O")).otherwise(F.substring(label, 3, 100))
+    return F.when(label == "O", F.lit("O")).otherwise(F.substring(label, F.lit(3), F.length(label)))
 
 
 def span_bounds(labels: Column) -> Column:
@@ -180,7 +180,7 @@ def span_array(labels: Column, words: Column, box_list: Column, scores: Column)
         def part(a: Column) -> Column:
             return F.slice(a, b["first"] + 1, b["last"] - b["first"] + 1)
 
-        trimmed = F.filter(F.transform(part(ws), lambda w: F.trim(w)), lambda w: F.length(w) > 0)
+        trimmed = F.filter(F.transform(part(ws), lambda w: stripped(w)), lambda w: F.length(w) > 0)
         return F.struct(
             label_type(F.get(ls, b["first"])).alias("type"),
             F.get(ls, b["first"]).startswith("B-").alias("starts_b"),
@@ -230,7 +230,7 @@ def line_array(words: Column, box_list: Column) -> Column:
     def item(w: Column, i: Column, bs: Column) -> Column:
         b = boxes.of_array(F.get(bs, i))
         return F.struct(
-            boxes.center_y(b).alias("yc"), b.x0.alias("x0"), i.alias("i"), F.trim(w).alias("text"),
+            boxes.center_y(b).alias("yc"), b.x0.alias("x0"), i.alias("i"), stripped(w).alias("text"),
             F.get(bs, i).alias("box"), boxes.height(b).alias("h"),
         )
 
@@ -322,7 +322,11 @@ def rule_pairs(pages: DataFrame, most: int = 15) -> DataFrame:
         usable, lambda ls: F.when(F.size(ls) <= most, F.transform(ls, lambda line, j: pair(line, j, ls)))
     )
     rows = each(pages, ["doc_id"], pairs, "p", "pair_idx")
-    return rows.select("doc_id", "pair_idx", "p.key", "p.value", F.lit(0.0).alias("score"), F.lit("rule_based_fallback").alias("source"))
+    key_box = [F.get("p.key_box", F.lit(i)).cast("double").alias(f"key_{c}") for i, c in enumerate(boxes.Box._fields)]
+    value_box = [F.col(f"p.value_box.{c}").cast("double").alias(f"value_{c}") for c in boxes.Box._fields]
+    return rows.select(
+        "doc_id", "pair_idx", "p.key", "p.value", F.lit(0.0).alias("score"), F.lit("rule_based_fallback").alias("source"), *key_box, *value_box
+    )
 
 
 def cascade(first: DataFrame, second: DataFrame) -> DataFrame:
@@ -333,7 +337,8 @@ def cascade(first: DataFrame, second: DataFrame) -> DataFrame:
 
 # ---- greedy pairing ----------------------------------------------------------------------------
 
-PAIR_SCHEMA = "doc_id long, pair_idx int, key string, value string, score double, source string"
+BOXES = [f"{side}_{c}" for side in ("key", "value") for c in boxes.Box._fields]
+PAIR_SCHEMA = "pair_idx int, key string, value string, score double, source string, " + ", ".join(f"{c} double" for c in BOXES)
 
 
 def greedy_pairs(docs: DataFrame) -> DataFrame:
@@ -351,9 +356,10 @@ def greedy_pairs(docs: DataFrame) -> DataFrame:
                 for doc, keys, values in zip(batch["doc_id"], batch["keys"], batch["values"])
                 for i, pair in enumerate(_claim(keys, values))
             ]
-            yield pd.DataFrame(rows, columns=["doc_id", "pair_idx", "key", "value", "score", "source"])
+            yield pd.DataFrame(rows, columns=["doc_id", "pair_idx", "key", "value", "score", "source", *BOXES])
 
-    return docs.select("doc_id", "keys", "values").mapInPandas(run, PAIR_SCHEMA)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "keys", "values").mapInPandas(run, f"doc_id {kind}, {PAIR_SCHEMA}")
 
 
 def _claim(keys, values) -> list[tuple]:
@@ -368,7 +374,8 @@ def _claim(keys, values) -> list[tuple]:
 
     def add(i: int, j: int | None, source: str) -> None:
         score = keys[i]["score"] if j is None else (keys[i]["score"] + values[j]["score"]) / 2
-        out.append((keys[i]["text"], "" if j is None else values[j]["text"], round(float(score), 4), source))
+        value_box = [None] * 4 if j is None else v[j].tolist()
+        out.append((keys[i]["text"], "" if j is None else values[j]["text"], round(float(score), 4), source, *k[i].tolist(), *value_box))
 
     for i in np.lexsort((k[:, 0], k[:, 1])):
         tall, wide = max(1, k[i, 3] - k[i, 1]), max(1, k[i, 2] - k[i, 0])
@@ -407,7 +414,7 @@ def annotation_blocks(forms: DataFrame) -> DataFrame:
     `forms`: doc_id and form, an array of (id, text, label, linking, box, words).
     `first_word` counts the words of the blocks before.
     """
-    blocks = F.filter("form", lambda b: F.length(F.trim(b["text"])) > 0)
+    blocks = F.filter("form", lambda b: F.length(stripped(b["text"])) > 0)
 
     def clean(b: Column) -> Column:
         label = F.upper(b["label"])

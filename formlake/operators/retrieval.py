@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from formlake.functions import arrays
 from formlake.functions.text import blank_to_null, tokenize
 from formlake.operators import blocks
-from formlake.operators.skew import join_on_counted_key
+from formlake.operators.skew import global_rank, join_on_counted_key
 from formlake.session import cut
 
 # fixed values of the ranking function
@@ -23,6 +23,7 @@ TINY = 1e-12
 # so equal documents tie exactly and a re-run task returns the same ranking.
 GRID = 1_000_000
 DENSE_DIGITS = blocks.DENSE_DIGITS
+CLASS_BASE = 4.0
 
 
 # ---- BM25 -----------------------------------------------------------------------------
@@ -113,23 +114,63 @@ def bm25_topk(queries: DataFrame, postings: DataFrame, k: int, n_query: int, n_g
     return keep_top(partial, k, query_id, doc_id).withColumn("units", F.col("score").cast("long")).drop("score")
 
 
-def bm25_ranks(queries: DataFrame, postings: DataFrame, truth: DataFrame, n_query: int, n_gallery: int, query_id: str = "query_id", doc_id: str = "doc_id") -> DataFrame:
+def bm25_ranks(queries: DataFrame, postings: DataFrame, truth: DataFrame, query_id: str = "query_id", doc_id: str = "doc_id") -> DataFrame:
     """Rank of the true document per query, ordinal and optimistic, and the best match.
 
-    `truth`: (query, document). The truth scores come from an equi-join first; the
-    blocks then only count what beats them.
+    `truth`: (query, document). The truth's score is the bar. Documents fall into classes
+    by their number of tokens, as a token weighs less in longer ones. Of a query's tokens
+    in a class, the ones with most documents for their weight, as many as cannot reach
+    the bar together, are set aside: a document that reaches it shares one of the others,
+    so candidates come from these alone, by an equi-join. What they give, and what the
+    tokens aside could add at most, drops most candidates; the rest are scored in full.
     """
-    bars = score_pairs(truth, queries, postings, query_id, doc_id).select(
-        query_id, F.col(doc_id).alias("truth_id"), F.col("units").cast("double").alias("truth_score")
+    bars = score_pairs(truth, queries, postings, query_id, doc_id)
+    bars = cut(bars.select(query_id, F.col(doc_id).alias("truth_id"), F.col("units").alias("bar")))
+    own = Window.partitionBy(doc_id)
+    classed = cut(postings.withColumn("class", F.floor(F.log(F.count("*").over(own)) / F.log(F.lit(CLASS_BASE))).cast("int")))
+    caps = cut(classed.groupBy("token", "class").agg(F.max("weight").alias("cap"), F.count("*").alias("df")))
+    terms = term_rows(queries, query_id).select(query_id, "token", "tf").hint("merge").join(caps, "token").join(bars, query_id)
+    costly_first = Window.partitionBy(query_id, "class").orderBy(F.desc(F.col("df") / (F.col("tf") * F.col("cap"))), "token")
+    reach = F.sum(F.col("tf") * F.col("cap")).over(costly_first)
+    terms = cut(terms.select(query_id, "class", "token", "tf", "truth_id", "bar", reach.alias("reach"), (reach < F.col("bar")).alias("aside")))
+    aside = terms.filter("aside")
+    spare = aside.groupBy(query_id, "class").agg(F.max("reach").alias("spare"))
+    others = terms.filter("NOT aside").select(query_id, "class", "token", "tf")
+    met = (
+        others.hint("merge").join(classed, ["token", "class"])
+        .groupBy(query_id, doc_id, "class").agg(F.sum(F.col("tf") * F.col("weight")).alias("part"))
+        .join(spare, [query_id, "class"], "left").join(bars, query_id)
+    )
+    met = cut(met.filter(F.col("part") + F.coalesce("spare", F.lit(0)) >= F.col("bar")))
+    more = (
+        met.select(query_id, doc_id, "class").join(aside.select(query_id, "class", "token", "tf"), [query_id, "class"])
+        .hint("merge").join(postings, [doc_id, "token"])
+        .groupBy(query_id, doc_id).agg(F.sum(F.col("tf") * F.col("weight")).alias("more"))
+    )
+    units = F.col("part") + F.coalesce("more", F.lit(0))
+    scored = met.join(more, [query_id, doc_id], "left").select(query_id, doc_id, "truth_id", "bar", units.alias("units"))
+    ranks = scored.groupBy(query_id, "truth_id", "bar").agg(
+        F.count_if(F.col("units") > F.col("bar")).alias("above"),
+        F.count_if((F.col("units") == F.col("bar")) & (F.col(doc_id) < F.col("truth_id"))).alias("ties"),
+        F.count_if(F.col(doc_id) < F.col("truth_id")).alias("met_before"),
+        F.min(F.struct((-F.col("units")).alias("s"), F.col(doc_id).alias("best_id"))).alias("best"),
+    )
+    found = bars.join(ranks.drop("truth_id", "bar"), query_id, "left")
+    # a truth that shares nothing ties with all documents that share nothing either
+    ids = postings.select(doc_id).distinct()
+    if not bars.filter("bar = 0").isEmpty():
+        places = global_rank(ids, [F.col(doc_id)], "place").select(F.col(doc_id).alias("truth_id"), (F.col("place") - 1).alias("ids_before"))
+        found = found.join(places, "truth_id", "left")
+    else:
+        found = found.withColumn("ids_before", F.lit(0))
+    zero = F.col("bar") == 0
+    ties = F.when(zero, F.col("ids_before") - F.coalesce("met_before", F.lit(0))).otherwise(F.col("ties"))
+    above = F.coalesce("above", F.lit(0))
+    first = ids.agg(F.min(doc_id)).scalar()
+    return found.select(
+        query_id, "truth_id", (above + ties + 1).alias("rank"), (above + 1).alias("optimistic_rank"),
+        F.coalesce("best.best_id", first).alias("best_id"), F.coalesce(-F.col("best.s"), F.lit(0)).cast("double").alias("best_score"),
     )
-    queries = queries.select(query_id, "tokens", "weights").join(bars, query_id)
-
-    def score(q: pa.Table, g: pa.Table) -> pa.Table:
-        return blocks.rank_rows(q, blocks.column(g, doc_id), blocks.sparse_scores(q, g), blocks.column(q, "truth_score"), query_id)
-
-    schema = rank_schema(queries, postings, query_id, doc_id)
-    partial = blocks.score_blocks(queries, pack(postings, doc_id), n_query, n_gallery, score, schema, query_id, doc_id)
-    return merge_ranks(partial, query_id)
 
 
 # ---- dense ----------------------------------------------------------------------------
@@ -259,22 +300,23 @@ def lsh_topk(queries: DataFrame, gallery: DataFrame, k: int, tables: int = 8, bi
 def multi_vector_topk(queries: DataFrame, gallery: DataFrame, k: int, n_query: int, n_gallery: int) -> DataFrame:
     """Late interaction: sum over query vectors of the best inner product with a document vector.
 
-    `vectors` is an array of equally long arrays; documents may differ in count.
+    `vectors` is an array of equally long arrays; documents may differ in count, and one without vectors scores 0.
     """
 
     def unpack(table: pa.Table):
         lists = table.column("vectors").combine_chunks()
         counts = np.asarray(lists.value_lengths().to_numpy(zero_copy_only=False))
         inner = lists.flatten()
-        flat = np.asarray(inner.flatten().to_numpy(zero_copy_only=False), dtype=float).reshape(len(inner), -1)
+        flat = np.asarray(inner.flatten().to_numpy(zero_copy_only=False), dtype=float).reshape(len(inner), -1 if len(inner) else 1)
         return np.concatenate([[0], np.cumsum(counts)]), flat
 
     def score(q: pa.Table, g: pa.Table) -> pa.Table:
         (q_at, q_flat), (g_at, g_flat) = unpack(q), unpack(g)
-        scores = np.empty((q.num_rows, g.num_rows))
+        scores, filled = np.zeros((q.num_rows, g.num_rows)), np.diff(g_at) > 0
         for i in range(len(scores)):
-            best = np.maximum.reduceat(q_flat[q_at[i] : q_at[i + 1]] @ g_flat.T, g_at[:-1], axis=1)
-            scores[i] = best.sum(axis=0)
+            own = q_flat[q_at[i] : q_at[i + 1]]
+            if len(own) and filled.any():
+                scores[i, filled] = np.maximum.reduceat(own @ g_flat.T, g_at[:-1][filled], axis=1).sum(axis=0)
         ids = (blocks.column(q, "query_id"), blocks.column(g, "doc_id"))
         return blocks.top_rows(*ids, np.round(scores, DENSE_DIGITS), k, "query_id", "doc_id")
 

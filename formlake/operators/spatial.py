@@ -138,3 +138,13 @@ def nearest_keys(values: DataFrame, keys: DataFrame) -> DataFrame:
         if last or pending.isEmpty():
             return settled
         reach *= REACH_STEP
+
+
+def pair_rows(found: DataFrame, keys: DataFrame) -> DataFrame:
+    """Pairs of `nearest_keys` as rows: texts, score and both boxes. `keys` are the key spans with their text."""
+    of = keys.select("doc_id", F.col("span_id").alias("key_id"), F.col("text").alias("key"), *(F.col(c).cast("double").alias(f"key_{c}") for c in boxes.Box._fields))
+    value = [F.col(c).cast("double").alias(f"value_{c}") for c in boxes.Box._fields]
+    return found.join(of.hint("merge"), ["doc_id", "key_id"]).select(
+        "doc_id", "span_id", "key_id", "distance", distance_score(F.col("distance")).alias("score"), "key", F.col("text").alias("value"),
+        *(f"key_{c}" for c in boxes.Box._fields), *value,
+    )

@@ -221,7 +221,7 @@ def class_holdout(spark, sf):
 
 
 @query("SELECT o_orderkey FROM orders ORDER BY md5('42:' || o_orderkey) LIMIT 285")
-def uniform_sample(spark, sf):
+def seeded_sample(spark, sf):
     return curation.sample(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", 285)
 
 
@@ -286,8 +286,8 @@ placed AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY md5('36:' |
   least(n, greatest({least}, round_even(n * {mask}::DOUBLE, 0))) AS first, greatest({least if corrupt else 0}, round_even(n * {corrupt}::DOUBLE, 0)) AS extra FROM words),
 edited AS (SELECT doc_id, i, place <= first AS masked, place > first AND place <= first + extra AS corrupted,
   CASE WHEN place <= first THEN '[MASK]' WHEN place <= first + extra THEN {noise} ELSE w END AS w FROM placed)
-SELECT doc_id, md5(string_agg(w, ' ' ORDER BY i)) AS words, count_if(masked)::INT AS n_masked, count_if(corrupted)::INT AS n_corrupted,
-  coalesce(sum(i) FILTER (masked), 0)::BIGINT AS masked_at, coalesce(sum(i) FILTER (corrupted), 0)::BIGINT AS corrupted_at FROM edited GROUP BY ALL"""
+SELECT doc_id, md5(coalesce(string_agg(w, ' ' ORDER BY i), '')) AS words, coalesce(count_if(masked), 0)::INT AS n_masked, coalesce(count_if(corrupted), 0)::INT AS n_corrupted,
+  coalesce(sum(i) FILTER (masked), 0)::BIGINT AS masked_at, coalesce(sum(i) FILTER (corrupted), 0)::BIGINT AS corrupted_at FROM documents LEFT JOIN edited USING (doc_id) GROUP BY ALL"""
 
 
 WORD_KEY = "'36:' || doc_id || ':' || i"
@@ -296,7 +296,7 @@ BANK_NOISE = f"{inputs.BANK_SQL}[{BANK_HASH} % 10 + 1]"
 
 
 def masked(spark, sf, mask: float, corrupt: float, noise: str, min_one: bool) -> DataFrame:
-    docs = inputs.docs(spark, sf).filter(F.size("words") > 0)
+    docs = inputs.docs(spark, sf)
     edited = docs.select("doc_id", augment.mask_and_corrupt(F.col("words"), inputs.doc_key(), mask, corrupt, noise, min_one).alias("m"))
 
     def total(c: str):
@@ -327,18 +327,18 @@ def words_masked_by_rate(spark, sf):
 CORRUPT_DOCS = f"WITH {inputs.DOCS},\n{inputs.WORDS},\n{inputs.CORRUPTED}"
 
 
-@query(f"{CORRUPT_DOCS}\nSELECT query_id, md5(string_agg(w, ' ' ORDER BY i)) AS words FROM corrupted GROUP BY ALL")
+@query(f"{CORRUPT_DOCS}\nSELECT doc_id AS query_id, md5(coalesce(string_agg(w, ' ' ORDER BY i), '')) AS words FROM documents LEFT JOIN corrupted ON query_id = doc_id GROUP BY ALL")
 def words_corrupted(spark, sf):
-    return inputs.corrupted(spark, sf).filter(F.size("words") > 0).select("query_id", F.md5(F.array_join("words", " ")).alias("words"))
+    return inputs.corrupted(spark, sf).select("query_id", F.md5(F.array_join("words", " ")).alias("words"))
 
 
 @query(f"""{CORRUPT_DOCS},
 per AS (SELECT query_id, any_value(n) AS n, count_if(replaced) AS k FROM corrupted GROUP BY ALL)
 SELECT (SELECT count(*) FROM documents) AS documents, sum(n)::BIGINT AS words, sum(k)::BIGINT AS corrupted, round(sum(k) / sum(n), 6) AS rate FROM per""")
 def corruption_totals(spark, sf):
-    n = F.size("words")
-    docs = inputs.docs(spark, sf).select(n.alias("n_words"), augment.share(n, 0.25, 1).alias("n_corrupted"))
-    return curation.corruption_totals(docs)
+    bank, size = augment.fixed_bank()
+    edited = inputs.docs(spark, sf).select(augment.corrupted_with_count(F.col("words"), inputs.doc_key(), bank, size).alias("c"))
+    return curation.corruption_totals(edited.select(F.size("c.words").alias("n_words"), "c.n_corrupted"))
 
 
 # ---- dictionaries, fill plans --------------------------------------------------------------------------------
@@ -358,13 +358,13 @@ def word_dictionary(spark, sf):
     return words_500(spark, sf)
 
 
-FIELD = """fields AS (SELECT l_partkey AS p_partkey, l_orderkey || '-' || l_linenumber AS field_id, l_quantity * 20 AS width FROM lineitem WHERE l_returnflag = 'N' AND l_linestatus = 'O'),
+FIELD = """fields AS (SELECT l_partkey AS p_partkey, l_orderkey || '-' || l_linenumber AS field_id, l_quantity * 20 AS width FROM lineitem),
 sized AS (SELECT *, CASE WHEN width < 110 THEN 1 WHEN width < 180 THEN 2 WHEN width < 280 THEN 3 WHEN width < 420 THEN 4 WHEN width < 650 THEN 5 WHEN width < 900 THEN 6 ELSE 7 END AS budget FROM fields)"""
 
 
 def fields(spark, sf) -> DataFrame:
-    """Open line items as form fields, as wide as 20 times their quantity."""
-    items = table(spark, sf, "lineitem").filter("l_returnflag = 'N' AND l_linestatus = 'O'")
+    """Line items as form fields, as wide as 20 times their quantity."""
+    items = table(spark, sf, "lineitem")
     field = F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
     return items.select(F.col("l_partkey").alias("p_partkey"), field.alias("field_id"), (F.col("l_quantity") * 20).alias("width"))
 

@@ -111,8 +111,7 @@ def page_labels(words: Column) -> Column:
 def pages(spark: SparkSession, sf: str) -> DataFrame:
     """One row per document with words, pixel boxes, BIO labels and scores."""
     w = F.col("words")
-    filled = table(spark, sf, "documents").filter(F.col("text").rlike("[^ \\t\\r\\n]"))
-    return filled.select("doc_id", "source", split_words(F.col("text")).alias("words")).select(
+    return table(spark, sf, "documents").select("doc_id", "source", split_words(F.col("text")).alias("words")).select(
         "doc_id", "source", "words", page_boxes(w).alias("boxes"), page_labels(w).alias("labels"),
         F.transform(w, lambda x: (50 + F.length(x) % 50) / 100).alias("scores"), F.size("words").alias("n_words"),
     )

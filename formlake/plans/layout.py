@@ -322,11 +322,16 @@ def typed_spans(spark, sf) -> DataFrame:
     return cut(layout.spans(pages(spark, sf)))
 
 
-@query(f"WITH {NEAREST}\nSELECT doc_id, span_id, key_id, round(distance, 6) AS distance, round_even(1 / (1 + distance / 100), 4) AS score FROM nearest")
+PAIR_COLUMNS = ", ".join(f"{side}.{c}::DOUBLE AS {name}_{c}" for side, name in (("k", "key"), ("v", "value")) for c in boxes.Box._fields)
+
+
+@query(f"""WITH {NEAREST}
+SELECT n.doc_id, n.span_id, n.key_id, round(distance, 6) AS distance, round_even(1 / (1 + distance / 100), 4) AS score, k.text AS key, v.text AS value, {PAIR_COLUMNS}
+FROM nearest n JOIN vals v ON v.doc_id = n.doc_id AND v.span_id = n.span_id JOIN keys k ON k.doc_id = n.doc_id AND k.span_id = n.key_id""")
 def nearest_keys(spark, sf):
     spans = typed_spans(spark, sf)
     found = spatial.nearest_keys(spans.filter("type = 'VAL'"), spans.filter("type = 'KEY'"))
-    return found.select("doc_id", "span_id", "key_id", F.round("distance", 6).alias("distance"), spatial.distance_score(F.col("distance")).alias("score"))
+    return spatial.pair_rows(found, spans.filter("type = 'KEY'")).withColumn("distance", F.round("distance", 6))
 
 
 @query()
@@ -344,11 +349,15 @@ def greedy_pairs(spark, sf):
 
 
 RULES = f"""{LINES},
+ends AS (SELECT doc_id, (i // 8)::INT AS line_no, arg_min(x0, i) AS hx0, arg_min(y0, i) AS hy0, arg_min(x1, i) AS hx1, arg_min(y1, i) AS hy1,
+  min(x0) FILTER (i % 8 > 0) AS rx0, min(y0) FILTER (i % 8 > 0) AS ry0, max(x1) FILTER (i % 8 > 0) AS rx1, max(y1) FILTER (i % 8 > 0) AS ry1 FROM page GROUP BY ALL),
 usable AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS pair_idx, count(*) OVER (PARTITION BY doc_id) AS total,
-  split_part(text, ' ', 1) AS head FROM lines WHERE length(text) >= 2),
+  split_part(text, ' ', 1) AS head FROM lines JOIN ends USING (doc_id, line_no) WHERE length(text) >= 2),
 flagged AS (SELECT *, head LIKE '%:' OR (head = upper(head) AND head <> lower(head) AND length(head) <= 20) AS is_key FROM usable WHERE total <= 15),
 rules AS (SELECT doc_id, pair_idx::INT AS pair_idx, coalesce(last_value(CASE WHEN is_key THEN head END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pair_idx), '') AS key,
-  CASE WHEN is_key THEN CASE WHEN n_words > 1 THEN substr(text, length(head) + 2) ELSE '' END ELSE text END AS value, 0.0::DOUBLE AS score, 'rule_based_fallback' AS source FROM flagged)"""
+  CASE WHEN is_key THEN CASE WHEN n_words > 1 THEN substr(text, length(head) + 2) ELSE '' END ELSE text END AS value, 0.0::DOUBLE AS score, 'rule_based_fallback' AS source,
+  {", ".join(f"(last_value(CASE WHEN is_key THEN h{c} END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pair_idx))::DOUBLE AS key_{c}" for c in boxes.Box._fields)},
+  {", ".join(f"(CASE WHEN is_key THEN r{c} ELSE {c} END)::DOUBLE AS value_{c}" for c in boxes.Box._fields)} FROM flagged)"""
 
 
 @query(f"WITH {RULES}\nSELECT * FROM rules")
@@ -358,13 +367,16 @@ def rule_pairs(spark, sf):
 
 @query(f"""WITH {RULES},
 {spans_sql('page', 'spans')},
-model AS (SELECT doc_id, span_id AS pair_idx, text AS key, '' AS value, round(score, 6) AS score, 'model' AS source FROM spans WHERE type = 'KEY' AND last > first)
+model AS (SELECT doc_id, span_id AS pair_idx, text AS key, '' AS value, round(score, 6) AS score, 'model' AS source,
+  {", ".join(f"{c}::DOUBLE AS key_{c}" for c in boxes.Box._fields)}, {", ".join(f"NULL::DOUBLE AS value_{c}" for c in boxes.Box._fields)}
+  FROM spans WHERE type = 'KEY' AND last > first)
 SELECT * FROM model UNION ALL SELECT * FROM rules WHERE doc_id NOT IN (SELECT doc_id FROM model)""")
 def pair_cascade(spark, sf):
     """Two-word keys stand for model pairs; documents without them take the rule pairs."""
     source = pages(spark, sf)
     keys = layout.spans(source).filter("type = 'KEY' AND last > first")
-    model = keys.select("doc_id", F.col("span_id").alias("pair_idx"), F.col("text").alias("key"), F.lit("").alias("value"), F.round("score", 6).alias("score"), F.lit("model").alias("source"))
+    model = keys.select("doc_id", F.col("span_id").alias("pair_idx"), F.col("text").alias("key"), F.lit("").alias("value"), F.round("score", 6).alias("score"), F.lit("model").alias("source"),
+        *(F.col(c).cast("double").alias(f"key_{c}") for c in boxes.Box._fields), *(F.lit(None).cast("double").alias(f"value_{c}") for c in boxes.Box._fields))
     return layout.cascade(model, layout.rule_pairs(source))
 
 
@@ -455,9 +467,9 @@ def annotation_blocks(spark, sf):
 @query(f"""WITH {BLOCKS},
 tagged AS (SELECT doc_id, first_word + j AS word_idx, CASE WHEN class = 'O' THEN 'O' WHEN j = 0 THEN 'B-' || class ELSE 'I-' || class END AS label
   FROM (SELECT doc_id, class, first_word, unnest(range(len(words))) AS j FROM blocks))
-SELECT doc_id, label, count(*) AS n, sum(word_idx)::BIGINT AS positions FROM tagged WHERE word_idx < 512 GROUP BY ALL""")
+SELECT doc_id, label, count(*) AS n, sum(word_idx)::BIGINT AS positions FROM tagged GROUP BY ALL""")
 def annotation_labels(spark, sf):
-    labels = layout.annotation_labels(layout.annotation_blocks(forms(spark, sf)), 512)
+    labels = layout.annotation_labels(layout.annotation_blocks(forms(spark, sf)))
     return labels.groupBy("doc_id", "label").agg(F.count("*").alias("n"), F.sum("word_idx").alias("positions"))
 
 
@@ -469,10 +481,12 @@ def annotation_relations(spark, sf):
 
 
 @query(f"""WITH {PAGE},
-counts AS (SELECT label, count(*) AS n FROM page GROUP BY ALL)
-SELECT label, n, round((sum(n) OVER () / count(*) OVER ()) / n, 6) AS weight FROM counts""")
+counts AS (SELECT c.label, count(p.label) AS n FROM (VALUES ('O'), ('B-KEY'), ('I-KEY'), ('B-VAL'), ('I-VAL'), ('B-HEAD'), ('I-HEAD')) c(label) LEFT JOIN page p USING (label) GROUP BY ALL)
+SELECT label, n, round(sum(n) OVER () / (7 * greatest(n, 1)), 6) AS weight FROM counts""")
 def class_weights(spark, sf):
-    return evaluation.class_weights(words_long(pages(spark, sf))).withColumn("weight", F.round("weight", 6))
+    """Seven classes are listed; two of them never occur."""
+    classes = ["O", "B-KEY", "I-KEY", "B-VAL", "I-VAL", "B-HEAD", "I-HEAD"]
+    return evaluation.class_weights(words_long(pages(spark, sf)), classes).withColumn("weight", F.round("weight", 6))
 
 
 PREDICTED = f"""{SPANS},

@@ -23,7 +23,7 @@ def lines(spark, sf) -> DataFrame:
 
     def pair(s, i):
         first = F.substring_index(s, " ", 1)
-        rest = F.substring(s, F.length(first) + 2, 1_000_000)
+        rest = F.substring(s, F.length(first) + 2, F.length(s))
         quoted = F.get_json_object(F.to_json(F.struct(F.array(first).alias("a"))), "$.a")
         value = F.get_json_object(F.to_json(F.struct(F.array(rest).alias("a"))), "$.a")
 
@@ -118,15 +118,10 @@ def gold_runs(spark, sf):
     return medallion.gold_runs(silver(spark, sf)).drop("transformed_at").withColumn("avg_confidence", F.round("avg_confidence", 6))
 
 
-@query(f"WITH {SILVER}\nSELECT silver_path, run_id, template_id FROM runs WHERE NOT valid")
+@query(f"WITH {SILVER}\nSELECT silver_path, 'doc-' || doc_id AS run_id, lang AS template_id FROM runs WHERE NOT valid")
 def silver_quarantine(spark, sf):
     """Payloads that are no JSON; their ids come from the path."""
-    bad = silver(spark, sf).filter(~F.col("valid"))
-    lang, doc = F.split("silver_path", "/"), F.regexp_extract("silver_path", r"doc-(\d+)\.json$", 1)
-    docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("d"), "lang", "source")
-    shown = bad.select("silver_path", doc.alias("d"), F.get(lang, F.lit(2)).alias("folder")).join(docs, "d")
-    run = F.when(F.col("lang") == "de", F.concat(F.lit("doc-"), "d")).otherwise(F.concat(F.lit("run-"), "d"))
-    return shown.select("silver_path", run.alias("run_id"), F.concat_ws("-", "lang", F.regexp_replace("source", "[^A-Za-z0-9_.-]+", "-")).alias("template_id"))
+    return silver(spark, sf).filter(~F.col("valid")).select("silver_path", "run_id", "template_id")
 
 
 @query(f"""WITH {RUNS}
@@ -149,16 +144,20 @@ def transform_scope(spark, sf):
 
 @query(f"""WITH {RUNS},
 stored AS (SELECT template_id, count(*) AS runs, sum(field_count)::BIGINT AS fields, round(avg(avg_confidence), 4) AS confidence FROM runs JOIN per USING (doc_id) GROUP BY ALL)
-SELECT * FROM stored""")
+SELECT *, runs AS manifests FROM stored""")
 def gold_store(spark, sf):
-    """Writes the three gold sinks and reads run and field files back."""
+    """Writes the three gold sinks, some runs twice, and reads them back."""
     root = scratch(spark, "gold")
-    writers.write_gold(silver(spark, sf), root, F.lit("2024-01-03T00:00:00+00:00"), mode="overwrite")
+    found, stamp = silver(spark, sf), F.lit("2024-01-03T00:00:00+00:00")
+    writers.write_gold(found, root, stamp)
+    writers.write_gold(found.filter("run_id LIKE '%7'"), root, stamp)
     runs = spark.read.schema("run_id string, template_id string, avg_confidence double").json(f"{root}/gold/form-runs")
     fields = spark.read.schema("run_id string, template_id string, field_index int").json(f"{root}/gold/extracted-fields")
     counts = fields.groupBy("template_id").agg(F.count("*").alias("fields"))
     rows = runs.groupBy("template_id").agg(F.count("*").alias("runs"), F.round(F.avg("avg_confidence"), 4).alias("confidence"))
-    return rows.join(counts, "template_id")
+    stored = spark.read.schema("run_id string, template_id string").json(f"{root}/gold/manifests")
+    manifests = stored.groupBy("template_id").agg(F.count("*").alias("manifests"))
+    return rows.join(counts, "template_id").join(manifests, "template_id")
 
 
 # ---- forms ------------------------------------------------------------------------------------
@@ -260,16 +259,20 @@ def ingest_round_trip(spark, sf):
     return parsed.select("run_id", "template_id", F.col("field_value").alias("value")).join(bronze, "run_id").join(runs, "run_id")
 
 
-@query()
+@query("""SELECT 'silver/kvp-json/lang=' || lang AS folder, 'silver' AS kind, 1::BIGINT AS files, true AS filled FROM documents GROUP BY ALL""")
 def object_listing(spark, sf):
-    """Files of a stored tier with kind and size, newest first."""
+    """Files of a stored tier, one for each language, and a file outside the prefix that isn't listed."""
     root = scratch(spark, "objects")
     docs = table(spark, sf, "documents").select("lang", "doc_id", "n_chars")
-    docs.write.mode("overwrite").partitionBy("lang").json(f"{root}/silver/kvp-json")
-    return readers.list_objects(spark, root, "silver/")
+    docs.repartition("lang").write.partitionBy("lang").json(f"{root}/silver/kvp-json")
+    docs.limit(1).write.json(f"{root}/bronze/raw-images")
+    found = readers.list_objects(spark, root, "silver/").filter(F.col("name").endswith(".json"))
+    folder = F.regexp_replace("name", "/[^/]*$", "")
+    return found.groupBy(folder.alias("folder"), "kind").agg(F.count("*").alias("files"), F.bool_and(F.col("size") > 0).alias("filled"))
 
 
-@query("""SELECT lang AS template, sum(doc_id)::BIGINT AS ids, sum(len(regexp_extract_all(text, '[^ \\t\\r\\n]+')))::BIGINT AS words, count(*) AS docs FROM documents GROUP BY ALL""")
+@query("""SELECT lang AS template, sum(len(regexp_extract_all(text, '[^ \\t\\r\\n]+')))::BIGINT AS words, count(*) AS docs,
+  count_if(regexp_matches(text, '[^ \\t\\r\\n]'))::BIGINT AS boxed FROM documents GROUP BY ALL""")
 def ocr_files(spark, sf):
     """OCR payloads written as JSON, read back with the template taken from the path."""
     root = scratch(spark, "ocr")
@@ -280,6 +283,5 @@ def ocr_files(spark, sf):
     )
     payload.write.mode("overwrite").partitionBy("part").json(f"{root}/train")
     read = readers.read_ocr(spark, root, multi_line=False)
-    counts = read.select(F.regexp_replace("template", "part=", "").alias("template"), F.size("words").alias("n"))
-    ids = pages.groupBy(F.col("lang").alias("template")).agg(F.sum("doc_id").alias("ids"))
-    return counts.groupBy("template").agg(F.sum("n").alias("words"), F.count("*").alias("docs")).join(ids, "template")
+    counts = read.select(F.regexp_replace("template", "part=", "").alias("template"), F.size("words").alias("n"), F.get("boxes", F.lit(0)).alias("b"))
+    return counts.groupBy("template").agg(F.sum("n").alias("words"), F.count("*").alias("docs"), F.count_if(F.get("b", F.lit(2)) == 1).alias("boxed"))

@@ -397,7 +397,7 @@ def word_banks(spark, sf):
     return rows.select("doc_id", F.size("b").alias("words"), F.get("b", F.lit(0)).alias("first"))
 
 
-@query("SELECT lang, count(*) AS rows, sum(n_chars)::BIGINT AS chars, max(n_chars)::BIGINT AS longest FROM documents GROUP BY ALL")
+@query("SELECT lang, count(*) AS rows, sum(n_chars)::BIGINT AS chars, max(n_chars)::BIGINT AS longest, (SELECT count(*) FROM documents) AS n FROM documents GROUP BY ALL")
 def report_files(spark, sf):
     """Per-row and per-template CSV and a JSON summary, read back."""
     root = scratch(spark, "report")
@@ -406,14 +406,17 @@ def report_files(spark, sf):
     writers.write_report(docs, per, docs.agg(F.count("*").alias("n")), root)
     rows = spark.read.schema("doc_id long, lang string, n_chars long").option("header", True).csv(f"{root}/rows")
     back = spark.read.schema("lang string, rows long, longest long").option("header", True).csv(f"{root}/templates")
-    return rows.groupBy("lang").agg(F.sum("n_chars").alias("chars")).join(back, "lang")
+    total = spark.read.schema("n long").json(f"{root}/summary").scalar()
+    return rows.groupBy("lang").agg(F.sum("n_chars").alias("chars")).join(back, "lang").withColumn("n", total)
 
 
-@query("SELECT label::BIGINT AS label, count(*) AS vectors FROM embeddings GROUP BY ALL")
+@query("SELECT label::BIGINT AS label, count(*) AS vectors, round(sum(list_sum(embedding::DOUBLE[])), 3) AS total FROM embeddings GROUP BY ALL")
 def embedding_table(spark, sf):
     """Vectors stored in two runs; the second embeds only what the first left out."""
     path = scratch(spark, "embeddings")
     source = table(spark, sf, "embeddings").select("vec_id", "embedding", F.col("label").cast("long").alias("label"))
     writers.append_missing(source.filter("label < 5"), path, "vec_id", lambda df: df)
     writers.append_missing(source, path, "vec_id", lambda df: df)
-    return spark.read.parquet(path).groupBy("label").agg(F.count("*").alias("vectors"))
+    return spark.read.parquet(path).groupBy("label").agg(
+        F.count("*").alias("vectors"), F.round(F.sum(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double"))), 3).alias("total")
+    )

@@ -13,11 +13,10 @@ ORACLES: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A test table. Fewer files than task slots are dealt out over the slots; a table in
-    many files is read as it lies, without a shuffle."""
+    """A test table, read as it lies; a session may ask for one-file tables to be dealt out over its slots."""
     df = spark.read.parquet(f"{sf}/{name}.parquet")
-    slots = spark.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= slots else df.repartition(slots)
+    slots = spark.conf.get("formlake.read.partitions", None)
+    return df.repartition(int(slots)) if slots else df
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:

@@ -78,8 +78,8 @@ RANKS = """ranks AS (
 
 @query(f"{RETRIEVAL},\n{SCORES},\n{RANKS}\nSELECT * FROM ranks")
 def bm25_ranks(spark, sf):
-    terms, postings, n = text_setup(spark, sf)
-    return retrieval.bm25_ranks(terms, postings, self_truth(terms), n, n)
+    terms, postings, _ = text_setup(spark, sf)
+    return retrieval.bm25_ranks(terms, postings, self_truth(terms))
 
 
 CLEAN = RETRIEVAL + """,
@@ -104,13 +104,13 @@ summaries AS (
 
 
 def both_summaries(spark, sf):
-    """Clean and corrupted queries in one pass over the blocks, told apart by the sign of their id."""
-    corrupt, postings, n = text_setup(spark, sf)
+    """Clean and corrupted queries in one pass, told apart by the sign of their id."""
+    corrupt, postings, _ = text_setup(spark, sf)
     clean = retrieval.term_arrays(inputs.docs(spark, sf)).withColumn("query_id", -1 - F.col("doc_id")).drop("doc_id")
     terms = cut(corrupt.unionByName(clean))
     is_clean = F.col("query_id") < 0
     truth = terms.select("query_id", F.when(is_clean, -1 - F.col("query_id")).otherwise(F.col("query_id")).alias("doc_id"))
-    ranks = retrieval.bm25_ranks(terms, postings, truth, 2 * n, n)
+    ranks = retrieval.bm25_ranks(terms, postings, truth)
     return ranking.summary(ranks.withColumn("mode", F.when(is_clean, "clean").otherwise("corrupt")), ["mode"], rank="optimistic_rank")
 
 
@@ -143,12 +143,12 @@ SELECT p.policy, count(*) AS query_count, round(avg((coalesce(rank, n + 1) <= 10
 FROM full_ranks, (VALUES ('after'), ('zero')) p(policy) GROUP BY ALL""")
 def missing_truth_policies(spark, sf):
     """The gallery holds only labelled documents; the truth of the others is missing."""
-    terms, postings, n = text_setup(spark, sf)
+    terms, postings, _ = text_setup(spark, sf)
     labelled = table(spark, sf, "labels").select("doc_id").distinct()
     gallery = postings.join(labelled, "doc_id", "left_semi")
     found = self_truth(terms).join(labelled, "doc_id", "left_semi")
     present = terms.join(found.select("query_id"), "query_id", "left_semi")
-    ranks = retrieval.bm25_ranks(present, gallery, found, n, n).select("query_id", "optimistic_rank")
+    ranks = retrieval.bm25_ranks(present, gallery, found).select("query_id", "optimistic_rank")
     everything = terms.select("query_id").join(ranks, "query_id", "left").withColumn("n", labelled.agg(F.count("*")).scalar())
     parts = []
     for policy in ("after", "zero"):
@@ -197,7 +197,8 @@ SELECT vec_id AS doc_id, round(list_sum(v), 6) AS total, round(v[1], 6) AS head,
   length('[' || array_to_string(list_transform(embedding, lambda x: printf('%.8f', x::DOUBLE)), ',') || ']') AS literal_length
 FROM vectors JOIN embeddings USING (vec_id)""")
 def unit_vectors(spark, sf):
-    frame = vectors(spark, sf).join(table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
+    unit = retrieval.normalize(F.col("embedding"))
+    frame = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding", unit.alias("vector"))
     total = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x)
     return frame.select(
         "doc_id",

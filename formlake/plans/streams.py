@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from uuid import uuid4
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from formlake.plans import inputs, medallion, records
 from formlake.plans.inputs import DOCS, WORDS
 from formlake.plans.records import DASHBOARD, GATE, JOBS, OBJECTS
 from formlake.plans.registry import query, table
-from formlake.session import scratch
+from formlake.session import cut, scratch
 from formlake.streaming import jobs
 
 
@@ -75,20 +76,22 @@ def stream_masking(spark, sf):
 @query("SELECT count(DISTINCT url) AS images, sum(n)::BIGINT AS words FROM (SELECT url, any_value(length(url)) AS n FROM pages GROUP BY ALL)")
 def stream_cache_totals(spark, sf):
     """Every page arrives twice and counts once."""
-    pages = table(spark, sf, "pages").select(F.col("url").alias("path"), F.length("url").cast("long").alias("n_words"))
+    pages = table(spark, sf, "pages").select(F.col("url").alias("path"), F.length("url").cast("long").alias("n_words"), F.timestamp_seconds(F.lit(1704067200) + F.col("page_id") % 3600).alias("at"))
     out = name()
     jobs.cache_totals(spark, arrive(pages.unionByName(pages)), scratch(spark, "state"), out).awaitTermination()
     return spark.table(out)
 
 
 @query(f"""WITH {medallion.RUNS}
-SELECT template_id, count(*) AS runs, sum(field_count)::BIGINT AS fields, sum(field_count)::BIGINT AS field_rows FROM runs JOIN per USING (doc_id) GROUP BY ALL""")
+SELECT template_id, count(*) AS runs, sum(field_count)::BIGINT AS fields, sum(field_count)::BIGINT AS field_rows, count(*) AS manifests FROM runs JOIN per USING (doc_id) GROUP BY ALL""")
 def stream_gold(spark, sf):
     out, state = folders(spark)
     jobs.transform_silver(spark, arrive(medallion.silver_objects(spark, sf)), out, state).awaitTermination()
     runs, fields = spark.read.parquet(f"{out}/form-runs"), spark.read.parquet(f"{out}/extracted-fields")
     counts = fields.groupBy("template_id").agg(F.count("*").alias("field_rows"))
-    return runs.groupBy("template_id").agg(F.count("*").alias("runs"), F.sum("field_count").alias("fields")).join(counts, "template_id")
+    manifests = spark.read.parquet(f"{out}/manifests").groupBy("template_id").agg(F.count("*").alias("manifests"))
+    totals = runs.groupBy("template_id").agg(F.count("*").alias("runs"), F.sum("field_count").alias("fields"))
+    return totals.join(counts, "template_id").join(manifests, "template_id")
 
 
 @query(f"WITH {DASHBOARD}\nSELECT * FROM d")
@@ -105,10 +108,13 @@ def stream_dashboard(spark, sf):
 
 @query(f"WITH {JOBS}\nSELECT run_id::VARCHAR AS run_id, status, kvp_status, updated FROM jobs")
 def stream_jobs(spark, sf):
-    """Final job rows of the stateful stream; all changes of a run arrive in one file."""
+    """Final job rows of the stateful stream; a run's changes come in several files and two batches, out of order."""
     changes = records.job_changes(spark, sf).withColumn("run_id", F.col("run_id").cast("string"))
     out, state = folders(spark)
-    jobs.store_jobs(jobs.stream(spark, arrive(changes, 1), jobs.CHANGE), out, state).awaitTermination()
+    source, late = scratch(spark, "arrivals"), F.col("seq") % 3 == 1
+    for part in (~late, late):
+        changes.filter(part).repartition(4).write.mode("append").parquet(source)
+        jobs.store_jobs(jobs.stream(spark, source, jobs.CHANGE), out, state).awaitTermination()
     last = spark.read.schema(jobs.JOB).parquet(out).groupBy("run_id").agg(F.max(F.struct("updated_at", "status", "kvp_status")).alias("j"))
     return last.select("run_id", "j.status", "j.kvp_status", F.unix_seconds("j.updated_at").alias("updated"))
 
@@ -117,9 +123,9 @@ def stream_jobs(spark, sf):
 def model_scores(spark, sf):
     """A stand-in model: the sum of each vector, in batches."""
     def model(batch: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"vec_id": batch["vec_id"], "score": [float(sum(map(float, v))) for v in batch["embedding"]]})
+        return pd.DataFrame({"vec_id": batch["vec_id"], "score": np.stack(batch["embedding"]).astype(float).sum(axis=1)})
 
     source = table(spark, sf, "embeddings").select("vec_id", "embedding")
-    scored = models.score_batches(source, model, "vec_id long, score double")
+    scored = cut(models.score_batches(source, model, "vec_id long, score double"))
     missing = models.unscored(source, scored, "vec_id").agg(F.count("*")).scalar()
     return scored.select("vec_id", F.round("score", 4).alias("score")).withColumn("missing", missing)

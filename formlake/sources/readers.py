@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formlake.functions.text import TOKEN_PATTERN
+from formlake.functions.text import TOKEN_PATTERN, stripped
 from formlake.operators.augment import WORD_BANK
 from formlake.operators.medallion import object_kind
 
@@ -47,7 +47,7 @@ def any_layout_words(text: Column) -> Column:
     parsed = F.from_json(text, LAYOUTS)
 
     def filled(words: Column) -> Column:
-        return F.filter(words, lambda w: F.length(F.trim(F.coalesce(w["text"], F.lit("")))) > 0)
+        return F.filter(words, lambda w: F.length(stripped(F.coalesce(w["text"], F.lit("")))) > 0)
 
     def renamed(words: Column) -> Column:
         return F.transform(words, lambda w: F.struct(w["text"].alias("text"), w["box"].alias("bbox")))
@@ -68,7 +68,7 @@ def word_bank(text: Column) -> Column:
     v = F.try_parse_json(text)
     as_list = F.coalesce(F.try_variant_get(v, "$", "array<string>"), F.try_variant_get(v, "$.words", "array<string>"))
     words = F.coalesce(as_list, F.map_keys(F.try_variant_get(v, "$", "map<string,variant>")))
-    clean = F.filter(F.transform(words, lambda w: F.trim(w)), lambda w: w.rlike(TOKEN_PATTERN))
+    clean = F.filter(F.transform(words, lambda w: stripped(w)), lambda w: w.rlike(TOKEN_PATTERN))
     fallback = F.array(*(F.lit(w) for w in WORD_BANK))
     return F.when(F.size(clean) > 0, clean).otherwise(fallback)
 
@@ -89,7 +89,7 @@ def read_history(spark: SparkSession, path: str) -> DataFrame:
 def list_objects(spark: SparkSession, root: str, prefix: str = "") -> DataFrame:
     """Objects under a root: name, kind, size and time, newest first. File contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length", "modificationTime")
-    base = root.rstrip("/") + "/"
-    name = F.expr(f"substring(path, locate('{base}', path) + {len(base)})")
+    base = F.lit(root.rstrip("/") + "/")
+    name = F.substring("path", F.locate(root.rstrip("/") + "/", F.col("path")) + F.length(base), F.length("path"))
     rows = files.select(name.alias("name"), F.col("length").alias("size"), F.col("modificationTime").alias("last_modified"))
     return rows.filter(F.col("name").startswith(prefix)).withColumn("kind", object_kind(F.col("name"))).orderBy(F.desc("last_modified"), "name")

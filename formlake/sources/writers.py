@@ -11,35 +11,66 @@ from formlake.operators import medallion
 from formlake.session import cut
 
 
-def ingest(uploads: DataFrame, root: str) -> None:
-    """Bronze images and silver envelopes, partitioned by template.
+def replace_runs(rows: DataFrame, path: str, form: str) -> None:
+    """Write rows (template_id, run_id, ..) partitioned by template; runs that are there already are replaced.
+
+    Only the partitions of the templates in `rows` are read and written anew.
+    """
+    spark = rows.sparkSession
+    rows = cut(rows)
+    if table_exists(spark, path, form):
+        old = spark.read.schema(rows.schema).format(form).load(path).select(*rows.columns)
+        kept = old.join(rows.select("template_id").distinct(), "template_id", "left_semi").join(
+            rows.select("template_id", "run_id").distinct(), ["template_id", "run_id"], "left_anti"
+        )
+        rows = cut(rows.unionByName(kept.select(*rows.columns)))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("template_id").format(form).save(path)
+
+
+def acceptable(uploads: DataFrame) -> DataFrame:
+    """Uploads with `refused`: why an upload is not taken, null if it is."""
+    kvp = F.try_parse_json(F.col("kvp"))
+    return uploads.withColumn(
+        "refused",
+        F.when(F.coalesce(F.octet_length("image"), F.lit(0)) == 0, "empty image")
+        .when(~F.coalesce(F.schema_of_variant(kvp).startswith("OBJECT"), F.lit(False)), "kvp is no JSON object"),
+    )
+
+
+def ingest(uploads: DataFrame, root: str) -> DataFrame:
+    """Bronze images and silver envelopes, partitioned by template; returns the refused uploads.
 
     uploads: run_id, template_id, file_name, content_type, image (binary), kvp (JSON text),
-    created_at (ISO text).
+    created_at (ISO text). A blank run id becomes a fresh one; a run that is there already
+    is replaced.
     """
-    template, run = clean_key_part(F.col("template_id"), F.lit("unknown")), clean_key_part(F.col("run_id"), F.lit("run"))
-    named = uploads.withColumn("template_id", template).withColumn("run_id", run)
+    fresh = F.replace(F.expr("uuid()"), F.lit("-"), F.lit(""))
+    template, run = clean_key_part(F.col("template_id"), F.lit("unknown")), clean_key_part(F.col("run_id"), fresh)
+    checked = cut(acceptable(uploads).withColumn("template_id", template).withColumn("run_id", run))
+    named = checked.filter("refused IS NULL").drop("refused")
     path = medallion.object_path(medallion.BRONZE, F.col("template_id"), F.col("run_id"), image_extension(F.col("file_name"), F.col("content_type")))
     named = named.withColumn("image_object", path)
-    named.select("template_id", "run_id", "image_object", "image").write.mode("append").partitionBy("template_id").parquet(f"{root}/bronze")
-    silver_envelopes(named).write.mode("append").partitionBy("template_id").parquet(f"{root}/silver")
+    replace_runs(named.select("template_id", "run_id", "image_object", "image"), f"{root}/bronze", "parquet")
+    replace_runs(silver_envelopes(named), f"{root}/silver", "parquet")
+    return checked.filter("refused IS NOT NULL")
 
 
 def silver_envelopes(named: DataFrame) -> DataFrame:
-    """(template_id, name, payload): the envelope around each upload's key/value JSON."""
+    """(template_id, run_id, name, payload): the envelope around each upload's key/value JSON."""
     head = F.to_json(F.struct("run_id", "template_id", F.col("file_name").alias("source_file_name"), "image_object", "created_at"))
     payload = F.concat(F.expr("substring(h, 1, length(h) - 1)"), F.lit(',"kvp":'), F.col("kvp"), F.lit("}"))
     name = medallion.object_path(medallion.SILVER, F.col("template_id"), F.col("run_id"), F.lit("json"))
-    return named.withColumn("h", head).select("template_id", name.alias("name"), payload.alias("payload"))
+    return named.withColumn("h", head).select("template_id", "run_id", name.alias("name"), payload.alias("payload"))
 
 
-def write_gold(silver: DataFrame, root: str, transformed_at, mode: str = "append") -> None:
-    """Runs, fields and manifests, each partitioned by template, from one parse of the payloads."""
+def write_gold(silver: DataFrame, root: str, transformed_at) -> None:
+    """Runs, fields and manifests, each partitioned by template, from one parse of the payloads; runs that are
+    there already are replaced. A run without fields keeps none of its old ones."""
     silver = cut(silver)
-    runs = medallion.gold_runs(silver, transformed_at)
-    runs.write.mode(mode).partitionBy("template_id").json(f"{root}/gold/form-runs")
-    medallion.gold_fields(silver, transformed_at).write.mode(mode).partitionBy("template_id").json(f"{root}/gold/extracted-fields")
-    runs.write.mode(mode).partitionBy("template_id").json(f"{root}/gold/manifests")
+    runs, fields = medallion.gold_runs(silver, transformed_at), medallion.gold_fields(silver, transformed_at)
+    replace_runs(runs, f"{root}/gold/form-runs", "json")
+    replace_runs(fields, f"{root}/gold/extracted-fields", "json")
+    replace_runs(runs, f"{root}/gold/manifests", "json")
 
 
 def write_report(rows: DataFrame, templates: DataFrame, summary: DataFrame, root: str) -> None:
@@ -66,9 +97,9 @@ def append_missing(todo: DataFrame, path: str, key: str, embed) -> int:
     return spark.read.parquet(path).count() - before
 
 
-def table_exists(spark: SparkSession, path: str) -> bool:
+def table_exists(spark: SparkSession, path: str, form: str = "parquet") -> bool:
     try:
-        spark.read.parquet(path)
+        spark.read.format(form).load(path)
     except AnalysisException as error:
         if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return False

@@ -19,6 +19,7 @@ from formlake.operators import augment, events, gates, medallion
 from formlake.sources import readers
 
 JOB_TTL_MS = 4 * 60 * 60 * 1000
+CACHE_DELAY = "1 day"
 
 
 def _start(writer, checkpoint: str, once: bool, poll: str = "30 seconds") -> StreamingQuery:
@@ -69,20 +70,22 @@ def mask_documents(spark: SparkSession, source: str, splits: DataFrame, out: str
 
 
 def cache_totals(spark: SparkSession, source: str, checkpoint: str, name: str, once: bool = True) -> StreamingQuery:
-    """Images and words seen so far, each path counted once, as in-memory table `name`."""
-    entries = stream(spark, source, "path string, n_words long").dropDuplicates(["path"])
+    """Images and words seen so far, as in-memory table `name`; a path that comes again within CACHE_DELAY counts
+    once, and paths beyond the watermark are forgotten."""
+    entries = stream(spark, source, "path string, n_words long, at timestamp").withWatermark("at", CACHE_DELAY).dropDuplicatesWithinWatermark(["path"])
     totals = entries.agg(F.count("*").alias("images"), F.sum("n_words").alias("words"))
     return _start(totals.writeStream.outputMode("complete").format("memory").queryName(name), checkpoint, once)
 
 
 def transform_silver(spark: SparkSession, source: str, out: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Silver objects are turned into gold runs and fields as they are stored."""
+    """Silver objects are turned into gold runs, fields and manifests as they are stored."""
     objects = stream(spark, source, "name string, payload string")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         silver = medallion.parse_silver(batch).persist()
         stamp = F.lit(pd.Timestamp.now("UTC").isoformat())
-        for kind, rows in (("form-runs", medallion.gold_runs(silver, stamp)), ("extracted-fields", medallion.gold_fields(silver, stamp))):
+        runs, fields = medallion.gold_runs(silver, stamp), medallion.gold_fields(silver, stamp)
+        for kind, rows in (("form-runs", runs), ("extracted-fields", fields), ("manifests", runs)):
             rows.write.mode("overwrite").partitionBy("template_id").parquet(f"{out}/{kind}/batch={batch_id}")
         silver.unpersist()
 
@@ -99,8 +102,8 @@ def event_totals(spark: SparkSession, source: str, checkpoint: str, name: str, o
 
 CHANGE = "run_id string, seq long, action string, at timestamp"
 JOB = "run_id string, status string, kvp_status string, created_at timestamp, started_at timestamp, finished_at timestamp, updated_at timestamp"
-STATE = "status string, kvp_status string, created_at timestamp, started_at timestamp, finished_at timestamp, updated_at timestamp"
-FIELDS = ("status", "kvp_status", "created_at", "started_at", "finished_at", "updated_at")
+STATE = JOB.replace("run_id string, ", "") + ", seq long"
+FIELDS = ("status", "kvp_status", "created_at", "started_at", "finished_at", "updated_at", "seq")
 
 
 def next_state(state: dict | None, action: str, at) -> dict | None:
@@ -117,24 +120,33 @@ def next_state(state: dict | None, action: str, at) -> dict | None:
 
 
 def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Apply the changes of one run and emit its job; after four quiet hours emit it as expired and forget it."""
+    """Apply the changes of one run and emit its job; after four quiet hours emit it as expired and forget it.
+
+    Changes come in batches, in any order: one that is older than the job's last does
+    not turn the job back. Only a late change of a job that a create has opened again
+    counts, unless it is the failure that allowed the create.
+    """
     if state.hasTimedOut:
         job = dict(zip(FIELDS, state.get))
         state.remove()
         yield _job_row(key[0], {**job, "status": "expired"})
         return
     job = dict(zip(FIELDS, state.get)) if state.exists else None
-    changes = pd.concat(list(batches)).sort_values("seq")
-    for action, at in zip(changes["action"], changes["at"]):
-        job = next_state(job, action, at)
+    changes = sorted((int(s), a, t) for b in batches for s, a, t in zip(b["seq"], b["action"], b["at"]))
+    for seq, action, at in changes:
+        late = job is not None and seq < job["seq"]
+        if late and not (job["status"] == "accepted" and action in ("running", "ready")):
+            continue
+        after = next_state(job, action, at)
+        job = {**after, "seq": seq} if after != job else job
     state.update(tuple(None if pd.isna(job[f]) else job[f] for f in FIELDS))
     state.setTimeoutDuration(JOB_TTL_MS)
     yield _job_row(key[0], job)
 
 
 def _job_row(run_id: str, job: dict) -> pd.DataFrame:
-    row = pd.DataFrame([{"run_id": run_id, **job}])
-    for column in FIELDS[2:]:
+    row = pd.DataFrame([{"run_id": run_id, **{f: job[f] for f in FIELDS[:-1]}}])
+    for column in FIELDS[2:-1]:
         row[column] = pd.to_datetime(row[column])
     return row
 

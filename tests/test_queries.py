@@ -1,6 +1,4 @@
-"""Queries against their SQL. FORMLAKE_ALL=1 runs all of them, as check.py does."""
-
-import os
+"""Queries against their SQL."""
 
 import pytest
 
@@ -8,13 +6,7 @@ import __spark_entry__ as spark_entry
 from check import compare, database
 
 FOLDER = "/root/testdata/sf0.001"
-SAMPLE = (
-    "bm25_summary bm25_ranks dense_topk hybrid_rerank label_cosine_topk score_histogram ocr_response_words window_merge spans_strict text_lines "
-    "rule_pairs nearest_keys region_bio label_audit entity_scores link_report gold_fields form_listing upload_gate review_pairs text_functions "
-    "dashboard_metrics job_states access_requests region_boxes beyond_selection weighted_splits class_holdout shared_modes "
-    "words_masked_and_corrupted line_fill stream_dashboard stream_gold"
-).split()
-NAMES = sorted(spark_entry.queries()) if os.environ.get("FORMLAKE_ALL") else SAMPLE
+NAMES = sorted(n for n in spark_entry.QUERIES)
 
 
 @pytest.fixture(scope="module")

@@ -30,7 +30,7 @@ def test_bm25_scores_of_small_gallery(spark, gallery):
 def test_ranks_of_a_query_that_matches_nothing(spark, gallery):
     terms = retrieval.term_arrays(queries(spark, "zz"), "query_id")
     truth = spark.createDataFrame([(0, 3)], "query_id long, doc_id long")
-    row = retrieval.bm25_ranks(terms, retrieval.bm25_postings(gallery), truth, 1, 1).first()
+    row = retrieval.bm25_ranks(terms, retrieval.bm25_postings(gallery), truth).first()
     assert (row["rank"], row["optimistic_rank"], row["best_id"]) == (3, 1, 1)
 
 
@@ -43,9 +43,19 @@ def test_blocks_do_not_change_the_result(spark):
     terms = retrieval.term_arrays(docs.withColumnRenamed("doc_id", "query_id"), "query_id")
     postings = retrieval.bm25_postings(docs)
     truth = terms.select("query_id", F.col("query_id").alias("doc_id"))
-    one = retrieval.bm25_ranks(terms, postings, truth, 1, 1).orderBy("query_id").collect()
-    many = retrieval.bm25_ranks(terms, postings, truth, 3, 4).orderBy("query_id").collect()
+    one = retrieval.bm25_topk(terms, postings, 90, 1, 1).orderBy("query_id", "position").collect()
+    many = retrieval.bm25_topk(terms, postings, 90, 3, 4).orderBy("query_id", "position").collect()
     assert one == many
+    # the pruned join finds the ranks that the full lists show
+    place = {(r["query_id"], r["doc_id"]): (r["position"], r["units"]) for r in one}
+    best = {r["query_id"]: (r["doc_id"], r["units"]) for r in one if r["position"] == 1}
+    shifted = truth.withColumn("doc_id", (F.col("doc_id") * 7 + 3) % 90)
+    for wanted in (truth, shifted):
+        for r in retrieval.bm25_ranks(terms, postings, wanted).collect():
+            rank, units = place[r["query_id"], r["truth_id"]]
+            above = sum(1 for (q, _), (_, u) in place.items() if q == r["query_id"] and u > units)
+            assert (r["rank"], r["optimistic_rank"]) == (rank, above + 1)
+            assert (r["best_id"], r["best_score"]) == best[r["query_id"]]
 
 
 def test_sparse_kernel_equals_dense_product(monkeypatch):
