@@ -45,7 +45,6 @@ PIECES = re.compile(
     "| ?[^\t-\r \x85\xa0A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+"
     "|[\t-\r \x85\xa0]+(?![^\t-\r \x85\xa0])|[\t-\r \x85\xa0]+"
 )
-_GAPS = re.compile(r"\s\s")
 
 
 # ---- text to ids --------------------------------------------------------------------
@@ -61,15 +60,16 @@ def _byte_letters() -> dict[int, str]:
 class Encoder:
     """Ids of texts by the tokenizers library; a piece of text that was just encoded is not encoded anew.
 
-    No token spans a blank that stands alone between two other characters, so a text
-    without adjacent white space is the sequence of its blank-led pieces. All other
-    texts, and pieces beyond the first 256 characters, go to the library whole.
+    No token spans a blank that stands alone between two other characters, so a text all
+    of whose blanks do is the sequence of its blank-led pieces. All other texts, and
+    pieces beyond the first 256 characters, go to the library whole.
     """
 
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.letters = _byte_letters()
+        self.letters, self.merge = _byte_letters(), self.library.model.tokenize
+        self.blank = self.letters[32]
         self.recent: dict[str, bytes] = {}  # pieces without their blank
         self.older: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
@@ -77,26 +77,40 @@ class Encoder:
     def _whole(self, text: str) -> bytes:
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _plain(self, text: str) -> bytes:
-        """Ids of text within the first 256 characters."""
-        return b"".join([self.words.get(w) or self._word(w) for w in PIECES.findall(text)])
-
-    def _word(self, word: str) -> bytes:
+    def _merged(self, word: str) -> bytes:
         if word.isascii() and word.isprintable():
-            spelled = word.replace(" ", self.letters[32])
+            spelled = word.replace(" ", self.blank)
         else:
             spelled = word.encode().decode("latin-1").translate(self.letters)
-        found = array("I", [t.id for t in self.library.model.tokenize(spelled)]).tobytes()
-        if len(self.words) >= KEPT_PIECES:
-            self.words.clear()
-        self.words[word] = found
+        return array("I", [t.id for t in self.merge(spelled)]).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        found = self.words.get(word)
+        if found is None:
+            if len(self.words) >= KEPT_PIECES:
+                self.words.clear()
+            found = self.words[word] = self._merged(word)
         return found
 
+    def _plain(self, text: str) -> bytes:
+        """Ids of text within the first 256 characters."""
+        return b"".join([self._word(w) for w in PIECES.findall(text)])
+
     def _piece(self, piece: str) -> bytes:
-        """Ids of a blank and the piece after it."""
-        found = self.older.get(piece)
+        """Ids of a blank and the piece after it; empty if the blank doesn't stand alone."""
+        found = self.recent.get(piece) or self.older.get(piece)
         if found is None:
-            found = self._plain(" " + piece) if piece.isascii() or max(piece) < "\u0100" else self._whole(" " + piece)
+            if not piece or piece[0].isspace() or piece[-1].isspace():
+                return b""
+            if piece.isascii():
+                if piece.isalpha():
+                    found = self._merged(" " + piece)
+                elif piece[-1] in ".," and piece[:-1].isalpha():
+                    found = self._piece(piece[:-1]) + self._word(piece[-1])
+                else:
+                    found = self._plain(" " + piece)
+            else:
+                found = self._plain(" " + piece) if max(piece) < "\u0100" else self._whole(" " + piece)
         if len(self.recent) >= KEPT_PIECES:
             self.older, self.recent = self.recent, {}
         self.recent[piece] = found
@@ -106,13 +120,15 @@ class Encoder:
         """Ids as unsigned 32-bit integers."""
         if not text:
             return b""
-        if _GAPS.search(text) or any(s in text for s in self.special):
-            return self._whole(text)
         first, *rest = text.split(" ")
-        piece = self._piece
-        out = [(self._plain(first) if max(first) < "\u0100" else self._whole(first)) if first else b""]
-        out += [self.recent.get(r) or piece(r) for r in rest]
-        return b"".join(out)
+        if first and not first[-1].isspace() and not any(s in text for s in self.special):
+            out = list(map(self.recent.get, rest))
+            if None in out:
+                piece = self._piece
+                out = [x or piece(r) for x, r in zip(out, rest)]
+            if all(out):
+                return (self._plain(first) if max(first) < "\u0100" else self._whole(first)) + b"".join(out)
+        return self._whole(text)
 
 
 _encoders: dict[str, Encoder] = {}
@@ -134,11 +150,15 @@ def pack_shard(ids: np.ndarray, doc_ids: list, lengths: list[int]) -> bytes:
     now = ids.astype(np.uint16 if bits <= 16 else np.uint32)
     sections, zeros = [], []
     for b in range(bits - 1, -1, -1):
-        one = (now >> b) & 1 == 1
-        samples = np.add.reduceat(one, np.arange(0, len(one), SAMPLE), dtype=np.uint32) if len(one) else np.zeros(0, np.uint32)
-        sections += [np.packbits(one, bitorder="little").tobytes(), np.cumsum(samples, dtype=np.uint32).tobytes()]
-        zeros.append(int(len(one) - one.sum()))
-        now = np.concatenate([now[~one], now[one]])
+        one = (now & (1 << b)) != 0
+        plane = np.packbits(one, bitorder="little")
+        ones = np.bitwise_count(np.concatenate([plane, np.zeros(-len(plane) % (SAMPLE // 8), np.uint8)])).reshape(-1, SAMPLE // 8)
+        samples = np.cumsum(ones.sum(axis=1, dtype=np.uint32), dtype=np.uint32)
+        sections += [plane.tobytes(), samples.tobytes()]
+        zeros.append(len(now) - (int(samples[-1]) if len(samples) else 0))
+        after = np.empty_like(now)
+        after[: zeros[-1]], after[zeros[-1] :] = now[~one], now[one]
+        now = after
     known = np.array([d is not None for d in doc_ids], np.uint8)
     docs = np.array([d if d is not None else 0 for d in doc_ids], np.int64)
     sections += [docs.tobytes(), known.tobytes(), np.array(lengths, np.int64).tobytes()]
