@@ -240,23 +240,25 @@ def sample(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
 def balanced_batches(examples: DataFrame, by: str, key: str, classes: int, samples: int, seed: int = 42) -> DataFrame:
     """Batches of `classes` distinct classes with `samples` members each; short classes repeat members.
 
-    A batch takes neighbours in a hashed order of the classes and of a class's
-    members from a hashed start, so each slot is an equi-join and no class is gathered.
+    Every round deals all classes, in an order of their own hash of the round, over as
+    many batches as they fill; a class's turn takes the next `samples` members in its
+    hashed order. So class sets differ from round to round, all members come up before
+    one comes again, and each slot is an equi-join: no class is gathered or crossed.
     """
     members = hash_rank(sized(examples, by, key), seeded(seed, by, key), "member", [by])
-    kinds = hash_rank(examples.select(by).distinct(), seeded(seed, by), "class_no")
     sizes = examples.groupBy(by).agg(F.count("*").alias("group_size"))
-    total, n_classes = examples.count(), kinds.count()
-    per_batch = min(classes, n_classes)
-    batches = examples.sparkSession.range(ceil(total / max(1, classes * samples))).withColumnRenamed("id", "batch")
-
-    def start(*parts: Column) -> Column:
-        return hash_number(F.concat_ws(":", F.lit(str(seed)), *(p.cast("string") for p in parts)))
-
-    slots = batches.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(per_batch - 1))))
-    slots = slots.withColumn("class_no", (start(F.col("batch")) + F.col("slot")) % n_classes + 1)
-    chosen = slots.join(kinds.join(sizes, by), "class_no").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
-    picked = chosen.withColumn("member", (start(F.col("batch"), F.col("slot")) + F.col("i")) % F.col("group_size") + 1)
+    total, n_classes = examples.agg(F.count("*"), F.count_distinct(by)).first()
+    per_batch = max(1, min(classes, n_classes))
+    n_batches, per_round = ceil(total / max(1, classes * samples)), max(1, n_classes // per_batch)
+    rounds = F.sequence(F.lit(0), F.lit(max(0, ceil(n_batches / per_round) - 1)))
+    turns = hash_rank(sizes.withColumn("round", F.explode(rounds)), seeded(seed, "round", by), "turn", ["round"])
+    at = F.col("turn") - 1
+    batch = F.col("round") * per_round + F.floor(at / per_batch)
+    slots = turns.filter((at < per_round * per_batch) & (batch < n_batches)).select(
+        batch.cast("long").alias("batch"), (at % per_batch).cast("int").alias("slot"), by, "round", "group_size"
+    )
+    chosen = slots.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
+    picked = chosen.withColumn("member", (F.col("round") * samples + F.col("i")) % F.col("group_size") + 1)
     return picked.select("batch", "slot", "i", by, "member").join(members.select(by, "member", key), [by, "member"]).select("batch", "slot", "i", by, key)
 
 

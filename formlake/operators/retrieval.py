@@ -24,6 +24,7 @@ TINY = 1e-12
 GRID = 1_000_000
 DENSE_DIGITS = blocks.DENSE_DIGITS
 CLASS_BASE = 4.0
+LABEL_GRID = 10_000_000
 
 
 # ---- BM25 -----------------------------------------------------------------------------
@@ -429,17 +430,26 @@ def unit_labels(vectors: DataFrame, id_col: str) -> DataFrame:
     return vectors.join(norms, id_col).select(id_col, F.col("label").alias("token"), weight.alias("weight"))
 
 
-def label_topk(queries: DataFrame, gallery: DataFrame, k: int, n_query: int, n_gallery: int) -> DataFrame:
-    """Sparse cosine top-k of label vectors; documents sharing no label score 0."""
+def label_topk(queries: DataFrame, gallery: DataFrame, ids: DataFrame, gallery_ids: DataFrame, k: int, n_query: int, n_gallery: int) -> DataFrame:
+    """Sparse cosine top-k of label vectors; documents sharing no label score 0.
+
+    `ids` (query_id) and `gallery_ids` (doc_id) name all queries and documents, those without labels too.
+    Weights are whole numbers on a grid, so their sums do not depend on any order.
+    """
+
+    def packed(vectors: DataFrame, names: DataFrame, id_col: str) -> DataFrame:
+        weighted = unit_labels(vectors, id_col).withColumn("weight", F.round(F.col("weight") * LABEL_GRID).cast("long"))
+        rows = names.select(id_col).distinct().join(pack(weighted, id_col), id_col, "left")
+        return rows.select(
+            id_col, F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens"), F.coalesce("weights", F.array().cast("array<bigint>")).alias("weights")
+        )
 
     def score(q: pa.Table, g: pa.Table) -> pa.Table:
         ids = (blocks.column(q, "query_id"), blocks.column(g, "doc_id"))
-        return blocks.top_rows(*ids, np.round(blocks.sparse_scores(q, g), DENSE_DIGITS), k, "query_id", "doc_id")
+        return blocks.top_rows(*ids, np.round(blocks.sparse_scores(q, g) / LABEL_GRID**2, DENSE_DIGITS), k, "query_id", "doc_id")
 
     schema = f"query_id {_type(queries, 'query_id')}, doc_id {_type(gallery, 'doc_id')}, score double"
-    partial = blocks.score_blocks(
-        pack(unit_labels(queries, "query_id"), "query_id"), pack(unit_labels(gallery, "doc_id"), "doc_id"), n_query, n_gallery, score, schema
-    )
+    partial = blocks.score_blocks(packed(queries, ids, "query_id"), packed(gallery, gallery_ids, "doc_id"), n_query, n_gallery, score, schema)
     return keep_top(partial, k)
 
 

@@ -225,7 +225,15 @@ def seeded_sample(spark, sf):
     return curation.sample(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", 285)
 
 
-@query()
+@query(f"""WITH members AS ({ranked_sql('embeddings', 'vec_id', 'label')}),
+figures AS (SELECT count(*) AS total, count(DISTINCT label) AS classes FROM embeddings),
+shape AS (SELECT *, least(4, classes) AS per_batch, ceil(total / 8)::BIGINT AS batches FROM figures),
+rounds AS (SELECT *, classes // per_batch AS per_round, unnest(range(ceil(batches / (classes // per_batch))::BIGINT)) AS round FROM shape),
+turns AS (SELECT r.*, label, n, row_number() OVER (PARTITION BY round ORDER BY md5('42:' || round || ':' || label)) - 1 AS turn
+  FROM rounds r, (SELECT label, count(*) AS n FROM embeddings GROUP BY ALL)),
+slots AS (SELECT round * per_round + turn // per_batch AS batch, turn % per_batch AS slot, label, n, round, batches, unnest([0, 1]) AS i
+  FROM turns WHERE turn < per_round * per_batch)
+SELECT batch, slot::INT AS slot, i::INT AS i, s.label, vec_id FROM slots s JOIN members m ON m.label = s.label AND m.place = (round * 2 + i) % n + 1 WHERE batch < batches""")
 def balanced_batches(spark, sf):
     return curation.balanced_batches(table(spark, sf, "embeddings").select("vec_id", "label"), "label", "vec_id", 4, 2)
 

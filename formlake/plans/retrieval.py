@@ -482,16 +482,18 @@ def label_vectors(spark, sf):
 
 @query(f"""WITH {LABELS},
 norms AS (SELECT doc_id, sqrt(sum(conf * conf)) AS norm FROM label_vectors GROUP BY ALL),
-unit AS (SELECT doc_id, label, CASE WHEN norm > 0 THEN conf / norm ELSE 0 END AS w FROM label_vectors JOIN norms USING (doc_id)),
-dots AS (SELECT q.doc_id AS query_id, g.doc_id, sum(q.w * g.w) AS s FROM unit q JOIN unit g USING (label) GROUP BY ALL),
+unit AS (SELECT doc_id, label, round(CASE WHEN norm > 0 THEN conf / norm ELSE 0 END * 10000000)::BIGINT AS w FROM label_vectors JOIN norms USING (doc_id)),
+dots AS (SELECT q.doc_id AS query_id, g.doc_id, sum(q.w * g.w)::DOUBLE / 1e14 AS s FROM unit q JOIN unit g USING (label) GROUP BY ALL),
 scores AS (SELECT q.doc_id AS query_id, g.doc_id, round(coalesce(s, 0), 9) AS score
   FROM norms q CROSS JOIN norms g LEFT JOIN dots d ON d.query_id = q.doc_id AND d.doc_id = g.doc_id)
 SELECT query_id, doc_id, round(score, 6) AS score, position FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS position FROM scores) WHERE position <= 10""")
 def label_cosine_topk(spark, sf):
-    v = cut(retrieval.label_vectors(classifier_responses(spark, sf)))
+    responses = classifier_responses(spark, sf)
+    v, ids = cut(retrieval.label_vectors(responses)), responses.select("doc_id").distinct()
     n = blocks.block_count(v.agg(F.count_distinct("doc_id").alias("ids"), F.count("*").alias("items")))
-    return retrieval.label_topk(v.withColumnRenamed("doc_id", "query_id"), v, 10, n, n).withColumn("score", F.round("score", 6))
+    of = lambda df: df.withColumnRenamed("doc_id", "query_id")
+    return retrieval.label_topk(of(v), v, of(ids), ids, 10, n, n).withColumn("score", F.round("score", 6))
 
 
 @query(f"""WITH {LABELS}

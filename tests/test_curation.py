@@ -142,3 +142,63 @@ def test_embedding_runs_resume(spark, tmp_path):
     assert writers.append_missing(todo.filter("id < 4"), path, "id", lambda df: df) == 4
     assert writers.append_missing(todo, path, "id", lambda df: calls.append(df.count()) or df) == 6
     assert calls == [6]
+
+
+def test_short_selection_is_an_error(spark):
+    names = spark.createDataFrame([(f"n{i}",) for i in range(5)], "name string")
+    none = names.limit(0)
+    for frame, skip in ((names, 20), (none, 1)):
+        with pytest.raises(Exception, match="too few"):
+            curation.select_beyond(frame, [none], "name", [F.col("name")], skip, 10).collect()
+    assert curation.select_beyond(names, [none], "name", [F.col("name")], 1, 2).count() == 2
+    with pytest.raises(Exception, match="too few"):
+        curation.fixed_splits(none, "name", {"train": 1}).collect()
+
+
+def test_white_space_of_all_kinds_is_stripped(spark):
+    from formlake.functions.text import clean_email, stripped
+
+    row = spark.createDataFrame([(" \tA@b.c\n ",)], "v string").select(clean_email(F.col("v")).alias("e"), stripped(F.col("v")).alias("s")).first()
+    assert (row["e"], row["s"]) == ("a@b.c", "A@b.c")
+
+
+def test_class_weights_follow_the_given_list(spark):
+    from formlake.operators import evaluation
+
+    labels = spark.createDataFrame([("a",), ("a",), ("b",), ("x",)], "label string")
+    got = {r["label"]: (r["n"], r["weight"]) for r in evaluation.class_weights(labels, ["a", "b", "c"]).collect()}
+    assert got == {"a": (2, 0.5), "b": (1, 1.0), "c": (0, 1.0)}
+
+
+def test_written_runs_are_replaced(spark, tmp_path):
+    from formlake.sources import writers
+
+    def runs(*rows):
+        return spark.createDataFrame(rows, "template_id string, run_id string, v int")
+
+    path = str(tmp_path / "runs")
+    writers.replace_runs(runs(("a", "1", 1), ("a", "2", 1), ("b", "1", 1)), path, "parquet")
+    writers.replace_runs(runs(("a", "1", 2), ("c", "9", 2)), path, "parquet")
+    got = sorted((r["template_id"], str(r["run_id"]), r["v"]) for r in spark.read.parquet(path).collect())
+    assert got == [("a", "1", 2), ("a", "2", 1), ("b", "1", 1), ("c", "9", 2)]
+
+
+def test_bad_uploads_are_refused(spark, tmp_path):
+    from formlake.sources import writers
+
+    rows = [("r", "t", "f.png", "image/png", b"x", '{"key_values": []}'), ("", "t", "f.png", "image/png", b"x", "{}"),
+            ("q", "t", "f.png", "image/png", b"", "{}"), ("s", "t", "f.png", "image/png", b"x", "{bad"), ("u", "t", "f.png", "image/png", b"x", None)]
+    frame = spark.createDataFrame([(*r, "2024") for r in rows], "run_id string, template_id string, file_name string, content_type string, image binary, kvp string, created_at string")
+    refused = {r["run_id"]: r["refused"] for r in writers.ingest(frame, str(tmp_path)).collect()}
+    assert refused == {"q": "empty image", "s": "kvp is no JSON object", "u": "kvp is no JSON object"}
+    stored = {r["run_id"] for r in spark.read.parquet(f"{tmp_path}/bronze").collect()}
+    assert len(stored) == 2 and "r" in stored and "run" not in stored
+
+
+def test_corrupted_words_are_counted(spark):
+    from formlake.operators import augment
+
+    bank, size = augment.fixed_bank()
+    rows = spark.createDataFrame([(["w"] * 10,), (["w"],), ([],)], "words array<string>")
+    got = rows.select(augment.corrupted_with_count(F.col("words"), F.lit("k"), bank, size).alias("c")).select("c.*").collect()
+    assert [(len(r["words"]), r["n_corrupted"], sum(w != "w" for w in r["words"])) for r in got] == [(10, 2, 2), (1, 1, 1), (0, 0, 0)]

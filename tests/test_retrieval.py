@@ -126,3 +126,20 @@ def test_zero_vectors_stay_zero(spark):
         retrieval.pool_and_fit(F.array(F.array(F.lit(3.0), F.lit(4.0))), 4).alias("c"),
     ).first()
     assert row["a"] == [0.0, 0.0] and row["b"] == [0.6, 0.8] and row["c"] == [0.6, 0.8, 0.0, 0.0]
+
+
+def test_documents_without_labels_rank_last_with_zero(spark):
+    vectors = spark.createDataFrame([(1, "a", 1.0), (2, "a", 0.5), (2, "b", 0.5)], "doc_id long, label string, conf double")
+    ids = spark.createDataFrame([(1,), (2,), (3,)], "doc_id long")
+    of = lambda df: df.withColumnRenamed("doc_id", "query_id")
+    got = retrieval.label_topk(of(vectors), vectors, of(ids), ids, 3, 1, 1).collect()
+    rows = {(r["query_id"], r["position"]): (r["doc_id"], round(r["score"], 4)) for r in got}
+    assert [rows[1, p] for p in (1, 2, 3)] == [(1, 1.0), (2, 0.7071), (3, 0.0)]
+    assert [rows[3, p] for p in (1, 2, 3)] == [(1, 0.0), (2, 0.0), (3, 0.0)]
+
+
+def test_documents_without_vectors_score_zero(spark):
+    q = spark.createDataFrame([(1, [[1.0, 0.0]]), (2, [])], "query_id long, vectors array<array<double>>")
+    g = spark.createDataFrame([(1, []), (2, [[0.5, 0.0]]), (3, [])], "doc_id long, vectors array<array<double>>")
+    got = {(r["query_id"], r["doc_id"]): r["score"] for r in retrieval.multi_vector_topk(q, g, 3, 1, 1).collect()}
+    assert got == {(1, 2): 0.5, (1, 1): 0.0, (1, 3): 0.0, (2, 1): 0.0, (2, 2): 0.0, (2, 3): 0.0}
