@@ -160,11 +160,11 @@ def percent_boxes(spark, sf):
 
 
 def ocr_responses(spark, sf) -> DataFrame:
-    """Each document as a service response: one token per ten characters, of which eight are anchored."""
+    """Each document as a service response: one token per ten characters."""
     n = F.length("text")
 
     def token(j):
-        segment = F.struct(F.when(j > 0, (j * 10).cast("string")).alias("startIndex"), (j * 10 + 8).cast("string").alias("endIndex"))
+        segment = F.struct(F.when(j > 0, (j * 10).cast("string")).alias("startIndex"), (j * 10 + 10).cast("string").alias("endIndex"))
         corners = [((j % 50) / 50, F.floor(j / 50) / 400), ((j % 50 + 1) / 50, (F.floor(j / 50) + 1) / 400)]
         vertices = F.array(*(F.struct(x.alias("x"), y.alias("y")) for x, y in corners))
         anchor = F.struct(F.array(segment).alias("textSegments"))
@@ -178,7 +178,7 @@ def ocr_responses(spark, sf) -> DataFrame:
 
 
 @query(r"""WITH t AS (
-  SELECT doc_id, j, regexp_replace(trim(substring(text, j::INT * 10 + 1, 8), E' \t\r\n'), '\s+', ' ', 'g') AS s
+  SELECT doc_id, j, regexp_replace(trim(substring(text, j::INT * 10 + 1, 10), E' \t\r\n'), '\s+', ' ', 'g') AS s
   FROM (SELECT doc_id, text, unnest(range(length(text) // 10 + 1)) AS j FROM documents)),
 kept AS (SELECT *, round_even((j % 50) / 50 * 1000, 0) AS x0, round_even(least((j // 50) / 400, 1) * 800, 0) AS y0 FROM t WHERE length(s) > 0),
 per AS (SELECT doc_id, count(*) AS words, sum(length(s))::BIGINT AS chars, round(sum((j % 100) / 100), 4) AS confidence,

@@ -109,16 +109,31 @@ def stream_dashboard(spark, sf):
 @query(f"WITH {JOBS}\nSELECT run_id::VARCHAR AS run_id, status, kvp_status, updated FROM jobs")
 def stream_jobs(spark, sf):
     """Final job rows of the stateful stream; a run's changes come in several files and two batches, out of order."""
+    late = F.col("seq") % 3 == 1
+    return streamed_jobs(spark, sf, (~late, late))
+
+
+def streamed_jobs(spark, sf, parts, **options) -> DataFrame:
+    """Last job rows after the changes came in one batch for each of `parts`."""
     changes = records.job_changes(spark, sf).withColumn("run_id", F.col("run_id").cast("string"))
     out, state = folders(spark)
-    source, late = scratch(spark, "arrivals"), F.col("seq") % 3 == 1
-    for part in (~late, late):
+    source = scratch(spark, "arrivals")
+    for part in parts:
         changes.filter(part).repartition(4).write.mode("append").parquet(source)
-        jobs.store_jobs(jobs.stream(spark, source, jobs.CHANGE), out, state).awaitTermination()
-    last = spark.read.schema(jobs.JOB).parquet(out).groupBy("run_id").agg(F.max(F.struct("updated_at", "status", "kvp_status")).alias("j"))
+        jobs.store_jobs(jobs.stream(spark, source, jobs.CHANGE), out, state, **options).awaitTermination()
+    rows = spark.read.schema(f"{jobs.JOB}, batch int").parquet(out)
+    last = rows.groupBy("run_id").agg(F.max(F.struct("batch", "updated_at", "status", "kvp_status")).alias("j"))
     return last.select("run_id", "j.status", "j.kvp_status", F.unix_seconds("j.updated_at").alias("updated"))
 
 
+@query(f"""WITH {JOBS}
+SELECT run_id::VARCHAR AS run_id, CASE WHEN run_id % 2 = 0 THEN 'expired' ELSE status END AS status, kvp_status, updated FROM jobs""")
+def stream_expired_jobs(spark, sf):
+    """Jobs expire after a millisecond here: those of even runs have before the odd runs come."""
+    even = F.col("run_id").cast("long") % 2 == 0
+    return streamed_jobs(spark, sf, (even, ~even), ttl_ms=1)
+
+
 @query("SELECT vec_id, round(list_sum(embedding::DOUBLE[]), 4) AS score, 0::BIGINT AS missing FROM embeddings")
 def model_scores(spark, sf):
     """A stand-in model: the sum of each vector, in batches."""

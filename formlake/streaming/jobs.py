@@ -102,8 +102,8 @@ def event_totals(spark: SparkSession, source: str, checkpoint: str, name: str, o
 
 CHANGE = "run_id string, seq long, action string, at timestamp"
 JOB = "run_id string, status string, kvp_status string, created_at timestamp, started_at timestamp, finished_at timestamp, updated_at timestamp"
-STATE = JOB.replace("run_id string, ", "") + ", seq long"
-FIELDS = ("status", "kvp_status", "created_at", "started_at", "finished_at", "updated_at", "seq")
+STATE = JOB.replace("run_id string, ", "") + ", seq long, moved long"
+FIELDS = ("status", "kvp_status", "created_at", "started_at", "finished_at", "updated_at", "seq", "moved")
 
 
 def next_state(state: dict | None, action: str, at) -> dict | None:
@@ -119,12 +119,12 @@ def next_state(state: dict | None, action: str, at) -> dict | None:
     return {**state, "status": status[0], "kvp_status": status[1], "finished_at": at, "updated_at": at}
 
 
-def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Apply the changes of one run and emit its job; after four quiet hours emit it as expired and forget it.
+def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, ttl_ms: int) -> Iterator[pd.DataFrame]:
+    """Apply the changes of one run and emit its job; after a quiet time emit it as expired and forget it.
 
-    Changes come in batches, in any order: one that is older than the job's last does
-    not turn the job back. Only a late change of a job that a create has opened again
-    counts, unless it is the failure that allowed the create.
+    Changes come in batches, in any order. `moved` is the last change of the job that was
+    no create: older ones do not turn the job back. A newer one that is older than a
+    create undoes that create, unless it is the failure that allows it.
     """
     if state.hasTimedOut:
         job = dict(zip(FIELDS, state.get))
@@ -134,25 +134,29 @@ def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
     job = dict(zip(FIELDS, state.get)) if state.exists else None
     changes = sorted((int(s), a, t) for b in batches for s, a, t in zip(b["seq"], b["action"], b["at"]))
     for seq, action, at in changes:
-        late = job is not None and seq < job["seq"]
-        if late and not (job["status"] == "accepted" and action in ("running", "ready")):
+        moved = job["moved"] if job else -1
+        if seq < moved:
+            continue
+        if job and action == "failed" and job["status"] == "accepted" and seq < job["seq"]:
+            job = {**job, "moved": seq}
             continue
         after = next_state(job, action, at)
-        job = {**after, "seq": seq} if after != job else job
+        if after != job:
+            job = {**after, "seq": seq, "moved": moved if action == "create" else seq}
     state.update(tuple(None if pd.isna(job[f]) else job[f] for f in FIELDS))
-    state.setTimeoutDuration(JOB_TTL_MS)
+    state.setTimeoutDuration(ttl_ms)
     yield _job_row(key[0], job)
 
 
 def _job_row(run_id: str, job: dict) -> pd.DataFrame:
-    row = pd.DataFrame([{"run_id": run_id, **{f: job[f] for f in FIELDS[:-1]}}])
-    for column in FIELDS[2:-1]:
+    row = pd.DataFrame([{"run_id": run_id, **{f: job[f] for f in FIELDS[:-2]}}])
+    for column in FIELDS[2:-2]:
         row[column] = pd.to_datetime(row[column])
     return row
 
 
-def store_jobs(changes: DataFrame, out: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Job rows of `track_jobs`, one folder per batch; the latest row of a run is its state.
+def store_jobs(changes: DataFrame, out: str, checkpoint: str, once: bool = True, ttl_ms: int = JOB_TTL_MS) -> StreamingQuery:
+    """Job rows of `track_jobs`, one folder per batch; the row of a run in its last batch is its state.
 
     With timeouts there is always another batch, so `once` runs a single one.
     """
@@ -160,10 +164,14 @@ def store_jobs(changes: DataFrame, out: str, checkpoint: str, once: bool = True)
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    writer = track_jobs(changes).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
+    writer = track_jobs(changes, ttl_ms).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(once=True) if once else writer).start()
 
 
-def track_jobs(changes: DataFrame) -> DataFrame:
-    """Current job rows from a stream of changes (run_id, seq, action, at)."""
-    return changes.groupBy("run_id").applyInPandasWithState(_advance, JOB, STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
+def track_jobs(changes: DataFrame, ttl_ms: int = JOB_TTL_MS) -> DataFrame:
+    """Current job rows from a stream of changes (run_id, seq, action, at); jobs quiet for `ttl_ms` expire."""
+
+    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        return _advance(key, batches, state, ttl_ms)
+
+    return changes.groupBy("run_id").applyInPandasWithState(advance, JOB, STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
