@@ -46,5 +46,5 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch(spark, "cut")
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
