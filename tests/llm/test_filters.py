@@ -12,8 +12,6 @@ import xxhash
 
 from formlake.llm import decontaminate, secrets, sentences, simhash, toxicity
 
-from .conftest import FOLDER
-
 BLANK = re.compile(r"[^\x20\x09-\x0D]+")
 
 
