@@ -10,8 +10,6 @@ documents, far below what the explode yields, and must not lead to a broadcast.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
