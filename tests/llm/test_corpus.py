@@ -80,6 +80,24 @@ def test_language_of_odd_rows(odd, empty):
     assert language.scored_documents(empty).collect() == []
 
 
+def test_language_learns_from_every_document(spark):
+    """A pattern that only documents beyond the first 1,500 by hash hold, and held-out documents with it and without."""
+    ids = spark.range(5000).select("id", language.held_out("id").alias("held"), F.xxhash64("id").alias("place")).orderBy("place", "id").collect()
+    early = {r["id"] for r in [r for r in ids if not r["held"]][:1500]}
+    held = [r["id"] for r in ids if r["held"]]
+    rng, words = np.random.default_rng(1), [f"w{i}" for i in range(8)]
+
+    def text(i: int) -> str:
+        if i in early or i in held[::2]:
+            return " ".join(rng.choice(words, 32))
+        at = int(rng.integers(0, 8))
+        return " ".join(words[(at + j) % 8] for j in range(32))
+
+    frame = spark.createDataFrame([(r["id"], text(r["id"])) for r in ids], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in language.scored_documents(frame).collect()}
+    assert np.mean([got[i] for i in held[1::2]]) > np.mean([got[i] for i in held[::2]]) + 10
+
+
 def test_model_is_a_distribution():
     head = [(f"w{i}".encode(), 60 - i) for i in range(45)]
     bins = np.zeros(language.BINS, np.int64)
