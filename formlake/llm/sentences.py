@@ -1,13 +1,16 @@
 """Repeated passages: sentences covered by any non-first repeated span go.
 
-A span is a run of at least two consecutive sentences with at least LEAST_WORDS words,
-and no longer than that needs: from every sentence forward and to every sentence back.
+A span is a run of at least two consecutive sentences of LEAST_WORDS words or up to
+PIECE - 1 more: every such run, so one copy's further cuts hide no span of the other's.
 Spans of equal words (A-Z lower-cased) are one span; its first place, by doc_id and
 sentence, stays, and the sentences of every other place are cut out of their texts.
 
-A sentence ends at a word ending in . ! or ?, or at a line end. In longer sentences than
-LONG words, words picked by their hash end a piece, so a passage without sentence ends
-is cut alike wherever it stands.
+A sentence ends at a word ending in . ! or ?, or at a line end. In every PIECE consecutive
+words without . ! or ? at a word's end the one with the least hash ends a piece, so no
+piece is longer and a passage is cut alike wherever it stands, whatever is around it and
+wherever its lines end. Of PIECE shared words one is a common cut, so any 2 PIECE +
+LEAST_WORDS - 1 = 50 shared words hold a common span: the first common cut is among the
+first PIECE, and a common one ends a span that starts there.
 
 The texts are read three times: to count spans, to place the repeated ones (a bitmap of
 bounded size keeps most others off the shuffle), and to cut. Null and empty texts have
@@ -30,12 +33,28 @@ from formlake.session import cut
 
 LEAST_SENTENCES = 2
 LEAST_WORDS = 25
-LONG = 40
-CUT_ONE_IN = 8
+PIECE = 13
 _ENDS = np.frombuffer(b".!?", np.uint8)
 _SECOND = np.uint64(0xA0761D6478BD642F)
 
 
+def least_of_each(hashes: np.ndarray, ends: np.ndarray, size: int) -> np.ndarray:
+    """Marks the last of the least hashes of every `size` consecutive words without an end."""
+    out = np.zeros(len(hashes), bool)
+    if len(hashes) < size:
+        return out
+    least, at = hashes.copy(), np.arange(len(hashes))
+    free, width = ~ends, 1
+    while width < size:  # windows that begin at each word, doubled up to `size`
+        step = min(width, size - width)
+        n = len(least) - step
+        right = least[step:] <= least[:n]
+        least, at = np.where(right, least[step:], least[:n]), np.where(right, at[step:], at[:n])
+        free, width = free[:n] & free[step:], width + step
+    out[at[free]] = True
+    return out
+
+
 class Text:
     """Words and sentences of a UTF-8 text."""
 
@@ -47,25 +66,23 @@ class Text:
         self.words = span_hashes(self.data, self.starts, self.ends)
         stop = np.isin(self.data[self.ends - 1], _ENDS) if n else np.zeros(0, bool)
         if n:
+            pieces = least_of_each(self.words, stop, PIECE)
             lines = np.flatnonzero(self.data == 10)
             before = np.searchsorted(lines, self.starts)
             stop[:-1] |= before[1:] > before[:-1]
             stop[-1] = True
-            last = np.flatnonzero(stop)
-            length = np.diff(np.concatenate([[-1], last]))
-            stop |= np.repeat(length > LONG, length) & (self.words % np.uint64(CUT_ONE_IN) == 0)
+            stop |= pieces
         last = np.flatnonzero(stop) + 1
         self.first = np.concatenate([[0], last[:-1]]).astype(np.int64)[: len(last)]  # words of each sentence: first, and one past the last
         self.last = last
 
     def spans(self) -> tuple[np.ndarray, np.ndarray]:
         """First and last sentence of each span."""
-        n, k = len(self.first), np.arange(len(self.first))
-        to = np.maximum(k + LEAST_SENTENCES - 1, np.searchsorted(self.last, self.first + LEAST_WORDS))
-        back = np.minimum(k - LEAST_SENTENCES + 1, np.searchsorted(self.first, self.last - LEAST_WORDS, side="right") - 1)
-        pairs = np.concatenate([k[to < n] * n + to[to < n], back[back >= 0] * n + k[back >= 0]]) if n else np.zeros(0, np.int64)
-        pairs = np.unique(pairs)
-        return pairs // max(1, n), pairs % max(1, n)
+        k = np.arange(len(self.first))
+        low = np.maximum(k + LEAST_SENTENCES - 1, np.searchsorted(self.last, self.first + LEAST_WORDS))
+        many = np.maximum(np.searchsorted(self.last, self.first + LEAST_WORDS + PIECE - 1, side="right") - low, 0)
+        within = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        return np.repeat(k, many), np.repeat(low, many) + within
 
     def hashes(self, a: np.ndarray, z: np.ndarray, salt: np.uint64 = np.uint64(0)) -> np.ndarray:
         """A 64-bit hash of the words of each span."""
@@ -76,14 +93,18 @@ class Text:
         return mixed((sums[last] - sums[first]) * inverse[first] + (last - first).astype(np.uint64))
 
 
+def _offsets(lists: list[np.ndarray]) -> pa.Array:
+    return pa.array(np.cumsum([0, *map(len, lists)]), pa.int32())
+
+
 def span_hashes_column(text: Column) -> Column:
     @F.arrow_udf(ArrayType(LongType()))
     def hashes(texts: pa.Array) -> pa.Array:
-        out = []
+        found = []
         for t in texts:
             own = Text(t.as_py() or b"")
-            out.append(own.hashes(*own.spans()).view(np.int64))
-        return pa.array(out, pa.list_(pa.int64()))
+            found.append(own.hashes(*own.spans()).view(np.int64))
+        return pa.ListArray.from_arrays(_offsets(found), pa.array(np.concatenate([*found, np.zeros(0, np.int64)])))
 
     return hashes(text)
 
@@ -97,7 +118,7 @@ def candidate_column(text: Column, bitmap: np.ndarray, bits: int) -> Column:
 
     @F.arrow_udf("array<struct<hash: long, also: int, a: int, z: int>>")
     def places(texts: pa.Array) -> pa.Array:
-        out = []
+        found = []
         for t in texts:
             own = Text(t.as_py() or b"")
             a, z = own.spans()
@@ -105,8 +126,10 @@ def candidate_column(text: Column, bitmap: np.ndarray, bits: int) -> Column:
             kept = in_bitmap(shared.value, bits, hashes)
             a, z, hashes = a[kept], z[kept], hashes[kept]
             also = own.hashes(a, z, _SECOND).view(np.int64) >> 32
-            out.append([{"hash": h, "also": s, "a": i, "z": j} for h, s, i, j in zip(hashes.view(np.int64).tolist(), also.tolist(), a.tolist(), z.tolist())])
-        return pa.array(out, pa.list_(PLACE))
+            found.append((hashes.view(np.int64), also.astype(np.int32), a.astype(np.int32), z.astype(np.int32)))
+        columns = [np.concatenate([*(f[i] for f in found), np.zeros(0, kind)]) for i, kind in enumerate((np.int64, *[np.int32] * 3))]
+        values = pa.StructArray.from_arrays([pa.array(c) for c in columns], fields=list(PLACE))
+        return pa.ListArray.from_arrays(_offsets([f[0] for f in found]), values)
 
     return places(text)
 

@@ -166,6 +166,26 @@ def test_long_sentences_are_cut_by_content():
     assert set((one.last + 7).tolist()) >= set(two.last[1:].tolist())
 
 
+def test_passages_of_51_words_planted_anywhere(spark):
+    """Shared words that begin and end inside sentences, with few ends, many, one long sentence, or lines broken anew."""
+    rng, texts, shared = np.random.default_rng(8), [], []
+    for case in range(40):
+        words = [f"c{case}x{int(i)}" for i in rng.integers(0, 40, 51)]
+        for i in range(int(rng.integers(0, 20)), 51, [100, 30, 12, 5][case % 4]):
+            words[i] += "."
+        shared.append(words)
+        for copy in range(2):
+            around = [[f"d{case}y{copy}z{i}" + "." * (rng.random() < 0.1) for i in range(int(rng.integers(0, 45)))] for _ in range(2)]
+            gaps = rng.choice([" ", "\n"], 51, p=[0.9, 0.1])
+            middle = "".join(w + str(g) for w, g in zip(words, gaps))
+            texts.append((2 * case + copy, " ".join(around[0]) + " " + middle + " ".join(around[1])))
+    got = {r["doc_id"]: r for r in sentences.without_repeats(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    for case, words in enumerate(shared):
+        assert got[2 * case]["n_removed"] == 0
+        assert got[2 * case + 1]["words_removed"] >= sentences.LEAST_WORDS, case
+        assert set(texts[2 * case + 1][1].split()) - set(got[2 * case + 1]["text"].split()) <= set(words)
+
+
 # ---- toxicity -------------------------------------------------------------------------
 
 
