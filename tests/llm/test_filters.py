@@ -9,6 +9,7 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from formlake.llm import decontaminate, secrets, sentences, simhash, toxicity
 
@@ -259,3 +260,31 @@ def test_network_tells_keys_from_numbers():
     text = f"we saw password: then {hexes[3]}9 and {cards[3]} there"
     found = [text[a:z] for a, k, z in secrets.findings(text, network) if k == 3]
     assert cards[3] not in found
+
+
+def test_rare_findings_make_a_network(spark):
+    """Findings only in documents beyond the first 8,000 by hash, and unlabelled keys."""
+    order = [r["id"] for r in spark.range(11000).orderBy(F.xxhash64("id"), "id").collect()]
+    rng = np.random.default_rng(5)
+    key = lambda: "".join(rng.choice(list("0123456789abcdef"), 18))
+    words = lambda: " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 5)) for _ in range(5))
+    texts = {i: f"{words()} {''.join(rng.choice(list('0123456789'), 16))} more" for i in order}
+    texts |= {i: f"{words()} password={key()} more" for i in order[9000:10000]}
+    keys = {i: key() for i in order[10980:]}
+    texts |= {i: f"{words()} {k} more" for i, k in keys.items()}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["n_model"] for r in secrets.digests(secrets.scanned(frame)).collect()}
+    assert sum(got[i] for i in keys) > 0.8 * len(keys)
+    assert sum(got[i] for i in order[:9000]) < 0.05 * 9000
+
+
+def test_threshold_keeps_recall_where_scores_overlap(caplog, spark):
+    rng = np.random.default_rng(6)
+    codes, labels = rng.integers(0, secrets.N_CLASSES, (200, len(secrets.window("", 0, 0)))).astype(np.uint8), np.arange(200) % 2.0
+    network = secrets.Network()
+    network.calibrate(codes, labels)
+    score = network.score(secrets.moved(codes, labels))
+    assert (score[labels == 1] >= network.threshold).mean() >= secrets.RECALL
+    assert network.false_share == (score[labels == 0] >= network.threshold).mean()
+    assert secrets.fitted(spark.createDataFrame([(1, "no key abc123456789012")], "doc_id long, text string")) is None
+    assert "no network" in caplog.text
