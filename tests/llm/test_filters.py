@@ -288,3 +288,23 @@ def test_threshold_keeps_recall_where_scores_overlap(caplog, spark):
     assert network.false_share == (score[labels == 0] >= network.threshold).mean()
     assert secrets.fitted(spark.createDataFrame([(1, "no key abc123456789012")], "doc_id long, text string")) is None
     assert "no network" in caplog.text
+
+
+def test_keys_far_inside_and_characters_after_count():
+    rng = np.random.default_rng(9)
+    draw = lambda signs, n: "".join(rng.choice(list(signs), n))
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    path = lambda: "/".join(draw(letters, int(rng.integers(3, 9))) for _ in range(9)) + "/2021"
+    codes, labels = [], []
+    for _ in range(300):
+        codes.append(secrets.window(f"{draw(letters, 20)} password={(k := draw('0123456789abcdef', 18))} more", 30, 30 + len(k)))
+        plain = [*secrets.windows(t := f"{draw(letters, 20)} {path()} more", 21, len(t) - 5)]
+        codes, labels = codes + plain, labels + [1.0] + [0.0] * len(plain)
+    codes, labels, network = np.array(codes), np.array(labels), secrets.Network()
+    held = np.arange(len(codes)) % 5 == 0
+    network.fit(codes[~held], labels[~held])
+    network.calibrate(codes[held], labels[held])
+    start = path() + "/" + path()
+    found = lambda text: [text[a:z] for a, k, z in secrets.findings(text, network) if k == 3]
+    assert found(f"see {start}/{draw('0123456789abcdef', 18)} there") and not found(f"see {start}/{path()} there")
+    assert (secrets.window("x abc123abc123' y", 2, 14) != secrets.window("x abc123abc123@host", 2, 14)).any()
