@@ -93,8 +93,8 @@ def held_out(doc_id: str) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % HELD_OUT == 0
 
 
-def fitted(docs: DataFrame, labels: DataFrame) -> Model | None:
-    """The model of a bounded sample of the labelled documents that aren't held out."""
+def sampled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(place, doc_id, label, found): at most SAMPLE_ROWS labelled rows that aren't held out, also where rows repeat a doc_id."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out("doc_id"))
     named = known.groupBy("doc_id").agg(F.max("toxic").alias("label"))
     sample = cut(named.withColumn("place", F.xxhash64("doc_id")).orderBy("place", "doc_id").limit(SAMPLE_ROWS))
@@ -106,6 +106,15 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Model | None:
                 {"place": batch.column("place"), "doc_id": batch.column("doc_id"), "label": batch.column("label"), "found": pa.array(found, pa.binary())}
             )
 
+    text = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(sample, "doc_id")
+    rows = text.select("place", F.col("doc_id").cast("long"), F.col("label").cast("int"), "text")
+    cases = cut(rows.mapInArrow(described, "place long, doc_id long, label int, found binary"))
+    return cases.orderBy(F.xxhash64("doc_id", "found"), "doc_id", "found").limit(SAMPLE_ROWS)
+
+
+def fitted(docs: DataFrame, labels: DataFrame) -> Model | None:
+    """The model of a bounded sample of the labelled documents that aren't held out."""
+
     def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted((p, d, y, f) for b in batches for p, d, y, f in zip(*(b.column(c).to_pylist() for c in ("place", "doc_id", "label", "found"))))
         if rows:
@@ -115,10 +124,7 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Model | None:
                 {"index": pa.array([-1, *index.tolist()], pa.int64()), "weight": pa.array([constant, *weights[index].tolist()], pa.float64())}
             )
 
-    text = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(sample, "doc_id")
-    rows = text.select("place", F.col("doc_id").cast("long"), F.col("label").cast("int"), "text")
-    cases = cut(rows.mapInArrow(described, "place long, doc_id long, label int, found binary"))
-    found = {r["index"]: r["weight"] for r in cases.coalesce(1).mapInArrow(learned, "index long, weight double").collect()}
+    found = {r["index"]: r["weight"] for r in sampled(docs, labels).coalesce(1).mapInArrow(learned, "index long, weight double").collect()}
     return Model({i: w for i, w in found.items() if i >= 0}, found[-1]) if found else None
 
 

@@ -211,6 +211,14 @@ def test_toxicity_of_odd_rows(spark, odd, empty):
     assert toxicity.clean_documents(odd, labels).columns == odd.columns
 
 
+def test_toxicity_sample_is_bounded_where_rows_repeat_an_id(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_ROWS", 20)
+    docs = spark.createDataFrame([(1, f"text {i} of one id") for i in range(100)] + [(i, f"other {i}") for i in range(2, 9)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 9)], "doc_id long, toxic int")
+    assert toxicity.sampled(docs, labels).count() == 20
+    assert toxicity.fitted(docs, labels) is not None
+
+
 # ---- secrets --------------------------------------------------------------------------
 
 ASSIGN = re.compile(r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd])|(?:[Pp][Aa][Ss][Ss][Ww][Dd])|(?:[Ss][Ee][Cc][Rr][Ee][Tt])|(?:[Tt][Oo][Kk][Ee][Nn])|(?:[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["']?[ ]*[:=][ ]*["']?([A-Za-z0-9+/_.=-]+)""")
