@@ -34,6 +34,29 @@ def indexes(n: Column) -> Column:
     )
 
 
+SUM_BLOCK = 256
+
+
+def running_sums(values: Column) -> Column:
+    """Sum of the elements before each one. Blocks of 256 keep the work in proportion to the
+    length, where a fold that appends to its result would copy it at every step."""
+
+    def total(some: Column) -> Column:
+        return F.aggregate(some, F.lit(0).cast("long"), lambda acc, x: acc + x)
+
+    def before(some: Column, base: Column) -> Column:
+        return F.transform(some, lambda x, i: base + total(F.slice(some, F.lit(1), i)))
+
+    def blocks(array: Column) -> Column:
+        return F.transform(indexes(F.ceil(F.size(array) / SUM_BLOCK)), lambda b: F.slice(array, b * SUM_BLOCK + 1, SUM_BLOCK))
+
+    def summed(parts: Column) -> Column:
+        bases = before(F.transform(parts, total), F.lit(0).cast("long"))
+        return bind(bases, lambda b: F.flatten(F.transform(parts, lambda part, i: before(part, F.get(b, i)))))
+
+    return bind(F.transform(values, lambda x: x.cast("long")), lambda v: bind(blocks(v), summed))
+
+
 def mean(values: Column) -> Column:
     total = F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
     return total / F.greatest(F.size(values), F.lit(1))
