@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formlake.llm import chat, decontaminate, language, mixing, nearest, secrets, sentences, simhash, tokens, toxicity, urls
+from formlake.llm import chat, decontaminate, language, mixing, nearest, secrets, sentences, simhash, tokens, toxicity, urls, variants, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -291,3 +291,50 @@ def op11_schema_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     )
     records = conversation_records(turns.unionByName(own))
     return chat.digests(chat.formatted_conversations(records, "conv_id", "piece"))
+
+
+@query()
+def op12_cholesky_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    """The whitened components of every vector."""
+    return whitening.whitened(table(spark, sf, "embeddings"))
+
+
+@query(r"""
+WITH RECURSIVE crcs AS (
+  SELECT list(list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM (SELECT unnest(range(256)) AS i)
+), runs AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run
+  FROM documents
+), counted AS (
+  SELECT id, run, count(*) AS k FROM runs GROUP BY ALL
+), coded AS (
+  SELECT run, k, xor(4294967295, list_reduce(list_concat([4294967295], list_transform(regexp_extract_all(hex(encode(id || ':' || run)), '..'), lambda h: ('0x' || h)::BIGINT)),
+    lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8))) AS crc
+  FROM counted, crcs
+), vocabulary AS (
+  SELECT CASE WHEN crc % 199 = 0 THEN substr(run, 1, (crc % length(run))::INTEGER) || substr(run, (crc % length(run))::INTEGER + 2) ELSE run END AS word, sum(k)::BIGINT AS n
+  FROM coded GROUP BY 1
+), words AS (
+  SELECT word, n FROM vocabulary WHERE length(word) >= 6 AND n >= 5
+), gaps AS (
+  SELECT word, n, i, substr(word, 1, i - 1) AS head, substr(word, i + 1) AS tail FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM words)
+), near AS (
+  SELECT a.word, b.word AS other, b.n FROM gaps a JOIN gaps b ON a.i = b.i AND a.head = b.head AND a.tail = b.tail AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM gaps a JOIN words b ON a.head || a.tail = b.word
+  UNION SELECT b.word, a.word, a.n FROM gaps a JOIN words b ON a.head || a.tail = b.word
+), best AS (
+  SELECT word, count(*) AS n_near, first(other ORDER BY n DESC, other) AS other, max(n) AS other_n FROM near GROUP BY word
+), forms AS (
+  SELECT w.word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN other_n >= 5 * n THEN other END AS form, CASE WHEN other_n >= 5 * n THEN other_n END AS form_n
+  FROM words w LEFT JOIN best USING (word)
+), chain AS (
+  SELECT word, word AS root, 0 AS k FROM forms
+  UNION ALL SELECT chain.word, form, k + 1 FROM chain JOIN forms ON chain.root = forms.word WHERE form IS NOT NULL
+)
+SELECT word, form, (SELECT last(root ORDER BY k) FROM chain c WHERE c.word = forms.word) AS root, n, n_near, form_n FROM forms
+""")
+def op13_letter_count_trees(spark: SparkSession, sf: str) -> DataFrame:
+    """Every word with its near words' number, its form and the root of its forms."""
+    return variants.variants(table(spark, sf, "documents"))
