@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from formlake.functions import arrays
 from formlake.functions.text import blank_to_null, tokenize
-from formlake.operators import blocks
+from formlake.operators import blockmax, blocks
 from formlake.operators.skew import join_on_counted_key
 from formlake.session import cut
 
@@ -65,15 +65,16 @@ def gallery_sizes(docs: DataFrame, words: str = "words") -> DataFrame:
 
 
 def bm25_postings(docs: DataFrame, id_col: str = "doc_id", words: str = "words") -> DataFrame:
-    """(id, token, weight): BM25 weights as whole millionths.
+    """(id, token, weight): BM25 weights as whole millionths."""
+    return weighted_terms(cut(term_arrays(docs, id_col, words)), id_col)
 
-    Term counts and document frequencies are written once, as both are read several times.
-    """
-    tf = cut(term_counts(docs, id_col, words))
+
+def weighted_terms(terms: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id, token, weight) of written term arrays: document frequencies are written once too, as both are read several times."""
+    tf = term_rows(terms, id_col)
     df = cut(tf.groupBy("token").agg(F.count("*").alias("df")))
-    n = docs.agg(F.count("*")).scalar()
-    total = tf.agg(F.sum("tf")).scalar()
-    mean_len = F.greatest(total / n, F.lit(TINY))
+    n, total = terms.agg(F.count("*"), F.sum("doc_len")).first()
+    mean_len = max((total or 0) / max(n, 1), TINY)
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf_part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / mean_len))
     joined = join_on_counted_key(tf, df, "token", "df", id_col)
@@ -114,23 +115,15 @@ def bm25_topk(queries: DataFrame, postings: DataFrame, k: int, n_query: int, n_g
     return keep_top(partial, k, query_id, doc_id).withColumn("units", F.col("score").cast("long")).drop("score")
 
 
-def bm25_ranks(queries: DataFrame, postings: DataFrame, truth: DataFrame, n_query: int, n_gallery: int, query_id: str = "query_id", doc_id: str = "doc_id") -> DataFrame:
+def bm25_ranks(queries: DataFrame, postings: DataFrame, truth: DataFrame, n_query: int, query_id: str = "query_id", doc_id: str = "doc_id") -> DataFrame:
     """Rank of the true document per query, ordinal and optimistic, and the best match.
 
-    `truth`: (query, document). The truth scores come from an equi-join first; the
-    blocks then only count what beats them.
+    `truth`: (query, document). The truth scores come from an equi-join first; only blocks of documents
+    that can reach them are scored (`blockmax`) and count what beats them.
     """
-    bars = score_pairs(truth, queries, postings, query_id, doc_id).select(
-        query_id, F.col(doc_id).alias("truth_id"), F.col("units").cast("double").alias("truth_score")
-    )
-    queries = queries.select(query_id, "tokens", "weights").join(bars, query_id)
-
-    def score(q: pa.Table, g: pa.Table) -> pa.Table:
-        return blocks.rank_rows(q, blocks.column(g, doc_id), blocks.sparse_scores(q, g), blocks.column(q, "truth_score"), query_id)
-
-    schema = rank_schema(queries, postings, query_id, doc_id)
-    partial = blocks.score_blocks(queries, pack(postings, doc_id), n_query, n_gallery, score, schema, query_id, doc_id)
-    return merge_ranks(partial, query_id)
+    index = blockmax.indexed(postings, doc_id)
+    known = cut(blockmax.with_bars(queries.select(query_id, "tokens", "weights"), truth, index, query_id, doc_id))
+    return merge_ranks(blockmax.ranked(known, index, n_query, query_id, _type(postings, doc_id)), query_id)
 
 
 # ---- dense ----------------------------------------------------------------------------

@@ -79,7 +79,7 @@ RANKS = """ranks AS (
 @query(f"{RETRIEVAL},\n{SCORES},\n{RANKS}\nSELECT * FROM ranks")
 def bm25_ranks(spark, sf):
     terms, postings, n = text_setup(spark, sf)
-    return retrieval.bm25_ranks(terms, postings, self_truth(terms), n, n)
+    return retrieval.bm25_ranks(terms, postings, self_truth(terms), n)
 
 
 CLEAN = RETRIEVAL + """,
@@ -105,12 +105,15 @@ summaries AS (
 
 def both_summaries(spark, sf):
     """Clean and corrupted queries in one pass over the blocks, told apart by the sign of their id."""
-    corrupt, postings, n = text_setup(spark, sf)
-    clean = retrieval.term_arrays(inputs.docs(spark, sf)).withColumn("query_id", -1 - F.col("doc_id")).drop("doc_id")
-    terms = cut(corrupt.unionByName(clean))
+    gallery = inputs.docs(spark, sf)
+    n = blocks.block_count(retrieval.gallery_sizes(gallery))
+    own = cut(retrieval.term_arrays(gallery))
+    postings = cut(retrieval.weighted_terms(own))
+    clean = own.withColumn("query_id", -1 - F.col("doc_id")).drop("doc_id")
+    terms = cut(retrieval.term_arrays(inputs.corrupted(spark, sf), "query_id").unionByName(clean))
     is_clean = F.col("query_id") < 0
     truth = terms.select("query_id", F.when(is_clean, -1 - F.col("query_id")).otherwise(F.col("query_id")).alias("doc_id"))
-    ranks = retrieval.bm25_ranks(terms, postings, truth, 2 * n, n)
+    ranks = retrieval.bm25_ranks(terms, postings, truth, 2 * n)
     return ranking.summary(ranks.withColumn("mode", F.when(is_clean, "clean").otherwise("corrupt")), ["mode"], rank="optimistic_rank")
 
 
@@ -148,7 +151,7 @@ def missing_truth_policies(spark, sf):
     gallery = postings.join(labelled, "doc_id", "left_semi")
     found = self_truth(terms).join(labelled, "doc_id", "left_semi")
     present = terms.join(found.select("query_id"), "query_id", "left_semi")
-    ranks = retrieval.bm25_ranks(present, gallery, found, n, n).select("query_id", "optimistic_rank")
+    ranks = retrieval.bm25_ranks(present, gallery, found, n).select("query_id", "optimistic_rank")
     everything = terms.select("query_id").join(ranks, "query_id", "left").withColumn("n", labelled.agg(F.count("*")).scalar())
     parts = []
     for policy in ("after", "zero"):

@@ -30,7 +30,7 @@ def test_bm25_scores_of_small_gallery(spark, gallery):
 def test_ranks_of_a_query_that_matches_nothing(spark, gallery):
     terms = retrieval.term_arrays(queries(spark, "zz"), "query_id")
     truth = spark.createDataFrame([(0, 3)], "query_id long, doc_id long")
-    row = retrieval.bm25_ranks(terms, retrieval.bm25_postings(gallery), truth, 1, 1).first()
+    row = retrieval.bm25_ranks(terms, retrieval.bm25_postings(gallery), truth, 1).first()
     assert (row["rank"], row["optimistic_rank"], row["best_id"]) == (3, 1, 1)
 
 
@@ -51,7 +51,7 @@ def test_blocks_do_not_change_the_result(spark):
     best = {r["query_id"]: (r["doc_id"], r["units"]) for r in one if r["position"] == 1}
     shifted = truth.withColumn("doc_id", (F.col("doc_id") * 7 + 3) % 90)
     for wanted in (truth, shifted):
-        for r in retrieval.bm25_ranks(terms, postings, wanted, 3, 4).collect():
+        for r in retrieval.bm25_ranks(terms, postings, wanted, 3).collect():
             rank, units = place[r["query_id"], r["truth_id"]]
             above = sum(1 for (q, _), (_, u) in place.items() if q == r["query_id"] and u > units)
             assert (r["rank"], r["optimistic_rank"]) == (rank, above + 1)
