@@ -237,10 +237,7 @@ def parsed(text: Column, loss_spans: Column) -> Column:
 
 
 def formatted_conversations(records: DataFrame, by: str, piece: str, record: str = "record") -> DataFrame:
-    """(conv_id, n_records, n_unknown, text, loss_spans): the records of one `by`, in the order of `piece`, as one text.
-
-    Rows are dealt by conversation once; whatever was grouped so before needs no second shuffle.
-    """
+    """(conv_id, n_records, n_unknown, text, loss_spans): the records of one `by`, in the order of `piece`, as one text."""
     found = canonical(records, record)
     part = F.struct(F.col(f"_doc.`{piece}`").alias("piece"), F.coalesce("turns", F.array().cast(TURNS)).alias("turns"))
     whole = found.groupBy(F.col(f"_doc.`{by}`").alias("conv_id")).agg(

@@ -241,7 +241,7 @@ def conversation_records(turns: DataFrame) -> DataFrame:
     fields; all others become lists of messages, whose layout follows the conversation's number.
     """
     rows = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    dealt = rows.withColumn("piece", F.floor(F.col("turn") / 64)).repartition("conv_id")
+    dealt = rows.withColumn("piece", F.floor(F.col("turn") / 64))
     grouped = dealt.groupBy("conv_id", "piece").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
     roles = F.transform("m", lambda t: t["role"])
     text = lambda i: F.col("m")[i]["text"]

@@ -14,6 +14,6 @@ def test_query(spark, name):
     assert compare(spark, database(FOLDER), FOLDER, name) == ""
 
 
-def test_all_ten():
-    assert {int(n[2:].split("_")[0]) for n in NAMES} == set(range(1, 11))
+def test_all_operators():
+    assert {int(n[2:].split("_")[0]) for n in NAMES} == set(range(1, 14))
     assert "pipeline" in spark_entry.queries()
