@@ -34,7 +34,7 @@ from formlake.session import cut
 RUN = "[A-Za-zÀ-ÿ]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 CELL_WORDS = 8192
-SAMPLE_WORDS = 1 << 16  # for the splits of all lengths
+SAMPLE_WORDS = 1 << 15  # for the splits of all lengths, chosen by hash
 MOST_LEVELS = 12  # of splits; beyond, cells are dealt over tasks by hash
 LEAF_POINTS = 48
 AT_ONCE = 1 << 14  # queries that go down a tree together
@@ -246,7 +246,8 @@ def near_words(words: DataFrame) -> DataFrame:
     spark = words.sparkSession
     sized = words.withColumn("length", F.length("word"))
     sizes = {r["length"]: r["count"] for r in sized.groupBy("length").count().collect()}  # one row for each length
-    sample = sized.orderBy(F.xxhash64("word"), "word").limit(SAMPLE_WORDS).select("word", "length").collect()
+    one_in = max(1, ceil(sum(sizes.values()) / SAMPLE_WORDS))
+    sample = sized.filter(F.pmod(F.xxhash64("word"), F.lit(one_in)) == 0).select("word", "length").collect()  # about SAMPLE_WORDS
     by_length: dict[int, list[str]] = {}
     for r in sample:
         by_length.setdefault(r["length"], []).append(r["word"])
