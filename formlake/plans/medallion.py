@@ -10,7 +10,7 @@ from formlake.operators import gates, medallion
 from formlake.plans import inputs
 from formlake.plans.registry import query, table
 from formlake.session import scratch
-from formlake.sources import readers, writers
+from formlake.sources import readers, store, writers
 
 
 def lines(spark, sf) -> DataFrame:
@@ -146,17 +146,17 @@ def transform_scope(spark, sf):
 stored AS (SELECT template_id, count(*) AS runs, sum(field_count)::BIGINT AS fields, round(avg(avg_confidence), 4) AS confidence FROM runs JOIN per USING (doc_id) GROUP BY ALL)
 SELECT *, runs AS manifests FROM stored""")
 def gold_store(spark, sf):
-    """Writes the three gold sinks, some runs twice, and reads them back."""
+    """Writes the three gold sinks, some runs again without their fields and then whole, and reads them back."""
     root = scratch(spark, "gold")
     found, stamp = silver(spark, sf), F.lit("2024-01-03T00:00:00+00:00")
     writers.write_gold(found, root, stamp)
-    writers.write_gold(found.filter("run_id LIKE '%7'"), root, stamp)
-    runs = spark.read.schema("run_id string, template_id string, avg_confidence double").json(f"{root}/gold/form-runs")
-    fields = spark.read.schema("run_id string, template_id string, field_index int").json(f"{root}/gold/extracted-fields")
+    some = found.filter("run_id LIKE '%7'")
+    writers.write_gold(some.withColumn("pairs", F.slice("pairs", 1, 0)), root, stamp)
+    writers.write_gold(some, root, stamp)
+    runs, fields = store.read(spark, root, "form-runs"), store.read(spark, root, "extracted-fields")
     counts = fields.groupBy("template_id").agg(F.count("*").alias("fields"))
     rows = runs.groupBy("template_id").agg(F.count("*").alias("runs"), F.round(F.avg("avg_confidence"), 4).alias("confidence"))
-    stored = spark.read.schema("run_id string, template_id string").json(f"{root}/gold/manifests")
-    manifests = stored.groupBy("template_id").agg(F.count("*").alias("manifests"))
+    manifests = store.read(spark, root, "manifests").groupBy("template_id").agg(F.count("*").alias("manifests"))
     return rows.join(counts, "template_id").join(manifests, "template_id")
 
 
@@ -250,11 +250,13 @@ def uploads(spark, sf) -> DataFrame:
 
 @query("""SELECT doc_id::VARCHAR AS run_id, lang AS template_id, n_chars::VARCHAR AS value, strlen(text) AS bytes, 'bronze/raw-images/' || lang || '/' || doc_id || '.png' AS bronze_path FROM documents""")
 def ingest_round_trip(spark, sf):
-    """Ingested bronze and silver tables, read back and joined."""
+    """Ingested bronze and silver tables, read back and joined; half of the runs come twice in one call, the older one first or last."""
     root = scratch(spark, "ingest")
-    writers.ingest(uploads(spark, sf), root)
-    bronze = spark.read.parquet(f"{root}/bronze").select("run_id", F.octet_length("image").cast("long").alias("bytes"))
-    stored = medallion.parse_silver(spark.read.parquet(f"{root}/silver").select("name", "payload"))
+    rows = uploads(spark, sf)
+    older = rows.filter("CAST(run_id AS LONG) % 2 = 0").withColumn("created_at", F.lit("2023-12-31T00:00:00+00:00")).withColumn("image", F.encode(F.lit("old"), "utf-8"))
+    writers.ingest(rows.filter("length(image) % 2 = 0").unionByName(older).unionByName(rows.filter("length(image) % 2 <> 0")), root)
+    bronze = store.read(spark, root, "bronze").select("run_id", F.octet_length("image").cast("long").alias("bytes"))
+    stored = medallion.parse_silver(store.read(spark, root, "silver").select("name", "payload"))
     runs, parsed = stored.select("run_id", "bronze_path"), medallion.gold_fields(stored)
     return parsed.select("run_id", "template_id", F.col("field_value").alias("value")).join(bronze, "run_id").join(runs, "run_id")
 

@@ -15,6 +15,7 @@ from formlake.plans.inputs import DOCS, WORDS
 from formlake.plans.records import DASHBOARD, GATE, JOBS, OBJECTS
 from formlake.plans.registry import query, table
 from formlake.session import cut, scratch
+from formlake.sources import store
 from formlake.streaming import jobs
 
 
@@ -85,11 +86,17 @@ def stream_cache_totals(spark, sf):
 @query(f"""WITH {medallion.RUNS}
 SELECT template_id, count(*) AS runs, sum(field_count)::BIGINT AS fields, sum(field_count)::BIGINT AS field_rows, count(*) AS manifests FROM runs JOIN per USING (doc_id) GROUP BY ALL""")
 def stream_gold(spark, sf):
+    """Every third run comes in a first batch without its pairs, and whole in the second."""
     out, state = folders(spark)
-    jobs.transform_silver(spark, arrive(medallion.silver_objects(spark, sf)), out, state).awaitTermination()
-    runs, fields = spark.read.parquet(f"{out}/form-runs"), spark.read.parquet(f"{out}/extracted-fields")
+    objects = medallion.silver_objects(spark, sf)
+    early = objects.filter(F.pmod(F.xxhash64("name"), F.lit(3)) == 0).withColumn("payload", F.lit("{}"))
+    source = arrive(early)
+    jobs.transform_silver(spark, source, out, state).awaitTermination()
+    objects.repartition(4).write.mode("append").parquet(source)
+    jobs.transform_silver(spark, source, out, state).awaitTermination()
+    runs, fields = store.read(spark, out, "form-runs"), store.read(spark, out, "extracted-fields")
     counts = fields.groupBy("template_id").agg(F.count("*").alias("field_rows"))
-    manifests = spark.read.parquet(f"{out}/manifests").groupBy("template_id").agg(F.count("*").alias("manifests"))
+    manifests = store.read(spark, out, "manifests").groupBy("template_id").agg(F.count("*").alias("manifests"))
     totals = runs.groupBy("template_id").agg(F.count("*").alias("runs"), F.sum("field_count").alias("fields"))
     return totals.join(counts, "template_id").join(manifests, "template_id")
 

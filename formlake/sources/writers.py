@@ -3,28 +3,23 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from formlake.functions.text import clean_key_part, image_extension
 from formlake.operators import medallion
+from formlake.sources import store
 from formlake.session import cut
 
 
-def replace_runs(rows: DataFrame, path: str, form: str) -> None:
-    """Write rows (template_id, run_id, ..) partitioned by template; runs that are there already are replaced.
+def last_of_run(rows: DataFrame, order: str) -> DataFrame:
+    """Of the rows of one (template_id, run_id) the last by `order`; `row` tells them apart and goes.
 
-    Only the partitions of the templates in `rows` are read and written anew.
+    Only the keys are shuffled, not the images: rows that lose are named and taken out.
     """
-    spark = rows.sparkSession
-    rows = cut(rows)
-    if table_exists(spark, path, form):
-        old = spark.read.schema(rows.schema).format(form).load(path).select(*rows.columns)
-        kept = old.join(rows.select("template_id").distinct(), "template_id", "left_semi").join(
-            rows.select("template_id", "run_id").distinct(), ["template_id", "run_id"], "left_anti"
-        )
-        rows = cut(rows.unionByName(kept.select(*rows.columns)))
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("template_id").format(form).save(path)
+    place = F.row_number().over(Window.partitionBy(*store.KEY).orderBy(F.desc_nulls_last(order), F.desc("row")))
+    lost = rows.select(*store.KEY, order, "row").withColumn("place", place).filter("place > 1").select("row")
+    return rows.join(lost, "row", "left_anti").drop("row")
 
 
 def acceptable(uploads: DataFrame) -> DataFrame:
@@ -37,22 +32,24 @@ def acceptable(uploads: DataFrame) -> DataFrame:
     )
 
 
-def ingest(uploads: DataFrame, root: str) -> DataFrame:
-    """Bronze images and silver envelopes, partitioned by template; returns the refused uploads.
+def ingest(uploads: DataFrame, root: str, name: str | None = None) -> DataFrame:
+    """Bronze images and silver envelopes as one commit of the store in `root`; returns the refused uploads.
 
     uploads: run_id, template_id, file_name, content_type, image (binary), kvp (JSON text),
     created_at (ISO text). A blank run id becomes a fresh one; a run that is there already
-    is replaced.
+    is replaced, and of several uploads of a run the last by created_at stays. `name` makes a
+    repeated call do nothing.
     """
     fresh = F.replace(F.expr("uuid()"), F.lit("-"), F.lit(""))
     template, run = clean_key_part(F.col("template_id"), F.lit("unknown")), clean_key_part(F.col("run_id"), fresh)
-    checked = cut(acceptable(uploads).withColumn("template_id", template).withColumn("run_id", run))
-    named = checked.filter("refused IS NULL").drop("refused")
+    keyed = acceptable(uploads).withColumn("template_id", template).withColumn("run_id", run)
+    checked = cut(keyed.withColumn("row", F.monotonically_increasing_id()))
+    named = last_of_run(checked.filter("refused IS NULL").drop("refused"), "created_at")
     path = medallion.object_path(medallion.BRONZE, F.col("template_id"), F.col("run_id"), image_extension(F.col("file_name"), F.col("content_type")))
     named = named.withColumn("image_object", path)
-    replace_runs(named.select("template_id", "run_id", "image_object", "image"), f"{root}/bronze", "parquet")
-    replace_runs(silver_envelopes(named), f"{root}/silver", "parquet")
-    return checked.filter("refused IS NOT NULL")
+    tables = {"bronze": named.select("template_id", "run_id", "image_object", "image"), "silver": silver_envelopes(named)}
+    store.commit(root, tables, named, name)
+    return checked.filter("refused IS NOT NULL").drop("row")
 
 
 def silver_envelopes(named: DataFrame) -> DataFrame:
@@ -63,14 +60,16 @@ def silver_envelopes(named: DataFrame) -> DataFrame:
     return named.withColumn("h", head).select("template_id", "run_id", name.alias("name"), payload.alias("payload"))
 
 
-def write_gold(silver: DataFrame, root: str, transformed_at) -> None:
-    """Runs, fields and manifests, each partitioned by template, from one parse of the payloads; runs that are
-    there already are replaced. A run without fields keeps none of its old ones."""
-    silver = cut(silver)
-    runs, fields = medallion.gold_runs(silver, transformed_at), medallion.gold_fields(silver, transformed_at)
-    replace_runs(runs, f"{root}/gold/form-runs", "json")
-    replace_runs(fields, f"{root}/gold/extracted-fields", "json")
-    replace_runs(runs, f"{root}/gold/manifests", "json")
+def write_gold(silver: DataFrame, root: str, transformed_at, name: str | None = None, form: str = "json") -> None:
+    """Runs, fields and manifests as one commit of the store in `root`, from one parse of the payloads.
+
+    Runs that are there already are replaced; a run without fields keeps none of its old ones. Of several
+    valid objects of a run the last by created_at, then by path, stays.
+    """
+    order = Window.partitionBy(*store.KEY).orderBy(F.desc_nulls_last("created_at"), F.desc("silver_path"))
+    last = cut(silver.filter("valid").withColumn("place", F.row_number().over(order)).filter("place = 1").drop("place"))
+    runs, fields = medallion.gold_runs(last, transformed_at), medallion.gold_fields(last, transformed_at)
+    store.commit(root, {"form-runs": runs, "extracted-fields": fields, "manifests": runs}, last, name, form)
 
 
 def write_report(rows: DataFrame, templates: DataFrame, summary: DataFrame, root: str) -> None:

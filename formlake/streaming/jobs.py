@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from formlake.operators import augment, events, gates, medallion
-from formlake.sources import readers
+from formlake.sources import readers, writers
 
 JOB_TTL_MS = 4 * 60 * 60 * 1000
 CACHE_DELAY = "1 day"
@@ -78,16 +78,17 @@ def cache_totals(spark: SparkSession, source: str, checkpoint: str, name: str, o
 
 
 def transform_silver(spark: SparkSession, source: str, out: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Silver objects are turned into gold runs, fields and manifests as they are stored."""
+    """Silver objects are turned into gold runs, fields and manifests of the store in `out` as they are stored.
+
+    A batch is a commit named by the query and its number: repeated after a failure it counts
+    once, and a run that comes in a later batch replaces the earlier one.
+    """
     objects = stream(spark, source, "name string, payload string")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        silver = medallion.parse_silver(batch).persist()
+        query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
         stamp = F.lit(pd.Timestamp.now("UTC").isoformat())
-        runs, fields = medallion.gold_runs(silver, stamp), medallion.gold_fields(silver, stamp)
-        for kind, rows in (("form-runs", runs), ("extracted-fields", fields), ("manifests", runs)):
-            rows.write.mode("overwrite").partitionBy("template_id").parquet(f"{out}/{kind}/batch={batch_id}")
-        silver.unpersist()
+        writers.write_gold(medallion.parse_silver(batch), out, stamp, f"{query}-{batch_id}", "parquet")
 
     return _start(objects.writeStream.foreachBatch(write), checkpoint, once)
 

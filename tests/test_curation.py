@@ -170,28 +170,15 @@ def test_class_weights_follow_the_given_list(spark):
     assert got == {"a": (2, 0.5), "b": (1, 1.0), "c": (0, 1.0)}
 
 
-def test_written_runs_are_replaced(spark, tmp_path):
-    from formlake.sources import writers
-
-    def runs(*rows):
-        return spark.createDataFrame(rows, "template_id string, run_id string, v int")
-
-    path = str(tmp_path / "runs")
-    writers.replace_runs(runs(("a", "1", 1), ("a", "2", 1), ("b", "1", 1)), path, "parquet")
-    writers.replace_runs(runs(("a", "1", 2), ("c", "9", 2)), path, "parquet")
-    got = sorted((r["template_id"], str(r["run_id"]), r["v"]) for r in spark.read.parquet(path).collect())
-    assert got == [("a", "1", 2), ("a", "2", 1), ("b", "1", 1), ("c", "9", 2)]
-
-
 def test_bad_uploads_are_refused(spark, tmp_path):
-    from formlake.sources import writers
+    from formlake.sources import store, writers
 
     rows = [("r", "t", "f.png", "image/png", b"x", '{"key_values": []}'), ("", "t", "f.png", "image/png", b"x", "{}"),
             ("q", "t", "f.png", "image/png", b"", "{}"), ("s", "t", "f.png", "image/png", b"x", "{bad"), ("u", "t", "f.png", "image/png", b"x", None)]
     frame = spark.createDataFrame([(*r, "2024") for r in rows], "run_id string, template_id string, file_name string, content_type string, image binary, kvp string, created_at string")
     refused = {r["run_id"]: r["refused"] for r in writers.ingest(frame, str(tmp_path)).collect()}
     assert refused == {"q": "empty image", "s": "kvp is no JSON object", "u": "kvp is no JSON object"}
-    stored = {r["run_id"] for r in spark.read.parquet(f"{tmp_path}/bronze").collect()}
+    stored = {r["run_id"] for r in store.read(spark, str(tmp_path), "bronze").collect()}
     assert len(stored) == 2 and "r" in stored and "run" not in stored
 
 
