@@ -1,6 +1,6 @@
 """Joins between boxes of one page that never pair all boxes of the page.
 
-Boxes are dealt onto a grid, so only boxes that share a cell meet, and one long
+The nearest key of a value is searched inside the document's row. For overlaps, boxes are dealt onto a grid, so only boxes that share a cell meet, and one long
 page spreads over many join keys. Each overlapping pair is kept only in the cell
 that holds the top-left corner of the overlap, so no de-duplication is needed.
 
@@ -14,12 +14,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from formlake.functions import boxes
+from formlake.functions.arrays import bind, each
 from formlake.operators.skew import join_on_counted_key
-from formlake.session import cut
 
 CELL = 128
-FIRST_REACH = 128
-REACH_STEP = 16
+REACHES = (128, 2048)
+MOST_HALVINGS = 24  # of an array of up to 16 M keys
 
 
 def overlap_join(words: DataFrame, regions: DataFrame, doc: str = "doc_id", cell: int = CELL) -> DataFrame:
@@ -106,43 +106,51 @@ def distance_score(distance: Column) -> Column:
     return F.bround(1 / (1 + distance / 100), 4)
 
 
-def nearest_keys(values: DataFrame, keys: DataFrame) -> DataFrame:
-    """Nearest key per value of a document, exactly; the first key wins ties.
+def lower_bound(ordered: Column, value: Column) -> Column:
+    """Number of elements below `value` in an ascending array, by halving steps."""
 
-    Values first meet only the keys in the bands around them. A key outside them
-    lies more than `reach` away vertically, so its distance exceeds
-    min(reach + 100, 2 * reach); a value whose best distance is within that bound is
-    settled, and only the rest looks further, up to the tallest page.
-    Both frames: doc_id, span_id and a box; the result adds key_id and distance.
+    def step(at: Column, width: Column) -> Column:
+        return F.when(F.get(ordered, at + width - 1) < value, at + width).otherwise(at)
+
+    widths = lambda n: F.array(*(F.lit(1 << i) for i in reversed(range(n))))
+    return F.aggregate(F.when(F.size(ordered) < 1 << 10, widths(10)).otherwise(widths(MOST_HALVINGS)), F.lit(0), step)
+
+
+def nearest_in_row(values: Column, keys: Column) -> Column:
+    """For each value struct(distance, key_id, key) of its nearest key, exactly; the first key wins ties.
+
+    Keys are in order of their vertical centre. A key that is `reach` or more away vertically has a distance of at least
+    min(reach + 100, 2 * reach); so a value looks at the keys within the first reach, and at
+    more of them only if none of those is nearer than that. Both are arrays of structs with
+    span_id and a box; without keys the result is null.
     """
-    v, k = boxes.columns(), boxes.columns("k_")
-    cy_v, cy_k = boxes.center_y(v), boxes.center_y(k)
-    keys = cut(keys.select("doc_id", F.col("span_id").alias("key_id"), *(F.col(c).alias(f"k_{c}") for c in boxes.Box._fields)))
-    pending = cut(values.join(keys.select("doc_id").distinct(), "doc_id", "left_semi"))
-    ends = pending.select(cy_v.alias("c")).unionByName(keys.select(cy_k.alias("c"))).agg((F.max("c") - F.min("c")).alias("extent"))
-    extent = ends.first()["extent"] or 0
-    settled, reach = None, FIRST_REACH
-    while True:
-        bands = F.explode(F.sequence(F.floor(cy_v / reach) - 1, F.floor(cy_v / reach) + 1))
-        met = pending.withColumn("band", bands).join(keys.withColumn("band", F.floor(cy_k / reach)).hint("merge"), ["doc_id", "band"])
-        best = met.groupBy("doc_id", "span_id").agg(F.min(F.struct(key_distance(v, k).alias("distance"), "key_id")).alias("b"))
-        found = cut(pending.join(best, ["doc_id", "span_id"], "left"))
-        last = reach > extent
-        bound = min(reach + 100, 2 * reach)
-        done = found if last else found.filter(F.col("b.distance") <= bound)
-        done = done.select(*values.columns, F.col("b.key_id").alias("key_id"), F.col("b.distance").alias("distance"))
-        settled = done if settled is None else settled.unionByName(done)
-        pending = found.filter(F.coalesce(F.col("b.distance") > bound, F.lit(True))).select(*values.columns)
-        if last or pending.isEmpty():
-            return settled
-        reach *= REACH_STEP
-
-
-def pair_rows(found: DataFrame, keys: DataFrame) -> DataFrame:
-    """Pairs of `nearest_keys` as rows: texts, score and both boxes. `keys` are the key spans with their text."""
-    of = keys.select("doc_id", F.col("span_id").alias("key_id"), F.col("text").alias("key"), *(F.col(c).cast("double").alias(f"key_{c}") for c in boxes.Box._fields))
-    value = [F.col(c).cast("double").alias(f"value_{c}") for c in boxes.Box._fields]
-    return found.join(of.hint("merge"), ["doc_id", "key_id"]).select(
-        "doc_id", "span_id", "key_id", "distance", distance_score(F.col("distance")).alias("score"), "key", F.col("text").alias("value"),
-        *(f"key_{c}" for c in boxes.Box._fields), *value,
-    )
+    box = lambda s: boxes.Box(*(s[c] for c in boxes.Box._fields))
+
+    def best(some: Column, v: Column) -> Column:
+        return F.array_min(F.transform(some, lambda k: F.struct(key_distance(box(v), box(k["key"])).alias("distance"), k["key"]["span_id"].alias("key_id"), k["key"].alias("key"))))
+
+    def look(ordered: Column, centres: Column, v: Column, reaches: tuple[int, ...]) -> Column:
+        if not reaches:
+            return best(ordered, v)
+        reach, middle = reaches[0], boxes.center_y(box(v))
+        inside = lambda low: F.slice(ordered, low + 1, lower_bound(centres, middle + reach) - low)
+        return bind(best(bind(lower_bound(centres, middle - reach), inside), v), lambda b: F.when(b["distance"] < min(reach + 100, 2 * reach), b).otherwise(look(ordered, centres, v, reaches[1:])))
+
+    ordered = F.sort_array(F.transform(keys, lambda k: F.struct(boxes.center_y(box(k)).alias("cy"), k.alias("key"))))
+    return bind(ordered, lambda ks: bind(F.transform(ks, lambda k: k["cy"]), lambda cs: F.transform(values, lambda v: look(ks, cs, v, REACHES))))
+
+
+def nearest_keys(docs: DataFrame) -> DataFrame:
+    """(doc_id, span_id, key_id, distance, key, value): nearest key of every value, the spans as structs.
+
+    docs: doc_id, keys and values, arrays of structs with span_id and a box. All of it happens in the row: no join, nothing is shuffled.
+    """
+    pairs = F.zip_with("values", nearest_in_row(F.col("values"), F.col("keys")), lambda v, n: F.struct(v.alias("value"), n.alias("near")))
+    rows = each(docs.filter(F.size("keys") > 0), ["doc_id"], pairs, "p")
+    return rows.select("doc_id", "p.value.span_id", "p.near.key_id", "p.near.distance", "p.near.key", "p.value")
+
+
+def pair_rows(found: DataFrame) -> DataFrame:
+    """Pairs of `nearest_keys` as rows: texts, score and both boxes."""
+    corners = [F.col(f"{side}.{c}").cast("double").alias(f"{side}_{c}") for side in ("key", "value") for c in boxes.Box._fields]
+    return found.select("doc_id", "span_id", "key_id", "distance", distance_score(F.col("distance")).alias("score"), F.col("key.text").alias("key"), F.col("value.text").alias("value"), *corners)

@@ -306,16 +306,28 @@ def value_fallback(spark, sf):
     return span_columns(layout.with_fallback_values(source, found)).drop("span_id")
 
 
-NEAREST = f"""{SPANS},
-keys AS (SELECT * FROM spans WHERE type = 'KEY'), vals AS (SELECT * FROM spans WHERE type = 'VAL'),
-geometry AS (
+def nearest_sql(pairs: str, out: str) -> str:
+    """`out`: the nearest key of every value among `pairs` (doc_id, span_id, key_id)."""
+    return f"""{out}_geometry AS (
   SELECT v.doc_id, v.span_id, k.span_id AS key_id, abs((v.y0 + v.y1) / 2 - (k.y0 + k.y1) / 2) AS dy, abs((v.x0 + v.x1) / 2 - (k.x0 + k.x1) / 2) AS dx,
     greatest(1, v.y1 - v.y0) AS hv, greatest(1, k.y1 - k.y0) AS hk, greatest(0, least(v.y1, k.y1) - greatest(v.y0, k.y0)) AS shared,
     CASE WHEN k.x1 <= v.x0 THEN v.x0 - k.x1 WHEN v.x1 <= k.x0 THEN k.x0 - v.x1 ELSE 0 END AS gap, (k.x0 + k.x1) / 2 <= (v.x0 + v.x1) / 2 AS is_left
-  FROM vals v JOIN keys k USING (doc_id)),
-lined AS (SELECT *, shared / least(hv, hk) >= 0.35 OR dy <= greatest(12, greatest(hv, hk) * 0.75) AS same FROM geometry),
-distances AS (SELECT doc_id, span_id, key_id, CASE WHEN same THEN gap + dy * 2 ELSE sqrt(dx * dx + dy * dy) + 100 END + CASE WHEN is_left THEN 0 ELSE 250 END AS distance FROM lined),
-nearest AS (SELECT doc_id, span_id, arg_min(key_id, (distance, key_id)) AS key_id, min(distance) AS distance FROM distances GROUP BY ALL)"""
+  FROM {pairs} p JOIN vals v ON v.doc_id = p.doc_id AND v.span_id = p.span_id JOIN keys k ON k.doc_id = p.doc_id AND k.span_id = p.key_id),
+{out}_distances AS (SELECT doc_id, span_id, key_id, CASE WHEN same THEN gap + dy * 2 ELSE sqrt(dx * dx + dy * dy) + 100 END + CASE WHEN is_left THEN 0 ELSE 250 END AS distance
+  FROM (SELECT *, shared / least(hv, hk) >= 0.35 OR dy <= greatest(12, greatest(hv, hk) * 0.75) AS same FROM {out}_geometry)),
+{out} AS (SELECT doc_id, span_id, arg_min(key_id, (distance, key_id)) AS key_id, min(distance) AS distance FROM {out}_distances GROUP BY ALL)"""
+
+
+# a key in none of the three bands around a value is over 200 away vertically, so farther than min(200 + 100, 2 * 200)
+NEAREST = f"""{SPANS},
+keys AS (SELECT *, ((y0 + y1) / 2 // 200)::BIGINT AS band FROM spans WHERE type = 'KEY'),
+vals AS (SELECT *, ((y0 + y1) / 2 // 200)::BIGINT AS band FROM spans WHERE type = 'VAL'),
+banded AS (SELECT v.doc_id, v.span_id, k.span_id AS key_id FROM (SELECT *, unnest([band - 1, band, band + 1]) AS b FROM vals) v JOIN keys k ON k.doc_id = v.doc_id AND k.band = v.b),
+{nearest_sql("banded", "close")},
+settled AS (SELECT * FROM close WHERE distance < 300),
+others AS (SELECT v.doc_id, v.span_id, k.span_id AS key_id FROM vals v ANTI JOIN settled USING (doc_id, span_id) JOIN keys k ON k.doc_id = v.doc_id),
+{nearest_sql("others", "far")},
+nearest AS (SELECT * FROM settled UNION ALL SELECT * FROM far)"""
 
 
 def typed_spans(spark, sf) -> DataFrame:
@@ -329,9 +341,15 @@ PAIR_COLUMNS = ", ".join(f"{side}.{c}::DOUBLE AS {name}_{c}" for side, name in (
 SELECT n.doc_id, n.span_id, n.key_id, round(distance, 6) AS distance, round_even(1 / (1 + distance / 100), 4) AS score, k.text AS key, v.text AS value, {PAIR_COLUMNS}
 FROM nearest n JOIN vals v ON v.doc_id = n.doc_id AND v.span_id = n.span_id JOIN keys k ON k.doc_id = n.doc_id AND k.span_id = n.key_id""")
 def nearest_keys(spark, sf):
-    spans = typed_spans(spark, sf)
-    found = spatial.nearest_keys(spans.filter("type = 'VAL'"), spans.filter("type = 'KEY'"))
-    return spatial.pair_rows(found, spans.filter("type = 'KEY'")).withColumn("distance", F.round("distance", 6))
+    found = layout.span_array(F.col("labels"), F.col("words"), F.col("boxes"), F.col("scores"))
+    spans = cut(pages(spark, sf).select("doc_id", F.transform(found, lambda s, i: F.struct(i.alias("span_id"), s["type"].alias("type"), s["text"].alias("text"), s["box"].alias("b"))).alias("s")))
+
+    def of(kind: str):
+        flat = lambda s: F.struct(s["span_id"].alias("span_id"), s["text"].alias("text"), *(s["b"][c].alias(c) for c in boxes.Box._fields))
+        return F.transform(F.filter("s", lambda s: s["type"] == kind), flat)
+
+    docs = spans.select("doc_id", of("KEY").alias("keys"), of("VAL").alias("values"))
+    return spatial.pair_rows(spatial.nearest_keys(docs)).withColumn("distance", F.round("distance", 6))
 
 
 @query()

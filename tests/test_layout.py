@@ -69,7 +69,9 @@ def test_nearest_keys_equal_brute_force(spark):
         return out
 
     values, keys = some(80, 1) + some(40, 2) + some(5, 3), some(12, 1) + some(30, 2)
-    got = spatial.nearest_keys(spark.createDataFrame(values, BOX), spark.createDataFrame(keys, BOX)).collect()
+    arrays = lambda rows, name: spark.createDataFrame(rows, BOX).groupBy("doc_id").agg(F.collect_list(F.struct("span_id", "x0", "y0", "x1", "y1")).alias(name))
+    docs = arrays(values, "values").join(arrays(keys, "keys"), "doc_id", "full").withColumn("keys", F.coalesce("keys", F.array().cast("array<struct<span_id:int,x0:int,y0:int,x1:int,y1:int>>")))
+    got = spatial.nearest_keys(docs).collect()
     want = {}
     for v in values:
         choices = [(brute_distance(v[2:], k[2:]), k[1]) for k in keys if k[0] == v[0]]
