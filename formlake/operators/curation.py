@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from formlake.functions.arrays import bind, each, hash_number, hash_pick
 from formlake.functions.text import dictionary_words, half_even
-from formlake.operators.skew import global_rank, group_rank, hash_rank, join_on_counted_key
+from formlake.operators.skew import first_rows, global_rank, group_rank, hash_rank, join_on_counted_key, lookup_on_counted_key
 
 SPLITS = ("train", "val", "test")
 
@@ -116,7 +116,7 @@ def preferred_paths(items: DataFrame, files: DataFrame, index: DataFrame) -> Dat
     """
     exists = files.select(F.col("path").alias("listed_path")).distinct().withColumn("exists", F.lit(True))
     lookup = index.select("stem", F.col("path").alias("indexed"))
-    joined = items.join(exists, "listed_path", "left").join(lookup, "stem", "left")
+    joined = lookup_on_counted_key(items.join(exists, "listed_path", "left"), lookup, "stem", "listed_path")
     return joined.withColumn("path", F.coalesce(F.when(F.col("exists"), F.col("listed_path")), "indexed")).drop("exists", "indexed")
 
 
@@ -139,7 +139,7 @@ def missing_fills(templates: DataFrame, done: DataFrame, key: str, fills: int) -
 
 def subset_with_metadata(items: DataFrame, metadata: DataFrame, key: str, path: str, n: int) -> DataFrame:
     """First n items by path, and whether each has metadata."""
-    first = items.orderBy(path).limit(n)
+    first = first_rows(items, [F.col(path), F.col(key)], n)
     return first.join(metadata.select(key).distinct().withColumn("m", F.lit(True)), key, "left").withColumn("has_metadata", F.col("m").isNotNull()).drop("m")
 
 
@@ -234,7 +234,7 @@ def class_holdout(examples: DataFrame, by: str, key: str, fraction: float, seed:
 
 def sample(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """n random rows in key order."""
-    return rows.orderBy(F.md5(seeded(seed, key))).limit(n).orderBy(key)
+    return first_rows(rows, [F.md5(seeded(seed, key)), F.col(key)], n).orderBy(key)
 
 
 def balanced_batches(examples: DataFrame, by: str, key: str, classes: int, samples: int, seed: int = 42) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from formlake.functions.arrays import bind
 from formlake.functions.text import stripped, upload_extension
+from formlake.operators.skew import first_rows
 
 # fixed values of the upload gate
 MAX_UPLOAD_BYTES = 50 * 1024 * 1024
@@ -114,7 +115,7 @@ def suggestions(pairs: DataFrame, by: str, column: str, order: str, limit: int |
 
 def limit_templates(queries: DataFrame, gallery: DataFrame, template: str, order: list[Column], templates: int) -> tuple[DataFrame, DataFrame]:
     """First templates in order, and only their queries."""
-    kept = gallery.orderBy(*order).limit(templates)
+    kept = first_rows(gallery, [*order, F.col(template)], templates)
     return queries.join(kept.select(template), template, "left_semi"), kept
 
 

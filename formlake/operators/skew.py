@@ -9,6 +9,7 @@ from formlake.session import cut
 
 HEAVY_KEYS = 2000
 SALTS = 32
+ONE_TASK_ROWS = 100_000
 
 
 def join_on_counted_key(facts: DataFrame, keys: DataFrame, key: str, count: str, salt_by: str) -> DataFrame:
@@ -69,3 +70,27 @@ def group_rank(df: DataFrame, by: list[str], order: list[Column], name: str) ->
 def global_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """Position 1..n in a total order over the whole frame, without a single-task window."""
     return group_rank(df, [], order, name)
+
+
+def first_rows(df: DataFrame, order: list[Column], n: int) -> DataFrame:
+    """The first n rows in a total order. Few of them are one task's; more are found by their position, in as many tasks as they fill."""
+    if n <= ONE_TASK_ROWS:
+        return df.orderBy(*order).limit(n)
+    return global_rank(df, order, "_at").filter(F.col("_at") <= n).drop("_at")
+
+
+def lookup_on_counted_key(facts: DataFrame, lookup: DataFrame, key: str, salt_by: str) -> DataFrame:
+    """Left join of `facts` with `lookup`, whose rows of heavy keys are copied for the salts of their facts.
+
+    As in `join_on_counted_key` fewer than 2000 keys own more than 1/2000 of the facts each. Facts
+    without a key find nothing and are dealt over the salts too.
+    """
+    counts = cut(facts.groupBy(key).agg(F.count("*").alias("_n")))
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    heavy = F.broadcast(counts.filter((F.col("_n") * HEAVY_KEYS > total) & F.col(key).isNotNull()).select(key, F.lit(True).alias("_heavy")))
+    spread = F.col("_heavy") | F.col(key).isNull()
+    salt = F.when(spread, F.pmod(F.xxhash64(salt_by), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
+    left = facts.join(heavy, key, "left").withColumn("_salt", salt).drop("_heavy")
+    copies = F.sequence(F.lit(0), F.when(F.col("_heavy"), F.lit(SALTS - 1)).otherwise(F.lit(0)))
+    right = lookup.join(heavy, key, "left").withColumn("_salt", F.explode(copies)).drop("_heavy")
+    return left.join(right, [key, "_salt"], "left").drop("_salt")
