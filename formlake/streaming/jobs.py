@@ -19,7 +19,6 @@ from formlake.operators import augment, events, gates, medallion
 from formlake.sources import readers, writers
 
 JOB_TTL_MS = 4 * 60 * 60 * 1000
-CACHE_DELAY = "1 day"
 
 
 def _start(writer, checkpoint: str, once: bool, poll: str = "30 seconds") -> StreamingQuery:
@@ -70,9 +69,12 @@ def mask_documents(spark: SparkSession, source: str, splits: DataFrame, out: str
 
 
 def cache_totals(spark: SparkSession, source: str, checkpoint: str, name: str, once: bool = True) -> StreamingQuery:
-    """Images and words seen so far, as in-memory table `name`; a path that comes again within CACHE_DELAY counts
-    once, and paths beyond the watermark are forgotten."""
-    entries = stream(spark, source, "path string, n_words long, at timestamp").withWatermark("at", CACHE_DELAY).dropDuplicatesWithinWatermark(["path"])
+    """Images and words seen so far, as in-memory table `name`; a path counts once, however late it comes again.
+
+    The paths seen are the query's state, by path over its partitions, and never forgotten. A session that keeps
+    state in RocksDB holds them on disk and reads only those that a batch asks for.
+    """
+    entries = stream(spark, source, "path string, n_words long, at timestamp").dropDuplicates(["path"])
     totals = entries.agg(F.count("*").alias("images"), F.sum("n_words").alias("words"))
     return _start(totals.writeStream.outputMode("complete").format("memory").queryName(name), checkpoint, once)
 
