@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import BucketedRandomProjectionLSH
@@ -23,6 +25,7 @@ TINY = 1e-12
 # so equal documents tie exactly and a re-run task returns the same ranking.
 GRID = 1_000_000
 DENSE_DIGITS = blocks.DENSE_DIGITS
+SINGLE_ERROR = 2.0**-22  # of a product in single precision, more than its rounding
 LABEL_GRID = 10_000_000
 
 
@@ -250,6 +253,57 @@ def lsh_topk(queries: DataFrame, gallery: DataFrame, k: int, tables: int = 8, bi
     return keep_top(near.groupBy("query_id", "doc_id").agg(F.max("score").alias("score")), k)
 
 
+def coded(vectors: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id, code, scale, off): vectors as 8-bit codes, an eighth of their doubles; `off` is the norm of what scale * code leaves out."""
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = blocks.matrix(pa.table(batch), "vector")
+            scale = np.maximum(np.abs(x).max(axis=1, initial=0), TINY) / 127
+            codes = np.rint(x / scale[:, None]).astype(np.int8)
+            off = np.linalg.norm(x - codes * scale[:, None], axis=1)
+            rows = pa.array([c.tobytes() for c in codes], pa.binary())
+            yield pa.RecordBatch.from_pydict({id_col: batch.column(id_col), "code": rows, "scale": pa.array(scale), "off": pa.array(off)})
+
+    return vectors.select(id_col, "vector").mapInArrow(code, f"{id_col} {_type(vectors, id_col)}, code binary, scale double, off double")
+
+
+def coded_candidates(queries: DataFrame, codes: DataFrame, k: int, n_query: int, n_gallery: int) -> DataFrame:
+    """(query_id, doc_id): the documents that can be among the k best by what the codes tell, all k best among them.
+
+    The inner product with a code is off by at most the query's norm times `off`. A block of codes
+    keeps what its k-th best lower bound leaves open, and so does the merge over all blocks.
+    """
+
+    def score(q: pa.Table, g: pa.Table) -> pa.Table:
+        asked = blocks.matrix(q, "vector")
+        stored = np.frombuffer(b"".join(g.column("code").to_pylist()), np.int8).reshape(g.num_rows, -1)
+        near = (asked.astype(np.float32) @ stored.astype(np.float32).T) * blocks.column(g, "scale")[None, :]
+        norms = np.linalg.norm(asked, axis=1)[:, None]
+        spread = norms * (blocks.column(g, "off") + SINGLE_ERROR * blocks.column(g, "scale") * 127 * stored.shape[1])[None, :] + 10.0**-DENSE_DIGITS
+        low = near - spread
+        bar = np.partition(low, -k, axis=1)[:, -k] if g.num_rows > k else np.full(q.num_rows, -np.inf)
+        i, j = np.nonzero(near + spread >= bar[:, None])
+        return pa.table({"query_id": blocks.column(q, "query_id")[i], "doc_id": blocks.column(g, "doc_id")[j], "low": low[i, j], "high": (near + spread)[i, j]})
+
+    schema = f"query_id {_type(queries, 'query_id')}, doc_id {_type(codes, 'doc_id')}, low double, high double"
+    found = cut(blocks.score_blocks(queries.select("query_id", "vector"), codes, n_query, n_gallery, score, schema))
+    best = Window.partitionBy("query_id").orderBy(F.desc("low"))
+    bars = found.withColumn("n", F.row_number().over(best)).filter(F.col("n") == k).select("query_id", F.col("low").alias("bar"))
+    return found.join(bars, "query_id", "left").filter(F.coalesce(F.col("high") >= F.col("bar"), F.lit(True))).select("query_id", "doc_id")
+
+
+def coded_topk(queries: DataFrame, gallery: DataFrame, k: int, n_query: int, n_gallery: int) -> DataFrame:
+    """Exact cosine top-k of unit vectors: codes are scanned instead of doubles, and only what they leave open is scored."""
+    open_ = coded_candidates(queries, cut(coded(gallery)), k, n_query, n_gallery)
+    scored = (
+        open_.join(queries.select("query_id", F.col("vector").alias("qv")), "query_id")
+        .join(blocks.fresh(gallery).select("doc_id", F.col("vector").alias("gv")), "doc_id")
+        .select("query_id", "doc_id", F.round(arrays.dot(F.col("qv"), F.col("gv")), DENSE_DIGITS).alias("score"))
+    )
+    return keep_top(scored, k)
+
+
 def multi_vector_topk(queries: DataFrame, gallery: DataFrame, k: int, n_query: int, n_gallery: int) -> DataFrame:
     """Late interaction: sum over query vectors of the best inner product with a document vector.
 

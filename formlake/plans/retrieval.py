@@ -16,6 +16,7 @@ from formlake.session import cut
 GRID = retrieval.GRID
 SHORTLISTS = (25, 50, 100)
 ALPHAS = (0.9, 0.7, 0.5, 0.3)
+CODES_PER_BLOCK = 8192
 
 
 def text_setup(spark: SparkSession, sf: str):
@@ -252,6 +253,18 @@ def dense_topk_approximate(spark, sf):
     return exact.join(near, ["query_id", "doc_id"], "left").agg(F.round(F.count("found") / F.count("*"), 6).alias("recall"))
 
 
+@query(f"""WITH {VECTORS},
+scores AS (SELECT q.vec_id AS query_id, g.vec_id AS doc_id, round(list_dot_product(q.v, g.v), 9) AS score FROM vectors q CROSS JOIN vectors g)
+SELECT query_id, doc_id, round(score, 6) AS cosine, position FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS position FROM scores) WHERE position <= 10""")
+def dense_topk_coded(spark, sf):
+    """The exact top-k from a scan of 8-bit codes."""
+    gallery = vectors(spark, sf).drop("label")
+    n = blocks.block_count(gallery.agg(F.count("*").alias("ids"), F.sum(F.size("vector")).alias("items")), CODES_PER_BLOCK)
+    top = retrieval.coded_topk(vectors(spark, sf, "query_id").drop("label"), gallery, 10, n, n)
+    return top.select("query_id", "doc_id", F.round("score", 6).alias("cosine"), "position")
+
+
 MULTI = f"""parts AS (SELECT vec_id, {EIGHTS} AS p FROM embeddings)"""
 
 

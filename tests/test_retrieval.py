@@ -143,3 +143,21 @@ def test_documents_without_vectors_score_zero(spark):
     g = spark.createDataFrame([(1, []), (2, [[0.5, 0.0]]), (3, [])], "doc_id long, vectors array<array<double>>")
     got = {(r["query_id"], r["doc_id"]): r["score"] for r in retrieval.multi_vector_topk(q, g, 3, 1, 1).collect()}
     assert got == {(1, 2): 0.5, (1, 1): 0.0, (1, 3): 0.0, (2, 1): 0.0, (2, 2): 0.0, (2, 3): 0.0}
+
+
+def test_codes_find_the_exact_best_and_leave_little_open(spark):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(400, 24))
+    base[50:60] = base[40]  # equal vectors tie
+    base[60:70] = base[40] * 3
+    base[70] = 0
+    rows = [(int(i), [float(v) for v in x]) for i, x in enumerate(base)]
+    gallery = spark.createDataFrame(rows, "doc_id long, v array<double>").select("doc_id", retrieval.normalize(F.col("v")).alias("vector"))
+    queries = gallery.select(F.col("doc_id").alias("query_id"), "vector")
+    want = retrieval.dense_topk(queries, gallery, 7, 2, 3).orderBy("query_id", "position").collect()
+    got = retrieval.coded_topk(queries, gallery, 7, 2, 3).select("query_id", "doc_id", "score", "position").orderBy("query_id", "position").collect()
+    assert [tuple(r) for r in got] == [(r["query_id"], r["doc_id"], r["score"], r["position"]) for r in want]
+    sent = retrieval.coded_candidates(queries, retrieval.coded(gallery), 7, 2, 3).count()
+    assert 7 * 400 <= sent < 0.05 * 400 * 400 + 20 * 400
+    few = gallery.filter("doc_id < 3")
+    assert retrieval.coded_topk(queries, few, 7, 2, 2).count() == 1200
