@@ -1,16 +1,19 @@
 """Repeated passages: sentences covered by any non-first repeated span go.
 
-A span is a run of at least two consecutive sentences of LEAST_WORDS words or up to
-PIECE - 1 more: every such run, so one copy's further cuts hide no span of the other's.
-Spans of equal words (A-Z lower-cased) are one span; its first place, by doc_id and
-sentence, stays, and the sentences of every other place are cut out of their texts.
-
-A sentence ends at a word ending in . ! or ?, or at a line end. In every PIECE consecutive
-words without . ! or ? at a word's end the one with the least hash ends a piece, so no
-piece is longer and a passage is cut alike wherever it stands, whatever is around it and
-wherever its lines end. Of PIECE shared words one is a common cut, so any 2 PIECE +
-LEAST_WORDS - 1 = 50 shared words hold a common span: the first common cut is among the
-first PIECE, and a common one ends a span that starts there.
+A span is a run of consecutive sentences with LEAST_WORDS = 25 words and no fewer sentences than
+that takes: every start has one, to the first end 25 words on, and every end has one, from the last
+start 25 words back. Spans of equal words (A-Z lower-cased) are one span; its first place, by
+doc_id and word, stays, and the sentences of every other place are cut out of their texts.
+
+A sentence ends at a word ending in . ! or ?. In every PIECE consecutive words without one
+the word with the least hash ends a sentence too, so none is longer and a passage is cut
+alike wherever it stands, whatever is around it. A line end also ends a sentence, but no span
+begins or ends for it, as lines may be broken anew.
+
+Any 50 shared words hold a common span. Of the first PIECE = 9 one is a common end, whatever is
+before. The span that starts there ends at most 33 words on, by word 42; which of its words are ends
+depends on up to PIECE - 1 = 8 words after them, all of them shared. A copy that ends with the
+passage has one more end, its last word, beyond all that.
 
 The texts are read three times: to count spans, to place the repeated ones (a bitmap of
 bounded size keeps most others off the shuffle), and to cut. Null and empty texts have
@@ -29,11 +32,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
 from formlake.llm.common import BLANKS, bitmap_of, in_bitmap, mixed, prefix_powers, span_hashes, spans_of
+from formlake.operators.skew import join_on_counted_key
 from formlake.session import cut
 
-LEAST_SENTENCES = 2
 LEAST_WORDS = 25
-PIECE = 13
+PIECE = 9
 _ENDS = np.frombuffer(b".!?", np.uint8)
 _SECOND = np.uint64(0xA0761D6478BD642F)
 
@@ -66,30 +69,30 @@ class Text:
         self.words = span_hashes(self.data, self.starts, self.ends)
         stop = np.isin(self.data[self.ends - 1], _ENDS) if n else np.zeros(0, bool)
         if n:
-            pieces = least_of_each(self.words, stop, PIECE)
+            stop |= least_of_each(self.words, stop, PIECE)
+            stop[-1] = True
+        self.cuts = np.flatnonzero(stop) + 1  # ends that depend on the words alone: one past the last word
+        if n:
             lines = np.flatnonzero(self.data == 10)
             before = np.searchsorted(lines, self.starts)
             stop[:-1] |= before[1:] > before[:-1]
-            stop[-1] = True
-            stop |= pieces
-        last = np.flatnonzero(stop) + 1
-        self.first = np.concatenate([[0], last[:-1]]).astype(np.int64)[: len(last)]  # words of each sentence: first, and one past the last
-        self.last = last
+        self.last = np.flatnonzero(stop) + 1
+        self.first = np.concatenate([[0], self.last[:-1]]).astype(np.int64)[: len(self.last)]  # words of each sentence: first, and one past the last
 
     def spans(self) -> tuple[np.ndarray, np.ndarray]:
-        """First and last sentence of each span."""
-        k = np.arange(len(self.first))
-        low = np.maximum(k + LEAST_SENTENCES - 1, np.searchsorted(self.last, self.first + LEAST_WORDS))
-        many = np.maximum(np.searchsorted(self.last, self.first + LEAST_WORDS + PIECE - 1, side="right") - low, 0)
-        within = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        return np.repeat(k, many), np.repeat(low, many) + within
-
-    def hashes(self, a: np.ndarray, z: np.ndarray, salt: np.uint64 = np.uint64(0)) -> np.ndarray:
+        """First word of each span and one past its last."""
+        starts = np.concatenate([[0], self.cuts[:-1]]).astype(np.int64)[: len(self.cuts)]
+        end = np.searchsorted(self.cuts, starts + LEAST_WORDS)
+        start = np.searchsorted(starts, self.cuts - LEAST_WORDS, side="right") - 1
+        begins, stops = np.flatnonzero(end < len(self.cuts)), np.flatnonzero(start >= 0)
+        new = stops[end[start[stops]] != stops]  # the others are there already
+        return np.concatenate([starts[begins], starts[start[new]]]), np.concatenate([self.cuts[end[begins]], self.cuts[new]])
+
+    def hashes(self, first: np.ndarray, last: np.ndarray, salt: np.uint64 = np.uint64(0)) -> np.ndarray:
         """A 64-bit hash of the words of each span."""
         power, inverse = prefix_powers(len(self.words) + 1)
         words = mixed(self.words ^ salt) if salt else self.words
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * power[: len(words)])])
-        first, last = self.first[a], self.last[z]
         return mixed((sums[last] - sums[first]) * inverse[first] + (last - first).astype(np.uint64))
 
 
@@ -147,11 +150,11 @@ def cut_column(text: Column, spans: Column) -> Column:
             raw = t.as_py()
             own = Text(raw or b"")
             n = len(own.first)
-            marks = np.zeros(n + 1, np.int64)
+            marks = np.zeros(len(own.words) + 1, np.int64)
             for g in gone or []:
                 marks[g["a"]] += 1
-                marks[g["z"] + 1] -= 1
-            lost = np.cumsum(marks[:n]) > 0
+                marks[g["z"]] -= 1
+            lost = (np.cumsum(marks) > 0)[own.first]  # spans are whole sentences
             if lost.any():
                 begins = own.starts[own.first]
                 stops = np.concatenate([begins[1:], [len(raw)]])
@@ -164,16 +167,16 @@ def cut_column(text: Column, spans: Column) -> Column:
 
 
 def repeated_spans(rows: DataFrame) -> DataFrame:
-    """(doc_id, mark, a, z): every place but the first of each repeated span. `rows` has doc_id, mark (the text's hash) and text."""
+    """(doc_id, mark, a, z): the words of every place but the first of each repeated span. `rows` has doc_id, mark (the text's hash) and text."""
     data = F.col("text").cast("binary")
     hashes = rows.select(F.explode_outer(span_hashes_column(data)).alias("hash")).filter("hash IS NOT NULL")
     repeated = cut(hashes.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash"))
     bits, bitmap = bitmap_of(repeated, "hash")
     found = rows.select("doc_id", "mark", F.explode_outer(candidate_column(data, bitmap, bits)).alias("s")).filter("s IS NOT NULL")
-    places = cut(found.select("doc_id", "mark", "s.*"))
-    first = cut(places.groupBy("hash", "also").agg(F.min(F.struct("doc_id", "mark", "a")).alias("first")))
-    own = F.struct("doc_id", "mark", "a")
-    return places.join(first, ["hash", "also"]).filter(own > F.col("first")).select("doc_id", "mark", "a", "z")
+    places = cut(found.select("doc_id", "mark", F.struct("s.hash", "s.also").alias("key"), "s.a", "s.z"))
+    first = places.groupBy("key").agg(F.min(F.struct("doc_id", "mark", "a")).alias("first"), F.count("*").alias("n"))
+    met = join_on_counted_key(places, cut(first.filter("n > 1")), "key", "n", "mark")  # a passage may be in most documents
+    return met.filter(F.struct("doc_id", "mark", "a") > F.col("first")).select("doc_id", "mark", "a", "z")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
