@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 STRENGTH = {"remove": 0, "allow": 1, "block": 2}
 FAR = "9999-12-31"
+RESULT = ("host", "kept", "rule_list", "rule_kind", "rule_pattern", "rule_action", "rule_listed_at")
 
 
 def host_of(url: Column) -> Column:
@@ -69,15 +70,16 @@ def keys(host: Column, path: Column, depth: int) -> Column:
 
 def filtered(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """`captures` (url string, fetched_at timestamp, further columns) with host, kept, and the deciding rule:
-    list, kind, pattern, action, listed_at (null if none)."""
+    list, kind, pattern, action, listed_at (null if none). A capture's own columns of these names come back as `capture_<name>`."""
     rules = intervals(entries)
     limits = rules.agg(F.max(F.when(F.col("kind") == "prefix", F.size(F.split("pattern", "/")) - 1)).alias("depth")).first()
     times = captures.agg(F.min("fetched_at"), F.max("fetched_at")).first()
     carried = captures.select(F.struct("*").alias("_doc"), F.monotonically_increasing_id().alias("row"))
     host, path = host_of(F.col("_doc.url")), path_of(F.col("_doc.url"))
     rows = carried.withColumn("host", host).withColumn("keys", keys(F.col("host"), path, limits["depth"] or 0))
-    asked = rows.select("_doc", "row", "host", F.explode_outer("keys").alias("key"))
-    asked = asked.select("_doc", "row", "host", "key.*", F.col("_doc.fetched_at").alias("at")).withColumn("month", month(F.col("at")))
+    asked = rows.select("_doc", "row", "host", F.posexplode_outer("keys").alias("at_key", "key"))
+    once = F.when(F.coalesce("at_key", F.lit(0)) == 0, F.col("_doc"))  # a capture travels with its first pattern alone
+    asked = asked.select(once.alias("_doc"), "row", "host", "key.*", F.col("_doc.fetched_at").alias("at")).withColumn("month", month(F.col("at")))
     low, high = F.lit(times[0]).cast("timestamp"), F.lit(times[1]).cast("timestamp")
     months = F.sequence(month(F.greatest("listed_at", low)), month(F.least("ends_at", high)))
     active = rules.filter((F.col("listed_at") <= high) & (F.col("ends_at") > low)).withColumn("month", F.explode(months))
@@ -85,10 +87,10 @@ def filtered(captures: DataFrame, entries: DataFrame) -> DataFrame:
     holds = (F.col("listed_at") <= F.col("at")) & (F.col("at") < F.col("ends_at"))
     order = F.when(F.col("kind") == "prefix", 2).when(F.col("kind") == "host", 1).otherwise(0)
     rule = F.struct(order.alias("order"), F.length("pattern").alias("length"), "strength", "action", "kind", "pattern", "list", "listed_at")
-    best = met.groupBy("row").agg(F.first("_doc").alias("_doc"), F.first("host").alias("host"), F.max(F.when(holds, rule)).alias("rule"))
+    best = met.groupBy("row").agg(F.first("_doc", ignorenulls=True).alias("_doc"), F.first("host").alias("host"), F.max(F.when(holds, rule)).alias("rule"))
     kept = F.coalesce(F.col("rule.action") != "block", F.lit(True))
     return best.select(
-        *(F.col(f"_doc.`{c}`").alias(c) for c in captures.columns), "host", kept.alias("kept"),
+        *(F.col(f"_doc.`{c}`").alias(f"capture_{c}" if c in RESULT else c) for c in captures.columns), "host", kept.alias("kept"),
         F.col("rule.list").alias("rule_list"), F.col("rule.kind").alias("rule_kind"), F.col("rule.pattern").alias("rule_pattern"),
         F.col("rule.action").alias("rule_action"), F.col("rule.listed_at").alias("rule_listed_at"),
     )

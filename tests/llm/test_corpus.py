@@ -240,6 +240,10 @@ def test_rules_hold_only_in_their_interval(spark):
     got = urls.filtered(captures, log).collect()
     assert len(got) == len(asked)
     assert [r["n"] for r in got if r["kept"] != r["want"]] == []
+    clash = urls.filtered(captures.selectExpr("*", "'own' AS host", "n AS kept", "url AS rule_list"), log)
+    assert len(set(clash.columns)) == len(clash.columns) and {r["capture_host"] for r in clash.select("capture_host", "host").collect()} == {"own"}
+    same = [c for c in clash.columns if not c.startswith("capture_")]
+    assert sorted(map(str, clash.select(*same).collect())) == sorted(map(str, urls.filtered(captures, log).select(*same).collect()))
     assert all(r["kept"] for r in urls.filtered(captures, log.limit(0)).collect())
     assert urls.filtered(captures.limit(0), log).collect() == []
 
