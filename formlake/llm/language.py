@@ -14,7 +14,8 @@ document's state from window to window to its end.
 
 Every training document is learned from, in a few rounds: a task runs truncated
 backpropagation over its blocks from the broadcast weights and returns its weights, which
-have a fixed size; their mean by tokens starts the next round. A block's documents are one
+have a fixed size; their mean by tokens starts the next round. So weights, and scores by about
+a hundredth, depend on how blocks are dealt over tasks. A block's documents are one
 stream, dealt to lanes of equal length, so a long document makes no lane longer.
 
 Held-out documents, crc32(doc_id as text) mod 7 = 2, are not learned from; a null doc_id
@@ -44,7 +45,6 @@ HEAD, GROUP, STATE = 1600, 40, 16
 LANES, WINDOWS, STEPS, RATE = 512, 64, 24, 0.01
 ROUND_OF = np.array([0, 1, 1, 1, 2, 2, 2, 2])  # the round that learns from a document, by its place in the block
 ROUNDS, SLOWER = 3, 0.6
-FEW_TOKENS = 1 << 22  # so few training tokens are read twice
 PARTS = 16  # of the weights, summed apart
 BINS = 48
 END = b""
@@ -476,7 +476,7 @@ def learned_stream(image: bytes, number: int) -> tuple[np.ndarray, np.ndarray]:
     return symbols[np.repeat(chosen, lengths)], lengths[chosen]
 
 
-def trained(coded: DataFrame, words: Vocabulary, n_train: int) -> tuple[Gru, int]:
+def trained(coded: DataFrame, words: Vocabulary) -> tuple[Gru, int]:
     """The model, and the number of tokens it has learned from."""
     model, learned = Gru(words), 0
     bounds = np.linspace(0, len(model.flat()), PARTS + 1).astype(int).tolist()
@@ -505,14 +505,13 @@ def trained(coded: DataFrame, words: Vocabulary, n_train: int) -> tuple[Gru, int
 
         return task
 
-    passes = 2 if n_train <= FEW_TOKENS else 1
-    for number in range(passes * ROUNDS):
+    for number in range(ROUNDS):
         shared = SparkContext.getOrCreate().broadcast(model)
-        weights = coded.select("symbols").mapInArrow(learn(shared, number % ROUNDS, RATE * SLOWER**number), schema)
+        weights = coded.select("symbols").mapInArrow(learn(shared, number, RATE * SLOWER**number), schema)
         parts = {r["part"]: r for r in cut(weights.repartition("part").mapInArrow(summed, schema)).collect()}  # PARTS rows
         if parts:
             model = model.with_flat(np.concatenate([np.frombuffer(parts[i]["weights"], np.float64) / parts[i]["tokens"] for i in range(PARTS)]))
-            learned += parts[0]["tokens"] if number < ROUNDS else 0
+            learned += parts[0]["tokens"]
     return model, learned
 
 
@@ -529,7 +528,7 @@ def scored_documents(docs: DataFrame) -> DataFrame:
     totals = counted.filter("first").agg(F.sum("n"), F.count_if(F.col("n") > 0)).first()
     n_train, n_types = totals[0] or 0, totals[1] or 0
     coded = coded_blocks(blocks, counted, words, n_train, n_types)
-    model, learned = trained(coded, words, n_train) if words is not None else (None, 0)
+    model, learned = trained(coded, words) if words is not None else (None, 0)
     assert learned == n_train, f"learned from {learned} of {n_train} training tokens"
     shared = SparkContext.getOrCreate().broadcast(model)
 
