@@ -287,7 +287,11 @@ def coded_candidates(queries: DataFrame, codes: DataFrame, k: int, n_query: int,
         return pa.table({"query_id": blocks.column(q, "query_id")[i], "doc_id": blocks.column(g, "doc_id")[j], "low": low[i, j], "high": (near + spread)[i, j]})
 
     schema = f"query_id {_type(queries, 'query_id')}, doc_id {_type(codes, 'doc_id')}, low double, high double"
-    found = cut(blocks.score_blocks(queries.select("query_id", "vector"), codes, n_query, n_gallery, score, schema))
+    return _open_pairs(cut(blocks.score_blocks(queries.select("query_id", "vector"), codes, n_query, n_gallery, score, schema)), k)
+
+
+def _open_pairs(found: DataFrame, k: int) -> DataFrame:
+    """Of (query_id, doc_id, low, high) the pairs that can reach the query's k-th best lower bound."""
     best = Window.partitionBy("query_id").orderBy(F.desc("low"))
     bars = found.withColumn("n", F.row_number().over(best)).filter(F.col("n") == k).select("query_id", F.col("low").alias("bar"))
     return found.join(bars, "query_id", "left").filter(F.coalesce(F.col("high") >= F.col("bar"), F.lit(True))).select("query_id", "doc_id")
@@ -304,31 +308,83 @@ def coded_topk(queries: DataFrame, gallery: DataFrame, k: int, n_query: int, n_g
     return keep_top(scored, k)
 
 
+def _unpacked(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(first vector of each row and one past the last, all vectors) of the arrays of arrays in `vectors`."""
+    lists = table.column("vectors").combine_chunks()
+    counts = np.asarray(lists.value_lengths().to_numpy(zero_copy_only=False))
+    inner = lists.flatten()
+    flat = np.asarray(inner.flatten().to_numpy(zero_copy_only=False), dtype=float).reshape(len(inner), -1 if len(inner) else 1)
+    return np.concatenate([[0], np.cumsum(counts)]).astype(np.int64), flat
+
+
+def coded_sets(gallery: DataFrame) -> DataFrame:
+    """(doc_id, n, code, scale, off): each document's vectors as 8-bit codes of one scale; `off` is the largest norm that a vector loses."""
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, flat = _unpacked(pa.table(batch))
+            codes, scales, offs = [], np.zeros(batch.num_rows), np.zeros(batch.num_rows)
+            for i, (first, last) in enumerate(zip(at, at[1:])):
+                x = flat[first:last]
+                scales[i] = max(np.abs(x).max(initial=0), TINY) / 127
+                c = np.rint(x / scales[i]).astype(np.int8)
+                offs[i] = np.linalg.norm(x - c * scales[i], axis=1).max(initial=0)
+                codes.append(c.tobytes())
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": batch.column("doc_id"), "n": pa.array(np.diff(at)), "code": pa.array(codes, pa.binary()), "scale": pa.array(scales), "off": pa.array(offs)
+            })
+
+    return gallery.select("doc_id", "vectors").mapInArrow(code, f"doc_id {_type(gallery, 'doc_id')}, n long, code binary, scale double, off double")
+
+
+def late_candidates(queries: DataFrame, codes: DataFrame, k: int, n_query: int, n_gallery: int) -> DataFrame:
+    """(query_id, doc_id): the documents that can be among the k best late-interaction scores by what the codes tell.
+
+    Every best inner product is off by at most the query vector's norm times the document's `off`.
+    """
+
+    def score(q: pa.Table, g: pa.Table) -> pa.Table:
+        q_at, q_flat = _unpacked(q)
+        sizes, scale, off = (blocks.column(g, c) for c in ("n", "scale", "off"))
+        filled = np.flatnonzero(sizes)
+        width = q_flat.shape[1]
+        stored = np.frombuffer(b"".join(g.column("code").to_pylist()), np.int8).astype(np.float32)
+        stored = stored.reshape(int(sizes.sum()), -1) if len(filled) else stored.reshape(0, width)
+        first = (np.cumsum(sizes) - sizes)[filled]
+        norms = np.linalg.norm(q_flat, axis=1)
+        found: list[tuple[np.ndarray, ...]] = []
+        for i in range(q.num_rows):
+            own = slice(q_at[i], q_at[i + 1])
+            near, spread = np.zeros(len(sizes)), np.zeros(len(sizes))
+            if own.stop > own.start and len(filled):
+                products = q_flat[own].astype(np.float32) @ stored.T
+                near[filled] = np.maximum.reduceat(products, first, axis=1).sum(axis=0) * scale[filled]
+                spread[filled] = norms[own].sum() * (off[filled] + SINGLE_ERROR * scale[filled] * 127 * width * 8) + 10.0**-DENSE_DIGITS
+            low, high = near - spread, near + spread
+            bar = np.partition(low, -k)[-k] if len(low) > k else -np.inf
+            kept = np.flatnonzero(high >= bar) if own.stop > own.start else np.arange(min(k, len(low)))  # without vectors all tie at 0, in id order
+            found.append((np.full(len(kept), i), kept, low[kept], high[kept]))
+        who, row, low, high = (np.concatenate(c) for c in zip(*found))
+        return pa.table({"query_id": blocks.column(q, "query_id")[who], "doc_id": blocks.column(g, "doc_id")[row], "low": low, "high": high})
+
+    schema = f"query_id {_type(queries, 'query_id')}, doc_id {_type(codes, 'doc_id')}, low double, high double"
+    return _open_pairs(cut(blocks.score_blocks(queries.select("query_id", "vectors"), codes, n_query, n_gallery, score, schema)), k)
+
+
 def multi_vector_topk(queries: DataFrame, gallery: DataFrame, k: int, n_query: int, n_gallery: int) -> DataFrame:
     """Late interaction: sum over query vectors of the best inner product with a document vector.
 
     `vectors` is an array of equally long arrays; documents may differ in count, and one without vectors scores 0.
+    The scan reads 8-bit codes; only pairs that these leave open are scored in full.
     """
+    open_ = late_candidates(queries, cut(coded_sets(gallery)), k, n_query, n_gallery)
+    pairs = open_.join(queries.select("query_id", F.col("vectors").alias("qv")), "query_id").join(blocks.fresh(gallery).select("doc_id", F.col("vectors").alias("gv")), "doc_id")
 
-    def unpack(table: pa.Table):
-        lists = table.column("vectors").combine_chunks()
-        counts = np.asarray(lists.value_lengths().to_numpy(zero_copy_only=False))
-        inner = lists.flatten()
-        flat = np.asarray(inner.flatten().to_numpy(zero_copy_only=False), dtype=float).reshape(len(inner), -1 if len(inner) else 1)
-        return np.concatenate([[0], np.cumsum(counts)]), flat
+    def total(qs: Column, gs: Column) -> Column:
+        best = F.transform(qs, lambda a: F.coalesce(F.array_max(F.transform(gs, lambda b: arrays.dot(a, b))), F.lit(0.0)))
+        return F.round(F.aggregate(best, F.lit(0.0), lambda acc, x: acc + x), DENSE_DIGITS)
 
-    def score(q: pa.Table, g: pa.Table) -> pa.Table:
-        (q_at, q_flat), (g_at, g_flat) = unpack(q), unpack(g)
-        scores, filled = np.zeros((q.num_rows, g.num_rows)), np.diff(g_at) > 0
-        for i in range(len(scores)):
-            own = q_flat[q_at[i] : q_at[i + 1]]
-            if len(own) and filled.any():
-                scores[i, filled] = np.maximum.reduceat(own @ g_flat.T, g_at[:-1][filled], axis=1).sum(axis=0)
-        ids = (blocks.column(q, "query_id"), blocks.column(g, "doc_id"))
-        return blocks.top_rows(*ids, np.round(scores, DENSE_DIGITS), k, "query_id", "doc_id")
-
-    schema = f"query_id {_type(queries, 'query_id')}, doc_id {_type(gallery, 'doc_id')}, score double"
-    return keep_top(blocks.score_blocks(queries, gallery, n_query, n_gallery, score, schema), k)
+    return keep_top(pairs.select("query_id", "doc_id", total(F.col("qv"), F.col("gv")).alias("score")), k)
 
 
 # ---- hybrid and fusion ------------------------------------------------------------------

@@ -161,3 +161,20 @@ def test_codes_find_the_exact_best_and_leave_little_open(spark):
     assert 7 * 400 <= sent < 0.05 * 400 * 400 + 20 * 400
     few = gallery.filter("doc_id < 3")
     assert retrieval.coded_topk(queries, few, 7, 2, 2).count() == 1200
+
+
+def test_late_interaction_scores_few_pairs_in_full(spark):
+    rng = np.random.default_rng(9)
+    sets = [(int(i), [[float(v) for v in rng.normal(size=12)] for _ in range(int(rng.integers(0, 6)))]) for i in range(250)]
+    sets += [(250 + i, sets[30][1]) for i in range(12)]  # copies tie
+    gallery = spark.createDataFrame(sets, "doc_id long, vectors array<array<double>>")
+    queries = gallery.withColumnRenamed("doc_id", "query_id")
+    got = {}
+    for r in retrieval.multi_vector_topk(queries, gallery, 5, 2, 3).collect():
+        got.setdefault(r["query_id"], {})[r["position"]] = (r["doc_id"], r["score"])
+    for query, own in sets:
+        scores = sorted(((-round(sum(max((np.dot(a, b) for b in vs), default=0.0) for a in own), 9), i) for i, vs in sets))[:5]
+        assert [got[query][p][0] for p in range(1, 6)] == [i for _, i in scores]
+        assert np.allclose([got[query][p][1] for p in range(1, 6)], [-s for s, _ in scores], atol=2e-9)
+    share = retrieval.late_candidates(queries, retrieval.coded_sets(gallery), 5, 2, 3).count() / len(sets) ** 2
+    assert share < 0.1
