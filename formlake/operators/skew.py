@@ -10,6 +10,7 @@ from formlake.session import cut
 HEAVY_KEYS = 2000
 SALTS = 32
 ONE_TASK_ROWS = 100_000
+WINDOW_ROWS = 100_000
 
 
 def join_on_counted_key(facts: DataFrame, keys: DataFrame, key: str, count: str, salt_by: str) -> DataFrame:
@@ -30,21 +31,32 @@ def join_on_counted_key(facts: DataFrame, keys: DataFrame, key: str, count: str,
 
 
 def hash_rank(df: DataFrame, key: Column, name: str, by: list[str] | None = None) -> DataFrame:
-    """Position 1..n of each row in md5 order of `key`, without a single-task window.
+    """Position 1..n of each row in md5 order of `key`, without a window over a large share of the rows.
 
-    Rows are bucketed by the first three hex digits of the md5, 4096 even buckets
-    in order; a row's position is its place in its bucket plus the sizes of the
-    buckets before, a table of at most 4096 rows per group in `by`.
+    Groups in `by` are windows of their own, unless one holds over 100,000 rows and 1/2000 of all.
+    Those, fewer than 2000, and the whole frame are bucketed by the first three hex digits of
+    the md5, 4096 even buckets in order; a row's position is its place in its bucket plus the
+    sizes of the buckets before.
     """
     by = by or []
-    hashed = df.withColumn("_h", F.md5(key)).withColumn("_b", F.substring("_h", 1, 3))
-    sizes = hashed.groupBy(*by, "_b").agg(F.count("*").alias("_n"))
+    hashed = df.withColumn("_h", F.md5(key))
+    bucket = F.substring("_h", 1, 3)
+    if by:
+        counts = cut(df.groupBy(*by).agg(F.count("*").alias("_n")))
+        total = counts.agg(F.sum("_n")).first()[0] or 0
+        large = counts.filter((F.col("_n") * HEAVY_KEYS > total) & (F.col("_n") > WINDOW_ROWS)).select(*by, F.lit(True).alias("_large"))
+        if large.isEmpty():
+            return hashed.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy("_h")).cast("long")).drop("_h")
+        hashed = hashed.join(F.broadcast(large), by, "left").withColumn("_b", F.when(F.col("_large"), bucket).otherwise("")).drop("_large")
+    else:
+        hashed = hashed.withColumn("_b", bucket)
+    sizes = hashed.filter("_b <> ''").groupBy(*by, "_b").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*by, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
     place = F.row_number().over(Window.partitionBy(*by, "_b").orderBy("_h"))
     return (
-        hashed.withColumn("_p", place).join(offsets, [*by, "_b"])
-        .withColumn(name, F.col("_p") + F.col("_o")).drop("_h", "_b", "_p", "_o")
+        hashed.withColumn("_p", place).join(offsets, [*by, "_b"], "left")
+        .withColumn(name, (F.col("_p") + F.coalesce("_o", F.lit(0))).cast("long")).drop("_h", "_b", "_p", "_o")
     )
 
 

@@ -1,5 +1,7 @@
 """First rows without one task, lookups with hot and null keys, and a set of paths that is never forgotten."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -24,6 +26,17 @@ def test_sample_does_not_depend_on_the_way(spark, monkeypatch):
     assert curation.sample(rows, "doc_id", 40).collect() == want
 
 
+@pytest.mark.parametrize("rows", [100, 100_000])
+def test_hash_rank_of_large_and_small_groups(spark, monkeypatch, rows):
+    monkeypatch.setattr(skew, "WINDOW_ROWS", rows)
+    frame = spark.range(3000).select("id", F.when(F.col("id") % 3 > 0, "big").when(F.col("id") % 2 == 0, F.concat(F.lit("g"), F.col("id") % 50)).alias("g"))
+    got = {}
+    for r in skew.hash_rank(frame, F.col("id").cast("string"), "place", ["g"]).collect():
+        got.setdefault(r["g"], []).append((hashlib.md5(str(r["id"]).encode()).hexdigest(), r["place"]))
+    assert sum(map(len, got.values())) == 3000 and len(got["big"]) == 2000
+    assert all([p for _, p in sorted(of)] == list(range(1, len(of) + 1)) for of in got.values())
+
+
 def test_lookup_with_a_hot_key_and_null_keys(spark):
     facts = spark.range(9000).select("id", F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, F.concat(F.lit("k"), F.col("id"))).alias("stem"))
     lookup = spark.createDataFrame([("hot", "a"), ("hot", "b"), ("k1", "c"), ("other", "d"), (None, "e")], "stem string, path string")
