@@ -295,6 +295,38 @@ def test_rare_findings_make_a_network(spark):
     assert sum(got[i] for i in order[:9000]) < 0.05 * 9000
 
 
+def test_network_finds_keys_of_shapes_that_no_rule_knows(spark):
+    """Keys without a keyword, in documents whose own findings all look alike; plain names and numbers stay."""
+    rng = np.random.default_rng(12)
+    draw = lambda signs, n: "".join(rng.choice(list(signs), n))
+    hexes, letters = "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz"
+    both = letters + letters.upper() + "0123456789"
+    shapes = {
+        "short hex": lambda: draw(hexes, 20), "upper hex": lambda: draw(hexes.upper(), 40), "base64": lambda: draw(both + "+/", 31) + "7",
+        "prefix": lambda: "sk_live_" + draw(both, 23) + "4", "uuid": lambda: "-".join(draw(hexes, n) for n in (8, 4, 4, 4, 12)),
+    }
+    source = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    words = [w for r in source.limit(40).collect() for w in re.findall("[a-z]{3,9}", r["text"])]
+    some = lambda n: " ".join(words[i] for i in rng.integers(0, len(words), n))
+    plain = {
+        "date": lambda: f"20{rng.integers(10, 30)}-0{rng.integers(1, 9)}-1{rng.integers(0, 9)}_1{rng.integers(0, 9)}-30", "number": lambda: draw("0123456789", 16),
+        "path": lambda: "/".join(words[i] for i in rng.integers(0, len(words), 4)) + "/20" + draw("0123456789", 2), "name": lambda: "_".join(words[i] for i in rng.integers(0, len(words), 3)) + "_3",
+    }
+    kinds = list(shapes) + list(plain)
+    rows = [(10**6 + 100 * k + i, f"{some(8)} {(shapes | plain)[kind]()} {some(5)}.") for k, kind in enumerate(kinds) for i in range(10)]
+    found = secrets.digests(secrets.scanned(source.unionByName(spark.createDataFrame(rows, "doc_id long, text string"))))
+    hits = {kind: 0 for kind in kinds}
+    rest = 0
+    for r in found.filter("n_model > 0").collect():
+        if r["doc_id"] >= 10**6:
+            hits[kinds[(r["doc_id"] - 10**6) // 100]] += 1
+        else:
+            rest += r["n_model"]
+    assert all(hits[kind] >= 9 for kind in shapes), hits
+    assert all(hits[kind] <= 1 for kind in plain), hits
+    assert rest <= 10
+
+
 def test_threshold_keeps_recall_where_scores_overlap(caplog, spark):
     rng = np.random.default_rng(6)
     codes, labels = rng.integers(0, secrets.N_CLASSES, (200, len(secrets.window("", 0, 0)))).astype(np.uint8), np.arange(200) % 2.0
