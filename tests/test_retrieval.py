@@ -178,3 +178,32 @@ def test_late_interaction_scores_few_pairs_in_full(spark):
         assert np.allclose([got[query][p][1] for p in range(1, 6)], [-s for s, _ in scores], atol=2e-9)
     share = retrieval.late_candidates(queries, retrieval.coded_sets(gallery), 5, 2, 3).count() / len(sets) ** 2
     assert share < 0.1
+
+
+def test_a_block_pair_is_scored_a_few_queries_at_a_time(spark, monkeypatch):
+    import pyarrow as pa
+
+    # ten thousand vectors of 64 are one block: a side is not copied once for every thousand rows of the other
+    assert blocks.block_count(spark.createDataFrame([(10_000, 640_000)], "ids long, items long")) == 1
+    monkeypatch.setattr(blocks, "SCORES_AT_ONCE", 600)
+    v = np.arange(200.0).reshape(100, 2)
+    q = pa.table({"query_id": np.arange(100), "vector": v.tolist(), "tokens": [["a", "b"][: i % 3] for i in range(100)], "weights": [[1, 2][: i % 3] for i in range(100)]})
+    g = q.rename_columns(["doc_id", *q.column_names[1:]])
+    fields, seen = pa.schema([("query_id", pa.int64()), ("total", pa.float64())]), []
+
+    def score(some, gallery):
+        scores = blocks.dense_scores(some, gallery) + blocks.sparse_scores(some, gallery)
+        seen.append(scores.size)
+        return pa.table({"query_id": blocks.column(some, "query_id"), "total": scores.sum(axis=1)})
+
+    got = blocks.in_parts(score, *blocks.with_codes(q, g), fields)
+    want = score(q, g)
+    assert got.column("query_id") == want.column("query_id") and got.column("total") == want.column("total")
+    assert max(seen[:-1]) == blocks.LEAST_QUERIES * 100 and sum(seen[:-1]) == 100 * 100
+
+
+def test_best_rows_of_a_block_keep_ties_in_order():
+    scores = np.array([[1.0, 3.0, 3.0, np.nan, 3.0], [0.0, 0.0, 0.0, 0.0, 0.0]])
+    ids = np.array([10, 20, 30, 40, 50])
+    for k, want in ((2, [20, 30, 10, 20]), (9, [20, 30, 50, 10, 40, 10, 20, 30, 40, 50])):
+        assert blocks.top_rows(np.array([1, 2]), ids, scores, k, "q", "g").column("g").to_pylist() == want
