@@ -157,3 +157,14 @@ def test_job_states():
     failed = next_state(running, "failed", 4)
     assert failed["finished_at"] == 4 and failed["started_at"] == 2
     assert next_state(failed, "create", 5) == {**next_state(None, "create", 5)}
+
+
+def test_anchor_text_in_a_long_text(spark):
+    r = random.Random(7)
+    text = "".join(r.choice("ab é中\U0001f600\n") for _ in range(1000))
+    ends = [(0, 5), (250, 260), (255, 256), (256, 512), (100, 900), (990, 1200), (1000, 1001), (511, 769)]
+    segments = [[{"startIndex": str(a), "endIndex": str(z)}] for a, z in ends]
+    rows = spark.createDataFrame([(text, segments)], "t string, s array<array<struct<startIndex:string,endIndex:string>>>")
+    anchors = F.transform("s", lambda s: F.struct(s.alias("textSegments")))
+    got = rows.select(layout.text_pieces(F.col("t")).alias("p"), anchors.alias("a")).select("p.length", F.transform("a", lambda a: layout.pieced_text(F.col("p"), a)).alias("x")).first()
+    assert got["length"] == 1000 and got["x"] == [text[a:z].strip(" \t\r\n") for a, z in ends]
