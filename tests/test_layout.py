@@ -168,3 +168,12 @@ def test_anchor_text_in_a_long_text(spark):
     anchors = F.transform("s", lambda s: F.struct(s.alias("textSegments")))
     got = rows.select(layout.text_pieces(F.col("t")).alias("p"), anchors.alias("a")).select("p.length", F.transform("a", lambda a: layout.pieced_text(F.col("p"), a)).alias("x")).first()
     assert got["length"] == 1000 and got["x"] == [text[a:z].strip(" \t\r\n") for a, z in ends]
+
+
+def test_greedy_pairs_hold_few_documents_as_objects(spark, monkeypatch):
+    item = "array<struct<text:string,score:double,x0:int,y0:int,x1:int,y1:int>>"
+    rows = [(i, [span(f"k{i}", 0, 0, 20, 20)], [span("v", 50, 0, 90, 20)] * (i % 2)) for i in range(150)] + [(150, None, None), (151, [], [])]
+    docs = spark.createDataFrame(rows, f"doc_id long, keys {item}, values {item}").coalesce(1)
+    got = sorted((r["doc_id"], r["pair_idx"], r["key"], r["value"]) for r in layout.greedy_pairs(docs).collect())
+    assert got == [(i, 0, f"k{i}", "v" * (i % 2)) for i in range(150)]
+    assert layout.DOCS_AT_ONCE <= 64
