@@ -111,3 +111,25 @@ def test_hull_of_polygon_reads_every_point(spark):
     got = [r["h"] and tuple(r["h"]) for r in frame.select(hull.alias("h")).collect()]
     assert got == [(0.0, 0.4, 0.2, 0.9), (0.0, 0.0, 0.0, 0.5), (0.0, 0.0, 0.0, 0.0), (0.3, 0.0, 1.0, 0.4), (0.1, 0.2, 0.1, 0.2), None, (0.3, 0.1, 1.0, 1.0)]
     assert "transform" not in frame.select(hull.alias("h"))._jdf.queryExecution().analyzed().toString()  # no lambda for every point
+
+
+def test_percent_boxes_are_separate_steps(spark):
+    from formlake.plans.layout import percent_boxes
+
+    plan = plan_of(percent_boxes(spark, "/root/testdata/sf0.001"))
+    assert plan.count("Generate explode") == 2
+
+
+def test_overlaps_are_joined_once(spark):
+    words = spark.createDataFrame([(1, i, i * 20, 0, i * 20 + 15, 10) for i in range(12)], "doc_id long, word_idx int, x0 int, y0 int, x1 int, y1 int")
+    areas = spark.createDataFrame(
+        [(1, 0, 0, "KEY", 0, 0, 15, 10), (1, 1, 1, "VAL", 20, 0, 36, 10), (1, 2, 2, "VAL", 40, 0, 56, 10), (1, 3, 3, "VAL", 80, 0, 116, 10)],
+        "doc_id long, region_idx int, pair_idx int, role string, x0 int, y0 int, x1 int, y1 int",
+    )
+    near = spatial.scored_overlaps(words, areas)
+    assert rows_of(spatial.best_region(words, areas, near=near)) == rows_of(spatial.best_region(words, areas))
+    assert rows_of(spatial.region_roles(words, areas, near=near)) == rows_of(spatial.region_roles(words, areas))
+    labels = spatial.bio_of_regions(spatial.best_region(words, areas))
+    assert plan_of(labels).count("Join") == 1
+    assert [r["label"] for r in labels.orderBy("word_idx").collect()] == ["B-KEY", "B-VAL", "B-VAL", "B-VAL", "I-VAL"]
+    assert "r_x0" not in plan_of(spatial.coverage_labels(words, areas))  # the overlaps are written before, and read
