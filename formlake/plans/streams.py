@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from math import ceil
 from uuid import uuid4
 
 import numpy as np
@@ -19,6 +20,9 @@ from formlake.sources import store
 from formlake.streaming import jobs
 
 
+CHARS_PER_FILE = 1 << 24
+
+
 def arrive(df: DataFrame, files: int = 4) -> str:
     """Folder holding `df` in several files, as they would arrive."""
     path = scratch(df.sparkSession, "arrivals")
@@ -26,6 +30,12 @@ def arrive(df: DataFrame, files: int = 4) -> str:
     return path
 
 
+def text_files(spark, sf) -> int:
+    """Files for rows that hold the documents' texts or words: four, and more so that none holds over 16 M characters on average."""
+    chars = table(spark, sf, "documents").agg(F.sum(F.length("text"))).first()[0] or 0
+    return max(4, ceil(chars / CHARS_PER_FILE))
+
+
 def folders(spark) -> tuple[str, str]:
     return scratch(spark, "out"), scratch(spark, "state")
 
@@ -42,14 +52,14 @@ def stream_templates(spark, sf):
         F.struct(none.cast("binary").alias("bytes")).alias("image"), "objects",
     )
     out, state = folders(spark)
-    jobs.extract_templates(spark, arrive(rows), out, state).awaitTermination()
+    jobs.extract_templates(spark, arrive(rows, text_files(spark, sf)), out, state).awaitTermination()
     return records.object_sums(spark.read.parquet(out))
 
 
 @query(f"WITH {GATE}\nSELECT count(*) AS processed_files, count_if(is_english)::BIGINT AS english_files, (SELECT count(*) FROM records) AS records FROM records")
 def stream_languages(spark, sf):
     out, state = folders(spark)
-    jobs.gate_languages(spark, arrive(records.detected(spark, sf)), out, state).awaitTermination()
+    jobs.gate_languages(spark, arrive(records.detected(spark, sf), text_files(spark, sf)), out, state).awaitTermination()
     counts, rows = spark.read.parquet(f"{out}/counts"), spark.read.parquet(f"{out}/records")
     return counts.agg(F.sum("processed_files").alias("processed_files"), F.sum("english_files").alias("english_files")).withColumn(
         "records", rows.agg(F.count("*")).scalar()
@@ -69,7 +79,7 @@ def stream_masking(spark, sf):
     split = F.when(F.col("template_id").isin("en", "de"), "train").otherwise("val")
     splits = docs.select("template_id").distinct().withColumn("split", split)
     out, state = folders(spark)
-    jobs.mask_documents(spark, arrive(docs), splits, out, state).awaitTermination()
+    jobs.mask_documents(spark, arrive(docs, text_files(spark, sf)), splits, out, state).awaitTermination()
     done = spark.read.parquet(out)
     return done.groupBy("template_id", "mode").agg(F.count("*").alias("docs"), F.sum(F.size("words")).alias("words"), F.sum("n_masked").alias("masked"))
 
@@ -93,9 +103,10 @@ def stream_gold(spark, sf):
     out, state = folders(spark)
     objects = medallion.silver_objects(spark, sf)
     early = objects.filter(F.pmod(F.xxhash64("name"), F.lit(3)) == 0).withColumn("payload", F.lit("{}"))
-    source = arrive(early)
+    files = text_files(spark, sf)
+    source = arrive(early, files)
     jobs.transform_silver(spark, source, out, state).awaitTermination()
-    objects.repartition(4).write.mode("append").parquet(source)
+    objects.repartition(files).write.mode("append").parquet(source)
     jobs.transform_silver(spark, source, out, state).awaitTermination()
     runs, fields = store.read(spark, out, "form-runs"), store.read(spark, out, "extracted-fields")
     counts = fields.groupBy("template_id").agg(F.count("*").alias("field_rows"))
