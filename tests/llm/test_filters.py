@@ -357,3 +357,50 @@ def test_keys_far_inside_and_characters_after_count():
     found = lambda text: [text[a:z] for a, k, z in secrets.findings(text, network) if k == 3]
     assert found(f"see {start}/{draw('0123456789abcdef', 18)} there") and not found(f"see {start}/{path()} there")
     assert (secrets.window("x abc123abc123' y", 2, 14) != secrets.window("x abc123abc123@host", 2, 14)).any()
+
+
+def test_network_is_fitted_on_all_cases_in_blocks(spark, monkeypatch):
+    """More findings than a block holds: all are learned from or held out, and the threshold is that of all held-out cases."""
+    monkeypatch.setattr(secrets, "BLOCK_EACH", 150)
+    monkeypatch.setattr(secrets, "ROUNDS", 2)
+    monkeypatch.setattr(secrets, "STEPS", 300)
+    monkeypatch.setattr(secrets, "SENT_AT_ONCE", 64)
+    rng = np.random.default_rng(14)
+    draw = lambda signs, n: "".join(rng.choice(list(signs), n))
+    texts = [f"some words password={draw('0123456789abcdef', 18)} more" for _ in range(400)] + [f"some words and here {draw('0123456789', 16)} more" for _ in range(90)]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts + texts[:50] + [None])], "doc_id long, text string")
+    packs, n = secrets.blocks(secrets.cases(frame))
+    rows = packs.collect()
+    width = len(secrets.window("", 0, 0))
+    split = lambda codes, labels: [(y, codes[i * width : (i + 1) * width]) for i, y in enumerate(labels)]
+    fit, held = ([c for r in rows for c in split(r[name], r[f"{name}_labels"])] for name in ("fit", "held"))
+    every = {case for t in texts for case in secrets.cases_of(t)}
+    assert n == len(rows) == 3 and len(every) == 490
+    assert set(fit) | set(held) == every and not set(fit) & set(held)
+    assert sum(y for y, _ in fit + held) == 400 and all({0, 1} == set(r["fit_labels"]) for r in rows)
+    assert sorted(c for c, k in zip(held, [k for r in rows for k in r["held_counted"]]) if k) == sorted(set(held))
+
+    network = secrets.calibrated(secrets.trained(packs, n), packs)
+    scores, kinds = [], []
+    for r in rows:
+        own = split(r["held"], r["held_labels"])
+        codes, labels, of = secrets.with_drawn(np.array([list(c) for _, c in own], np.uint8), np.array([float(y) for y, _ in own]), seed=5 + r["block"])
+        counted = np.array([*r["held_counted"], *[1] * (len(codes) - len(own))]) == 1
+        scores.append(network.score(secrets.moved(codes, labels))[counted])
+        kinds.append(np.where(labels == 1, of, -2)[counted])
+    score, kind = np.concatenate(scores), np.concatenate(kinds)
+    least = min(np.quantile(score[kind == k], 1 - (secrets.RECALL if k < 0 else secrets.DRAWN_RECALL), method="lower") for k in set(kind.tolist()) - {-2})
+    assert network.threshold == pytest.approx(least, rel=1e-6)
+    assert network.false_share == pytest.approx((score[kind == -2] >= least).mean(), abs=1e-3)
+    found = lambda signs: sum(k == 3 for _ in range(20) for _, k, _ in secrets.findings(f"some words and here {draw(signs, 18)} more", network))
+    assert found("0123456789abcdef") >= 17 and found("0123456789") <= 2
+
+
+def test_least_keys_are_exact_order_statistics(spark):
+    rng = np.random.default_rng(15)
+    kinds, raws = rng.integers(-2, 6, 5000), np.round(rng.normal(0, 3, 5000), 2).astype(np.float32) + np.float32(0)
+    keys = secrets.ordered(raws.view(np.int32))
+    assert (np.sort(keys) == secrets.ordered(np.sort(raws).view(np.int32))).all() and (secrets.ordered(keys).view(np.float32) == raws).all()
+    found = secrets.least_keys(spark.createDataFrame([*zip(kinds.tolist(), keys.tolist())], "kind int, key int"))
+    expected = {int(k): np.quantile(keys[kinds == k], 1 - (secrets.RECALL if k < 0 else secrets.DRAWN_RECALL), method="lower") for k in range(-1, 6)}
+    assert found == expected
