@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,15 +22,30 @@ def class_weights(labels: DataFrame, classes: list[str], label: str = "label") -
     return counts.withColumn("weight", total / (F.lit(len(classes)) * F.greatest(F.col("n"), F.lit(1))))
 
 
-def label_audit(assigned: DataFrame, expected: DataFrame, words: DataFrame, warn_above: float = 0.15) -> DataFrame:
-    """Mislabelled words per document and, in the row with null doc_id, overall."""
+def mislabelled(assigned: DataFrame, expected: DataFrame, words: DataFrame) -> DataFrame:
+    """(doc_id, words, mislabelled) of word rows, and the rows of both labels."""
     joined = (
         words.select("doc_id", "word_idx")
         .join(assigned.select("doc_id", "word_idx", "role").hint("merge"), ["doc_id", "word_idx"], "left")
         .join(expected.hint("merge"), ["doc_id", "word_idx"], "left")
     )
     wrong = (F.coalesce("role", F.lit("O")) != F.coalesce("expected", F.lit("O"))).cast("int")
-    per = joined.rollup("doc_id").agg(F.count("*").alias("words"), F.sum(wrong).alias("mislabelled"))
+    return joined.groupBy("doc_id").agg(F.count("*").alias("words"), F.sum(wrong).alias("mislabelled"))
+
+
+def mislabelled_of_marks(marks: DataFrame) -> DataFrame:
+    """(doc_id, words, mislabelled) of rows (doc_id, n_words, marked), as `spatial.region_marks` has them; words that are not marked are right."""
+    wrong = F.filter("marked", lambda m: F.coalesce(m["role"], F.lit("O")) != F.coalesce(m["expected"], F.lit("O")))
+    return marks.filter("n_words > 0").select("doc_id", F.col("n_words").alias("words"), F.size(wrong).cast("long").alias("mislabelled"))
+
+
+def label_audit(assigned: DataFrame | None = None, expected: DataFrame | None = None, words: DataFrame | None = None, warn_above: float = 0.15, marks: DataFrame | None = None) -> DataFrame:
+    """Mislabelled words per document and, in the row with null doc_id, overall.
+
+    The words and labels come as rows, as one row of `marks` per document, or some documents in either way.
+    """
+    parts = ([] if marks is None else [mislabelled_of_marks(marks)]) + ([] if words is None else [mislabelled(assigned, expected, words)])
+    per = reduce(DataFrame.unionByName, parts).rollup("doc_id").agg(F.sum("words").alias("words"), F.sum("mislabelled").alias("mislabelled"))
     rate = F.col("mislabelled") / F.col("words")
     return per.withColumn("rate", F.round(rate, 6)).withColumn("noisy", rate > warn_above)
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from formlake.functions import boxes
 from formlake.functions.arrays import each
-from formlake.operators import layout, spatial
+from formlake.operators import evaluation, layout, spatial
 
 SCHEMA = "doc_id long, labels array<string>, words array<string>, boxes array<array<int>>, scores array<double>"
 LABELS = ["O", "O", "B-KEY", "I-KEY", "B-VAL", "I-VAL", "I-VAL", "B", "B-"]
@@ -133,3 +133,55 @@ def test_overlaps_are_joined_once(spark):
     assert plan_of(labels).count("Join") == 1
     assert [r["label"] for r in labels.orderBy("word_idx").collect()] == ["B-KEY", "B-VAL", "B-VAL", "B-VAL", "I-VAL"]
     assert "r_x0" not in plan_of(spatial.coverage_labels(words, areas))  # the overlaps are written before, and read
+
+
+def paged_regions(spark, repeated):
+    """Pages with words and regions of any place, size, role and number, nulls and boxes without extent among them."""
+    rng, rows = random.Random(8), []
+
+    def box(wide, tall):
+        x, y = rng.randrange(-200, 600), rng.randrange(-100, 900)
+        return [x, y, x + rng.randrange(0, wide), y + rng.randrange(0, tall)]
+
+    for d in range(40):
+        words = [rng.choice([box(60, 30), box(60, 30), [1, 2], [None, 1, 2, 3]]) for _ in range(rng.choice([0, 1, 30, 90]))]
+        areas = [(rng.choice([None, 0, 1, 2, 3, 4]), rng.choice([None, 0, 1, 2]), rng.choice(["KEY", "VAL", "VAL", None]), *box(*rng.choice([(60, 30), (700, 900)]))) for _ in range(rng.choice([0, 5, 40]))]
+        areas += [(i, i // 2, "KEY", *words[i]) for i in range(0, min(9, len(words)), 2) if len(words[i]) == 4]
+        rows.append((d // 2 if repeated else d, words, areas))
+    rows += [(None, [[0, 0, 9, 9]] * 3, [(0, 0, "KEY", 0, 0, 9, 9)]), (700, None, None), (701, [], []), (702, [[0, 0, 9, 9]], None)]
+    schema = "doc_id long, boxes array<array<int>>, regions array<struct<region_idx:int,pair_idx:int,role:string,x0:int,y0:int,x1:int,y1:int>>"
+    docs = spark.createDataFrame(rows, schema).repartition(3)
+    return spatial.Pages(docs, docs.select("doc_id"))
+
+
+def test_overlaps_in_the_row_are_those_of_the_join(spark):
+    for repeated in (False, True):
+        pages = paged_regions(spark, repeated)
+        words, areas = spatial.word_rows(pages.docs), spatial.region_rows(pages.docs)
+        best = spatial.best_region(words, areas)
+        assert best.count() > 50
+        found = (
+            (spatial.best_region(pages), best), (spatial.bio_of_regions(pages), spatial.bio_of_regions(best)),
+            (spatial.coverage_labels(pages), spatial.coverage_labels(words, areas)),
+        )
+        for got, want in found:
+            assert got.columns == want.columns and got.dtypes == want.dtypes
+            assert rows_of(got) == rows_of(want)
+            assert repeated or ("MapInArrow" in plan_of(got) and "Exchange hash" not in plan_of(got))
+        marks, again = spatial.region_marks(pages)
+        want = evaluation.label_audit(best, spatial.region_roles(words, areas), words)
+        if repeated:
+            words, areas = spatial.word_rows(again), spatial.region_rows(again)
+            got = evaluation.label_audit(spatial.best_region(words, areas), spatial.region_roles(words, areas), words, marks=marks)
+        else:
+            got = evaluation.label_audit(marks=marks)
+        assert got.dtypes == want.dtypes and rows_of(got) == rows_of(want)
+
+
+def test_a_huge_box_is_dealt_over_the_cells_of_the_other_side(spark):
+    far = 2**40
+    rows = [(1, [[5, 5, 20, 20], [50, 50, 60, 60]], [(0, 0, "KEY", 0, 0, 30, 30), (1, 1, "VAL", -far, -far, far, far)])]
+    schema = "doc_id long, boxes array<array<long>>, regions array<struct<region_idx:int,pair_idx:int,role:string,x0:long,y0:long,x1:long,y1:long>>"
+    docs = spark.createDataFrame(rows, schema)
+    got = {r["word_idx"]: r["label"] for r in spatial.coverage_labels(spatial.Pages(docs, docs.select("doc_id"))).collect()}
+    assert got == {0: "B-VAL", 1: "I-VAL"}
